@@ -7,12 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import minhash, mixing, sharding
-from tessera.llm.common import table
+from tessera.llm import ann, decontam, minhash, mixing, pfp, sharding, tokencount, toxicity, urlfilter, warc
+from tessera.llm.common import store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = store(urlfilter.word_counts(table(spark, sf_dir, "documents")), "url-counts")
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, counts).drop("url")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: A text is called toxic from this score on.
+TOXIC = 0.3
+
+
+def toxic_lexicon(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> toxicity.Lexicon:
+    known = labels.where(~toxicity.held_out()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    return toxicity.learn(docs.select("doc_id", "text").join(known, "doc_id"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxic_lexicon(spark, docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     slim = docs.select("doc_id", sharding.record_size(F.col("text")).alias("n"), sharding.text_key(F.col("text")).alias("k"))
@@ -20,6 +49,27 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs, tokencount.unigram_vocabulary(VOCABULARY)).drop("text")
+
+
+def op7_pfp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfp.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    listed = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    records, _ = warc.read_archives(spark, folder)
+    own = records.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(listed.select(F.col("path").alias("name")), "name", "left_semi")
+    return own.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,5 +88,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "mix_domain", "mix_lang", "mix_source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("tokens"), F.col("mix_taken").alias("taken"))
 
 
-QUERIES: dict[str, Query] = {"op4_sharding": op4_sharding, "op9_minhash": op9_minhash, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_urlfilter, op2_decontamination, op3_toxicity, op4_sharding, op5_ann, op6_tokencount, op7_pfp, op8_warc, op9_minhash, op10_mixing)
+}
 ORACLES: dict[str, str] = {}
