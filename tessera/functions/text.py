@@ -57,10 +57,15 @@ def keyword_words(text: Column) -> Column:
     return F.array_distinct(F.transform(long, lambda w: F.regexp_replace(F.lower(w), r"^[?.,!]+|[?.,!]+$", "")))
 
 
+def bound(f, *columns: Column) -> Column:
+    """f(columns) with each column computed once, however often f and its lambdas use it."""
+    row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    return F.get(F.transform(F.array(row), lambda r: f(*[r[f"c{i}"] for i in range(len(columns))])), F.lit(0))
+
+
 def keyword_hits(words: Column, text: Column) -> Column:
     """How many of the words the lower-cased text contains as substrings."""
-    low = F.lower(norm(text))
-    return F.size(F.filter(words, lambda w: F.contains(low, w)))
+    return bound(lambda ws, low: F.size(F.filter(ws, lambda w: F.contains(low, w))), words, F.lower(norm(text)))
 
 
 def token_estimate(text: Column) -> Column:
@@ -101,8 +106,12 @@ def f_measure(overlap: Column, n_a: Column, n_b: Column) -> Column:
 
 
 def token_f1(a: Column, b: Column) -> Column:
-    ta, tb = tokens(a), tokens(b)
-    return f_measure(multiset_overlap(ta, tb), F.size(ta), F.size(tb))
+    return overlap_f1(tokens(a), tokens(b))
+
+
+def overlap_f1(a: Column, b: Column) -> Column:
+    """F-measure of the multiset intersection of two arrays."""
+    return bound(lambda x, y: f_measure(multiset_overlap(x, y), F.size(x), F.size(y)), a, b)
 
 
 def n_grams(words: Column, n: int) -> Column:
