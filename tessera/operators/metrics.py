@@ -60,10 +60,10 @@ def sample_sums(samples: DataFrame) -> DataFrame:
 
 def pair_events(events: DataFrame, key: list[str], order: str = "ts") -> DataFrame:
     """Each end event with the first start of its key; an end without start stays as end_no_start."""
-    starts = events.where("event = 'start'").groupBy(*key).agg(F.min(F.struct(order, "value")).alias("s"))
+    starts = events.where("event = 'start'").groupBy(*key).agg(F.min(F.struct(order, "value")).alias("_start"))
     ends = events.where("event = 'end'")
     joined = ends.join(starts, key, "left")
-    return joined.select(*key, F.when(F.col("s").isNull(), "end_no_start").otherwise("end").alias("event"), F.col(order), F.col("value").alias("end_value"), F.col("s.value").alias("start_value"), (F.col("value") - F.coalesce("s.value", "value")).alias("delta"))
+    return joined.select(*key, F.when(F.col("_start").isNull(), "end_no_start").otherwise("end").alias("event"), F.col(order), F.col("value").alias("end_value"), F.col("_start.value").alias("start_value"), (F.col("value") - F.coalesce("_start.value", "value")).alias("delta"))
 
 
 def mode_summary(turns: DataFrame, part: list[str], measures: list[str]) -> DataFrame:
