@@ -127,3 +127,16 @@ def output_tokens(requested: Column, context: Column, estimate: Column) -> Colum
 def prompt(question: Column, context: Column, run_id: Column | None = None) -> Column:
     body = F.when(norm(context) != "", F.concat(F.lit("Context:\n"), context, F.lit("\n\nQuestion: "), question, F.lit("\nAnswer:"))).otherwise(F.concat(F.lit("Question: "), question, F.lit("\nAnswer:")))
     return body if run_id is None else F.concat(F.lit("[run:"), run_id, F.lit("] "), body)
+
+
+def retry_budget(error: Column) -> Column:
+    """Tokens left for an answer by the limits that an error text states, less 16; null if under 16 or if a number is missing."""
+    limit, used = (F.regexp_extract(error, pattern, 1).try_cast("long") for pattern in (r"maximum context length is ([0-9]+) tokens", r"prompt contains at least ([0-9]+) input tokens"))
+    left = limit - used - 16
+    return F.when(left >= 16, left)
+
+
+def trigrams(word: Column) -> Column:
+    """The three-letter pieces of a word with blanks between."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(word) - 2, F.lit(1)))
+    return F.array_join(F.transform(at, lambda i: F.substring(word, i, 3)), " ")

@@ -181,3 +181,28 @@ def export(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = nodes.select("node")
     kept = edges.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
     return shown, kept
+
+
+def expand(candidates: DataFrame, edges: DataFrame, queries: DataFrame, vectors: DataFrame, part: str, cosine, k: int = 5, gate: bool = True, id_col: str = "vec_id") -> DataFrame:
+    """(part, id, weight, similarity): graph neighbours of each query's candidates(part, id, similarity_score).
+
+    With the gate only those whose similarity to the query reaches 0.4 of the best candidate's, 0.1 at least, are kept.
+    queries(part, q) and vectors(id, embedding) give the vectors.
+    """
+    seeds = candidates.select(part, F.col(id_col).alias("node"))
+    best = candidates.groupBy(part).agg(F.max(F.coalesce("similarity_score", F.lit(0.0))).alias("_best"))
+    found = neighbours(edges, seeds, [part], k).withColumnRenamed("node", id_col).join(vectors.select(id_col, "embedding"), id_col).join(queries.select(part, "q"), part).join(best, part)
+    out = found.withColumn("similarity", F.round(cosine(F.col("q"), F.col("embedding")), 6))
+    kept = out.where(F.col("similarity") >= F.greatest(F.lit(0.1), 0.4 * F.col("_best"))) if gate else out
+    return kept.select(part, id_col, "weight", "similarity")
+
+
+def match_concepts(asked: DataFrame, concept_words: DataFrame, search, part: str, least: float = 0.55) -> DataFrame:
+    """(part, word, concept, kind): concepts that a query names; words that are none get the most similar one from `least` on.
+
+    asked(part, word); concept_words(word). search(words, concepts) ranks concepts by similarity: (word, concept, similarity_score), one a word.
+    """
+    exact = asked.join(concept_words, "word", "left_semi").select(part, "word", F.col("word").alias("concept"), F.lit("exact").alias("kind"))
+    rest = asked.join(concept_words, "word", "left_anti")
+    near = search(rest.select("word").distinct(), concept_words).where(F.col("similarity_score") >= least)
+    return exact.unionByName(rest.join(near, "word").select(part, "word", "concept", F.lit("fuzzy").alias("kind"))).distinct()

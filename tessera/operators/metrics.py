@@ -94,3 +94,10 @@ def progress(done: Column, total: Column) -> Column:
 def gauges(samples: DataFrame, part: list[str], measures: list[str]) -> DataFrame:
     """Mean and peak of each gauge; missing samples do not count."""
     return samples.groupBy(*part).agg(*[x for m in measures for x in (exact_avg(m).alias(f"avg_{m}"), F.max(m).alias(f"peak_{m}"), F.count(m).alias(f"n_{m}"))])
+
+
+def monitor_summary(events: DataFrame, part: list[str]) -> DataFrame:
+    """Mean, largest and smallest value of end events, 0 without any, and the number of start events."""
+    end = F.when(F.col("event") == "end", F.col("value"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return events.groupBy(*part).agg(zero(exact_avg(end)).alias("avg_value"), zero(F.max(end)).alias("max_value"), zero(F.min(end)).alias("min_value"), F.count_if(F.col("event") == "start").alias("starts"))

@@ -46,6 +46,22 @@ class Cache:
         self.cold = list(dict.fromkeys(chunks))
         self.hot = self.cold[: self.preload]
 
+    def prefetch(self, neighbours: list[str], wanted: list[str], count: int = 3) -> list[str]:
+        """Load up to count chunks ahead: graph neighbours, else cold chunks that are neither hot nor wanted, else the context itself."""
+        spare = [c for c in self.cold if c not in set(self.hot) | set(wanted)]
+        picked = (neighbours or spare or wanted)[:count]
+        loaded = [c for c in picked if c in set(self.cold) and c not in set(self.hot)][: max(0, self.capacity - len(self.hot))]
+        self.hot = self.hot + loaded
+        return loaded
+
+    def evict(self, marked: list[str], used_gb: float, limit_gb: float) -> int:
+        """Forget marked cold chunks that are not hot once memory use reaches the limit; how many went."""
+        if used_gb < limit_gb:
+            return 0
+        gone = set(marked) & set(self.cold) - set(self.hot)
+        self.cold = [c for c in self.cold if c not in gone]
+        return len(gone)
+
     def turn(self, wanted: list[str], free_ratio: float = 1.0) -> dict:
         """One turn: count hits before anything moves, offload outdated chunks under pressure, else load what is missing."""
         now = list(dict.fromkeys(wanted))
@@ -77,3 +93,12 @@ def simulate_cache(turns: DataFrame, session: str, iteration: str, wanted: str,
         return pd.DataFrame(made, columns=[session, iteration, "hits", "misses", "action", "moved", "hot", "hit_rate"])
 
     return turns.groupBy(session).applyInPandas(run, f"{session} {kinds[session]}, {iteration} {kinds[iteration]}, hits long, misses long, action string, moved long, hot long, hit_rate double")
+
+
+def cache_summary(turns: DataFrame, session: str) -> DataFrame:
+    """Hit rate in per cent, swaps, and chunks moved a swap, from simulate_cache()."""
+    hits, misses = F.sum("hits"), F.sum("misses")
+    mean = lambda action: F.coalesce(F.round(F.avg(F.when(F.col("action") != "none", F.when(F.col("action") == action, F.col("moved")).otherwise(0))), 2), F.lit(0.0))
+    return turns.groupBy(session).agg(
+        F.when(hits + misses > 0, F.round(100.0 * hits / (hits + misses), 2)).otherwise(F.lit(0.0)).alias("hit_rate_pct"), F.count_if(F.col("action") != "none").alias("swaps"), mean("load").alias("avg_loaded"), mean("offload").alias("avg_offloaded"), F.max("hot").alias("peak_hot"),
+    )

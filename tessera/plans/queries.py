@@ -460,6 +460,55 @@ def graph_score(spark, d):
     return graph.blended(near, graph.pagerank(edges, sources, ["label"], SETTINGS.rank_rounds), ["label"])
 
 
+EXPAND = {
+    "near": NEAR.format(""),
+    "seed": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM near) WHERE rank <= 5",
+    "best": "SELECT query_id, max(s) AS best FROM seed GROUP BY query_id",
+    "nb": "SELECT query_id, vec_id, weight FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(weight, 8), vec_id) AS n FROM (SELECT s.query_id, e.dst AS vec_id, min(e.weight) AS weight FROM seed s JOIN ve e ON e.src = s.vec_id WHERE NOT EXISTS (SELECT 1 FROM seed t WHERE t.query_id = s.query_id AND t.vec_id = e.dst) GROUP BY ALL)) WHERE n <= 5",
+}
+
+
+@query("SELECT query_id, vec_id, round(weight, 4) AS weight, round(similarity, 4) AS similarity FROM (SELECT nb.query_id, nb.vec_id, weight, best, round(list_dot_product(a.v, b.v) / ((sqrt(list_dot_product(a.v, a.v)) + 1e-8::DOUBLE) * (sqrt(list_dot_product(b.v, b.v)) + 1e-8::DOUBLE)), 6) AS similarity FROM nb JOIN best USING (query_id) JOIN em a ON a.vec_id = nb.query_id JOIN em b ON b.vec_id = nb.vec_id) WHERE similarity >= greatest(0.1::DOUBLE, 0.4::DOUBLE * best)", EXPAND)
+def graph_expansion(spark, d):
+    rows = table(spark, d, "embeddings")
+    found = store(_near(spark, d, rows), "expansion")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), V.clean(F.col("embedding")).alias("q"))
+    return graph.expand(found, vector_graph(spark, d), asked, rows.select("vec_id", V.clean(F.col("embedding")).alias("embedding")), "query_id", V.cosine)
+
+
+@query("SELECT concept, round(w, 4) AS semantic_weight, round(CASE WHEN w > 0.3::DOUBLE THEN 0.3::DOUBLE * (1 - 0.5::DOUBLE * w) ELSE 0.3::DOUBLE END, 4) AS edge_weight FROM (SELECT concept, avg(coalesce(x, 0.0::DOUBLE)) AS w FROM (SELECT DISTINCT doc_id, concept, word FROM cmen) m LEFT JOIN de ON de.doc_id = m.doc_id AND de.b = ('0x' || substr(md5(word), 1, 8))::BIGINT % 64 GROUP BY concept)")
+def concept_weights(spark, d):
+    found = mentions(spark, d)
+    words = vectors.hashed_embedding(found.select("word").distinct(), "word", F.col("word")).withColumnRenamed("embedding", "concept_embedding")
+    return graph.semantic_weights(found, vectors.hashed_embedding(docs(spark, d), "doc_id", F.col("text")), words, V.cosine)
+
+
+def _tri(name: str, words: str) -> str:
+    gram = "unnest(list_transform(range(1, greatest(length(word) - 2, 1) + 1), lambda i: substr(word, i, 3)))"
+    return f"SELECT word, b, c / sqrt(sum(c * c) OVER (PARTITION BY word)) AS x FROM (SELECT word, ('0x' || substr(md5(g), 1, 8))::BIGINT % 64 AS b, count(*)::DOUBLE AS c FROM (SELECT word, {gram} AS g FROM {words}) GROUP BY ALL)"
+
+
+MATCH = {
+    "aw": f"SELECT DISTINCT item_id, word FROM (SELECT item_id, unnest(tok) AS word FROM qt) WHERE length(word) > 2 AND word NOT IN ({S.STOP})",
+    "cwords": "SELECT DISTINCT word FROM kw",
+    "restw": "SELECT DISTINCT word FROM aw WHERE word NOT IN (SELECT word FROM cwords)",
+    "ta3": _tri("ta3", "restw"), "tc3": _tri("tc3", "cwords"),
+    "fz": "SELECT word, concept FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY s DESC, concept) AS n FROM (SELECT a.word, c.word AS concept, round(sum(a.x * c.x), 6) AS s FROM ta3 a JOIN tc3 c USING (b) GROUP BY ALL)) WHERE n = 1 AND s >= 0.55::DOUBLE",
+}
+
+
+@query("SELECT item_id, word, word AS concept, 'exact' AS kind FROM aw WHERE word IN (SELECT word FROM cwords) UNION ALL SELECT item_id, word, concept, 'fuzzy' FROM aw JOIN fz USING (word)", MATCH)
+def concept_match(spark, d):
+    asked = items(spark, d).select("item_id", F.explode(X.tokens(F.col("text"))).alias("word")).where((F.length("word") > 2) & ~F.col("word").isin(*X.STOP_WORDS)).distinct()
+    known = store(graph.concepts(docs(spark, d)).where("type = 'KEYWORD'").select("word").distinct(), "concept-words")
+
+    def search(words: DataFrame, concept_words: DataFrame) -> DataFrame:
+        q, c = (vectors.hashed_embedding(w, "word", X.trigrams(F.col("word"))) for w in (words, concept_words))
+        return vectors.exact_topk(q, c.withColumnRenamed("word", "concept"), 1, "word", "embedding", "concept", "embedding")
+
+    return graph.match_concepts(asked, known, search, "item_id", SETTINGS.fuzzy_concept)
+
+
 # ---- evaluation
 
 
@@ -736,6 +785,18 @@ def cache_sim(spark, d):
     return state.simulate_cache(turns, "user_id", "iteration", "wanted")
 
 
+@query()
+def cache_stats(spark, d):
+    turns = usage(spark, d).groupBy("user_id", "iteration").agg(F.sort_array(F.collect_set("chunk")).alias("wanted"))
+    return state.cache_summary(state.simulate_cache(turns, "user_id", "iteration", "wanted"), "user_id")
+
+
+@query("SELECT user_id, round(coalesce(avg(value::DECIMAL(24,6)) FILTER (WHERE event = 'end'), 0.0::DOUBLE), 4) AS avg_value, round(coalesce(max(value) FILTER (WHERE event = 'end'), 0.0::DOUBLE), 4) AS max_value, round(coalesce(min(value) FILTER (WHERE event = 'end'), 0.0::DOUBLE), 4) AS min_value, count(*) FILTER (WHERE event = 'start') AS starts FROM kv GROUP BY user_id", KV)
+def kv_summary(spark, d):
+    kind = F.when(F.col("event_type").isin("click", "view"), "start").otherwise("end")
+    return metrics.monitor_summary(events(spark, d).select("user_id", "value", kind.alias("event")), ["user_id"])
+
+
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(avg(value::DECIMAL(24,6)), 4) AS avg_value, round(max(value), 4) AS max_value FROM events GROUP BY ALL")
 def stream_latency(spark, d):
     rows = events(spark, d)

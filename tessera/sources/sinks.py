@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import io
+import zipfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -46,3 +48,23 @@ def html_report(title: str, cards: dict[str, str], table: DataFrame, most: int =
     body = "".join("<tr>" + "".join(cell(v) for v in r) + "</tr>" for r in rows)
     figures = "".join(f"<div><b>{html.escape(k)}</b> {html.escape(v)}</div>" for k, v in cards.items())
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{figures}<table>{head}{body}</table></body></html>"
+
+
+def docx_report(title: str, tables: dict[str, DataFrame], most: int = 1000) -> bytes:
+    """A word-processing document with a heading and a table for each small result table (the first `most` rows)."""
+    para = lambda t: f"<w:p><w:r><w:t xml:space='preserve'>{html.escape('' if t is None else str(t))}</w:t></w:r></w:p>"
+    body = para(title)
+    for name, table in tables.items():
+        rows = [table.columns, *table.limit(most).collect()]
+        body += para(name) + "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{para(v)}</w:tc>" for v in r) + "</w:tr>" for r in rows) + "</w:tbl>"
+    kind = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="{kind}"/></Types>',
+        "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
+        "word/document.xml": f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for path, text in parts.items():
+            z.writestr(path, '<?xml version="1.0" encoding="UTF-8"?>' + text)
+    return out.getvalue()
