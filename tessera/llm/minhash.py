@@ -3,12 +3,14 @@
 Each text's set of five-word shingles gets a MinHash signature of K coordinates. Two sets of similarity 0.75 agree on
 three coordinates in four, so pairs with fewer than MATCHES equal coordinates are
 dropped; whoever has that many must agree on one of the first K - MATCHES + 1 (the prefix), so
-texts are posted under these coordinate-value pairs only. Equal sets are merged beforehand. Posting lists are merged in two rounds:
+texts are posted under these coordinate-value pairs only. Equal sets are merged beforehand. Posting lists are merged in two steps:
 
-1. every list links its members to its smallest one (a row a member, not a row a pair);
-   collisions are counted, candidates are confirmed on the full sets, and components are formed;
+1. every list links its members to its smallest one (a row a member, not a row a pair); collisions are counted,
+   candidates are confirmed on the full sets, and components are formed. Lists that still hold several components do
+   the same once more with another member of their own in the middle;
 2. pairs already in one component are skipped; the others of a list are counted in blocks of bounded size,
-   each pair in the list of its first common coordinate only, and those that reach MATCHES are confirmed.
+   each pair in the list of its first common coordinate only, and those that reach MATCHES are confirmed within the
+   block. Pairs never become rows: a block passes on no more links than join its texts.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from tessera.llm.graph import components
 #: Coordinates of a signature; equal ones that make a pair a candidate: a pair of similarity 0.75 falls short with probability 0.0003.
 K, MATCHES = 64, 36
 PREFIX = K - MATCHES + 1
-#: Members of a posting list in one block of round 2.
-BLOCK = 1024
+#: Members of a posting list in one block of step 2.
+BLOCK = 2048
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +50,7 @@ def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(-1, K) for c in ("sig_a", "sig_b"))
         keep = pa.array((left == right).sum(axis=1) >= MATCHES)
-        yield batch.select(["a", "b"]).filter(keep)
+        yield batch.select(["a", "b", "id_a", "id_b"]).filter(keep)
 
 
 def _confirm(least: int):
@@ -68,47 +70,89 @@ def _confirm(least: int):
     return confirm
 
 
-def _count_block(rows: dict[str, list]) -> tuple[list, list]:
-    """Pairs of one block, of different components, that agree on MATCHES coordinates and first on this one."""
+def _block_pairs(rows: dict[str, list]) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others) of one block: pairs of different components that agree on MATCHES coordinates and first on this one."""
     sigs = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(-1, K)
     label = np.unique(np.array([x.hex() for x in rows["label"]]), return_inverse=True)[1]
     block, at, first, second = np.array(rows["block"]), rows["at"][0], rows["first"][0], rows["second"][0]
     left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-    a, b = [], []
     for i in left:
         others = right[right > i] if first == second else right
         others = others[label[others] != label[i]]
         if len(others):
             same = sigs[others] == sigs[i]
             good = others[(same.sum(axis=1) >= MATCHES) & ~same[:, :at].any(axis=1)]
-            a += [rows["cls"][i]] * len(good)
-            b += [rows["cls"][j] for j in good]
-    return a, b
+            if len(good):
+                yield i, good
 
 
-def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_BLOCK_ROW = ["key", "first", "second", "block", "at", "cls", "label", "sig", "rep"]
+
+
+def _open_rows(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch | None:
+    """The rows of a block that are in some pair."""
+    hit = sorted({int(x) for i, good in _block_pairs(rows) for x in (i, *good)})
+    return pa.RecordBatch.from_arrays([pa.array([rows[c][x] for x in hit], schema.field(c).type) for c in _BLOCK_ROW], _BLOCK_ROW) if hit else None
+
+
+def _links_of(least: int):
+    """Links within a block, as many as join its texts and no more: a pair that links before it have joined is skipped."""
+
+    def links(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch | None:
+        sets: dict[int, np.ndarray] = {}
+        group = list(range(len(rows["cls"])))
+        a, b = [], []
+
+        def of(x: int) -> np.ndarray:
+            if x not in sets:
+                found = kernels.shingle_set(rows["text"][x])
+                sets[x] = found if kernels.set_digest(found) == rows["cls"][x] else found[:0]
+            return sets[x]
+
+        def root(x: int) -> int:
+            while group[x] != x:
+                group[x] = x = group[group[x]]
+            return x
+
+        for i, good in _block_pairs(rows):
+            for j in map(int, good):
+                if root(int(i)) != root(j):
+                    x, y = of(int(i)), of(j)
+                    same = len(np.intersect1d(x, y, assume_unique=True))
+                    if same and 100 * same >= least * (len(x) + len(y) - same):
+                        group[root(j)] = root(int(i))
+                        a.append(rows["cls"][i])
+                        b.append(rows["cls"][j])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"]) if a else None
+
+    return links
+
+
+def _by_block(names: list[str], handle):
     """Rows come sorted by block; a block is complete once the next one begins."""
-    names, open_rows, key = ["cls", "label", "sig", "block", "at", "first", "second"], None, None
 
-    def done(rows):
-        a, b = _count_block(rows)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_rows, key, schema = None, None, None
 
-    for batch in batches:
-        columns = {c: batch.column(c).to_pylist() for c in names}
-        keys = list(zip(batch.column("key").to_pylist(), columns["first"], columns["second"], strict=True))
-        start = 0
-        for i in range(len(keys) + 1):
-            if i == len(keys) or keys[i] != key:
-                if open_rows is not None and i > start:
-                    for c in names:
-                        open_rows[c] += columns[c][start:i]
-                if i < len(keys):
-                    if open_rows is not None and len(open_rows["cls"]) > 1:
-                        yield done(open_rows)
-                    key, open_rows, start = keys[i], {c: [] for c in names}, i
-    if open_rows is not None and len(open_rows["cls"]) > 1:
-        yield done(open_rows)
+        def done():
+            if open_rows is not None and len(open_rows["cls"]) > 1 and (made := handle(open_rows, schema)) is not None:
+                yield made
+
+        for batch in batches:
+            schema, columns = batch.schema, {c: batch.column(c).to_pylist() for c in names}
+            keys = list(zip(columns["key"], columns["first"], columns["second"], strict=True))
+            start = 0
+            for i in range(len(keys) + 1):
+                if i == len(keys) or keys[i] != key:
+                    if open_rows is not None and i > start:
+                        for c in names:
+                            open_rows[c] += columns[c][start:i]
+                    if i < len(keys):
+                        yield from done()
+                        key, open_rows, start = keys[i], {c: [] for c in names}, i
+        yield from done()
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_percent: int = 75) -> DataFrame:
@@ -117,7 +161,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. Texts with 100 x intersection >= least_percent x union
     of their shingle sets are linked; component_id is the smallest id that links reach. A null or empty text has no shingles and is linked with
     nothing, so its component is itself. Equal ids with different texts count as different documents; a null id never
-    names a component unless all its copies are null. Repeated rows get one row each. An empty table gives no rows.
+    names a component that has others, and a text all of whose ids are null is linked with its copies only. Repeated rows get one row each. An empty table gives no rows.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
@@ -130,42 +174,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = posts.groupBy("key").agg(F.min("cls").alias("head"), F.count("*").alias("size")).where("size > 1")
     posts = store(posts.join(lists, "key"), "mh-posts")
 
-    ids = classes.select("cls", "rep")
-    sigs = classes.select("cls", "sig")
     texts_of = texts.where("id is not null")
 
-    def both(pairs: DataFrame, what: DataFrame, value: str, key: str = "cls") -> DataFrame:
+    def candidates(pairs: DataFrame) -> DataFrame:
+        """Pairs of classes with both signatures and both smallest ids, those that agree on MATCHES coordinates."""
         for side in "ab":
-            pairs = pairs.join(what.select(F.col(key).alias(side if key == "cls" else f"{key}_{side}"), F.col(value).alias(f"{value}_{side}")), side if key == "cls" else f"{key}_{side}")
-        return pairs
+            pairs = pairs.join(classes.select(F.col("cls").alias(side), F.col("rep").alias(f"id_{side}"), F.col("sig").alias(f"sig_{side}")), side)
+        return pairs.select("a", "b", "id_a", "id_b", "sig_a", "sig_b").mapInArrow(_matching, f"a binary, b binary, id_a {id_type}, id_b {id_type}")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        with_ids = both(pairs, ids.withColumnRenamed("rep", "id"), "id")
-        whole = both(with_ids, texts_of, "text", "id").select("a", "b", "text_a", "text_b")
-        return whole.mapInArrow(_confirm(least_percent), "a binary, b binary").distinct()
+        for side in "ab":
+            pairs = pairs.join(texts_of.select(F.col("id").alias(f"id_{side}"), F.col("text").alias(f"text_{side}")), f"id_{side}")
+        return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(least_percent), "a binary, b binary")
+
+    def open_posts(links: DataFrame, *more) -> DataFrame:
+        """Posts of the lists that still hold several components, with the component as label and the list's `more` aggregates."""
+        labels = components(links, "a", "b").withColumnRenamed("node", "cls")
+        rows = posts.where("size > 2").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        lists = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), *more).where("low <> high").drop("low", "high")
+        return rows.join(lists, "key")
 
     stars = posts.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    stars = both(stars, sigs, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(_matching, "a binary, b binary")
-    links = store(confirmed(store(stars, "mh-stars")), "mh-links")
-    labels = components(links, "a", "b").withColumnRenamed("node", "cls")
+    links = store(confirmed(candidates(stars)), "mh-links")
+    hub = F.min(F.struct(F.xxhash64("key", "cls").alias("order"), F.col("cls").alias("a"), F.col("label").alias("of"))).alias("hub")
+    stars = open_posts(links, hub).where("label <> hub.of").select("hub.a", F.col("cls").alias("b")).distinct()
+    links = store(links.unionByName(confirmed(candidates(stars))), "mh-links")
 
-    open_posts = posts.where("size > 2 and cls <> head").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    open_keys = open_posts.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    rows = open_posts.join(open_keys, "key").withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(cls), blocks)").cast("int"))
+    rows = open_posts(links).where("cls <> head").withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
-    rows = rows.join(sigs, "cls").select("key", "first", "second", "block", "at", "cls", "label", "sig")
-    rows = rows.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second")
-    more = store(rows.mapInArrow(_count_blocks, "a binary, b binary").distinct(), "mh-more")
-    if not more.isEmpty():
-        late = confirmed(more)
-        for side in "ab":
-            late = late.join(labels.select(F.col("cls").alias(side), F.col("label").alias(f"label_{side}")), side, "left").withColumn(side, F.coalesce(f"label_{side}", side)).drop(f"label_{side}")
-        late = store(late.where("a <> b").distinct(), "mh-late")
-        if not late.isEmpty():
-            joined = components(late, "a", "b").select(F.col("node").alias("label"), F.col("label").alias("top"))
-            ground = classes.select("cls").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-            labels = store(ground.join(joined, "label", "left").select("cls", F.coalesce("top", "label").alias("label")), "mh-labels")
+    rows = rows.join(classes, "cls").select(*_BLOCK_ROW)
+    block = ["key", "first", "second"]
+    in_blocks = lambda df: df.repartition(*block).sortWithinPartitions(*block)
+    kinds = f"key long, first int, second int, block int, at int, cls binary, label binary, sig binary, rep {id_type}"
+    near = in_blocks(rows).mapInArrow(_by_block(_BLOCK_ROW, _open_rows), kinds)
+    # Only rows that are in some pair get their texts; equal ids with other texts are told apart by the digest.
+    whole = near.join(texts_of, F.col("rep") == F.col("id")).drop("id")
+    late = in_blocks(whole).mapInArrow(_by_block([*_BLOCK_ROW, "text"], _links_of(least_percent)), "a binary, b binary")
+    links = store(links.unionByName(late), "mh-links")
+    labels = components(links, "a", "b").withColumnRenamed("node", "cls")
     grouped = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     names = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = grouped.join(names, "label").select("cls", "component_id")
