@@ -298,3 +298,33 @@ def test_streams(spark, tmp_path):
     turns = rollups.read_events(spark, str(tmp_path / "e")).select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("iteration"), F.array("event_type").alias("wanted"))
     state_rows = rollups.run_to_table(rollups.cache_stream(turns), "cache_test", "append").collect()
     assert len(state_rows) == 8 and sum(r.hits for r in state_rows) == 6
+
+
+def test_budget_from_error_and_prefetch(spark):
+    said = "maximum context length is 4096 tokens, your prompt contains at least 4000 input tokens"
+    assert one(spark, X.retry_budget(F.lit(said))) == 80 and one(spark, X.retry_budget(F.lit(said.replace("4000", "4090")))) is None and one(spark, X.retry_budget(F.lit("no"))) is None
+    assert one(spark, X.trigrams(F.lit("abcd"))) == "abc bcd" and one(spark, X.trigrams(F.lit("ab"))) == "ab"
+    cache = state.Cache(capacity=3, preload=1)
+    cache.start(["a", "b", "c", "d"])
+    assert cache.prefetch(["c", "x"], ["a"], 2) == ["c"] and cache.prefetch([], ["a"], 2) == ["b"]
+    assert cache.evict(["d", "a"], 5.0, 9.0) == 0 and cache.evict(["d", "a"], 9.0, 9.0) == 1 and "d" not in cache.cold
+
+
+def test_expansion_gate_and_concept_match(spark):
+    edges = edges_of(spark, [("1", "2", 0.2), ("1", "3", 0.3)])
+    cands = spark.createDataFrame([(7, "1", 0.9)], "q_id long, vec_id string, similarity_score double")
+    asked = spark.createDataFrame([(7, [1.0, 0.0])], "q_id long, q array<double>")
+    vecs = spark.createDataFrame([("1", [1.0, 0.0]), ("2", [1.0, 1.0]), ("3", [0.1, 1.0])], "vec_id string, embedding array<double>")
+    from tessera.functions import vectors as V
+
+    assert [r.vec_id for r in graph.expand(cands, edges, asked, vecs, "q_id", V.cosine).collect()] == ["2"]
+    assert graph.expand(cands, edges, asked, vecs, "q_id", V.cosine, gate=False).count() == 2
+    words = spark.createDataFrame([(1, "known"), (1, "close"), (1, "far")], "q_id long, word string")
+    near = spark.createDataFrame([("close", "known", 0.6), ("far", "known", 0.1)], "word string, concept string, similarity_score double")
+    found = graph.match_concepts(words, spark.createDataFrame([("known",)], "word string"), lambda w, c: near, "q_id").collect()
+    assert {(r.word, r.concept, r.kind) for r in found} == {("known", "known", "exact"), ("close", "known", "fuzzy")}
+
+
+def test_report_document(spark):
+    made = sinks.docx_report("Title", {"Modes": spark.createDataFrame([("a", 1)], "mode string, n int")})
+    assert files.docx_text(made) == "Title\nModes\nmode | n\na | 1"
