@@ -231,7 +231,7 @@ def read_archives(spark: SparkSession, paths: str | list[str], with_payload: boo
     has neither.
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(paths).select("path", "content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     rows = found.mapInArrow(_reader(with_payload), FIELDS)
     return rows.where("reason is null").drop("reason", *([] if with_payload else ["payload"])), rows.where("reason is not null").select("path", "offset", "length", "reason")
 
