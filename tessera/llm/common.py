@@ -27,6 +27,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # shuffle files go when the driver collects what refers to them
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

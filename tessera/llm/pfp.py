@@ -7,8 +7,8 @@ one phrase, and where it is cut depends on its own bytes alone: equal strings ha
 
 Dictionary and parse. Phrases that are equal are one entry of the dictionary; the parse lists where entries
 occur. An entry that occurs twice has all of its strings repeated. Only entries that share their trigger with
-a different entry can have single strings in common; their LENGTH-byte suffixes are brought
-together and counted. All else is unique. The order of suffixes matters here only as far as
+a different entry can have single strings in common. They are cut into sections, which are settled in the same way; only
+the LENGTH-byte suffixes of sections that stay open are brought together and counted. All else is unique. The order of suffixes matters here only as far as
 LENGTH bytes and only for equality, so equal suffixes are grouped by 128-bit hashes instead of being ranked. Unique text never
 leaves the first step, and the work on repeated text is in proportion to its distinct phrases.
 """
@@ -20,15 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels
 from tessera.llm.common import store, text_or_empty
 
-LENGTH, WORD = 200, 64
+LENGTH, WORD = 200, 40
 #: Bytes of a text that are parsed at once; a position must fit in POSITION_BITS.
 SEGMENT, POSITION_BITS = 4 << 20, 24
+#: A place is one long: the start, then 8 bits for the number of strings, then 16 bits that identify the text along with its hash h.
+STRING_BITS, TAG_BITS = 8, 16
+#: Strings of a section.
+SECTION = 16
 
 
 def phrases(data: np.ndarray, length: int = LENGTH, word: int = WORD) -> tuple[np.ndarray, ...]:
@@ -68,35 +72,82 @@ def _parse(length: int):
             if found:
                 trigger, phrase, start, count = (np.concatenate(x) for x in zip(*found, strict=True))
                 take = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64)), batch.column("g").take(take), batch.column("h").take(take), pa.array(start), pa.array(count.astype(np.int32))],
-                    ["trigger", "phrase", "g", "h", "start", "strings"],
-                )
+                tag = batch.column("g").to_numpy()[np.concatenate(rows)]
+                place = (start << (STRING_BITS + TAG_BITS)) | (count << TAG_BITS) | tag
+                yield pa.RecordBatch.from_arrays([pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64)), batch.column("h").take(take), pa.array(place)], ["trigger", "phrase", "h", "place"])
 
     return parse
 
 
+def _entries(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
+    """(trigger, n, h, tag, start, strings, bytes) of all entries of all texts; None after each batch."""
+    for batch in batches:
+        for h, text, entries in zip(batch.column("h").to_pylist(), batch.column("text"), batch.column("entries").to_pylist(), strict=True):
+            data = kernels.byte_array(text.as_py())
+            for e in entries:
+                start, strings, tag = e["place"] >> (STRING_BITS + TAG_BITS), (e["place"] >> TAG_BITS) & ((1 << STRING_BITS) - 1), e["place"] & ((1 << TAG_BITS) - 1)
+                yield e["trigger"], e["n"], h, tag, start, strings, data[start : start + strings - 1 + length]
+        yield None
+
+
+def _place(start: np.ndarray, strings: np.ndarray | int, tag: int) -> np.ndarray:
+    return (start << (STRING_BITS + TAG_BITS)) | (strings << TAG_BITS) | tag
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """Each of rows has arrays and single values, which stand for all places of its arrays."""
+    columns = []
+    for c in range(len(names)):
+        parts = [np.broadcast_to(np.asarray(r[c]).astype(np.uint64).view(np.int64) if np.asarray(r[c]).dtype == np.uint64 else np.asarray(r[c], dtype=np.int64), len(r[-1])) for r in rows]
+        columns.append(pa.array(np.concatenate(parts)))
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
+def _sections(length: int):
+    """Entries cut into sections: strings whose distance to the trigger has the same quotient by SECTION.
+
+    All strings of a section hold its core, bytes whose place depends on the trigger alone; the body is all bytes of the section.
+    """
+    names = ["trigger", "n", "h", "section", "core", "body", "place"]
+
+    def sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, at = [], np.arange(length - WORD + 1)
+        for entry in _entries(batches, length):
+            if entry is None or len(rows) >= 5000:
+                if rows:
+                    yield _batch(rows, names)
+                rows = []
+            if entry is None:
+                continue
+            trigger, n, h, tag, start, strings, data = entry
+            spans = kernels.Spans(data)
+            rolled = kernels.mix(spans.raw(at, at + WORD))
+            spot = int((((rolled >> np.uint64(POSITION_BITS)) << np.uint64(POSITION_BITS)) | at.astype(np.uint64)).argmin())
+            number = (spot - np.arange(strings)) // SECTION
+            first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+            count = np.diff(np.concatenate((first, [strings])))
+            core = spot - SECTION * number[first]
+            rows.append((trigger, n, h, number[first], spans.hashes(core, core + length - SECTION + 1), spans.hashes(first, first + count - 1 + length), _place(start + first, count, tag)))
+
+    return sections
+
+
 def _suffixes(length: int):
-    """The strings of dictionary entries, each with its hash."""
+    """The strings of sections, each with its hash."""
+    names = ["trigger", "n", "h", "string", "place"]
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            last: tuple = (None, None)
-            hashes, rows, offsets = [], [], []
-            for i, (text, start, strings) in enumerate(zip(batch.column("text"), batch.column("start").to_pylist(), batch.column("strings").to_pylist(), strict=True)):
-                if last[0] != (whole := text.as_py()):
-                    last = (whole, kernels.byte_array(whole))
-                at = np.arange(strings)
-                hashes.append(kernels.Spans(last[1][start : start + strings - 1 + length]).hashes(at, at + length))
-                rows.append(np.full(strings, i))
-                offsets.append(at)
-            if rows:
-                take = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).take(take) for c in ("trigger", "n", "g", "h")]
-                    + [pa.array((np.concatenate(offsets) + batch.column("start").take(take).to_numpy()).astype(np.int64)), pa.array(np.concatenate(hashes).view(np.int64))],
-                    ["trigger", "n", "g", "h", "start", "string"],
-                )
+        rows = []
+        for entry in _entries(batches, length):
+            if entry is None or len(rows) >= 5000:
+                if rows:
+                    yield _batch(rows, names)
+                rows = []
+            if entry is None:
+                continue
+            trigger, n, h, tag, start, strings, data = entry
+            at = np.arange(strings)
+            rows.append((trigger, n, h, kernels.Spans(data).hashes(at, at + length), _place(start + at, 1, tag)))
 
     return suffixes
 
@@ -123,24 +174,38 @@ def _cut(length: int):
     return cut
 
 
+def _settle(rows: DataFrame, key: list[str], body: str, n: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """(spots, book) of rows(key, body, n, h, place): places of bodies that occur twice, and the distinct bodies of keys that have several.
+
+    Keys that occur once hold nothing repeated and are dropped.
+    """
+    shared = rows.groupBy(*key).agg(F.sum(n).alias("_all"), (F.min(body) != F.max(body)).alias("mixed")).where("_all > 1").drop("_all")
+    hits = store(rows.join(shared, key), f"{name}-hits")
+    mixed = hits.where("mixed")
+    book = store(mixed.groupBy(*key, body).agg(F.sum(n).alias("n"), F.min(F.struct("h", "place")).alias("one")), f"{name}-book")
+    bulk = mixed.join(book.where("n > 1").select(*key, body), [*key, body], "left_semi")
+    return hits.where("not mixed").select("h", "place").unionByName(bulk.select("h", "place")), book.select(*key, "n", "one.*")
+
+
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """texts(g, h, text) -> (g, h, start, strings): runs of starts whose length-byte strings occur elsewhere too."""
-    spec = "trigger long, phrase long, g long, h long, start long, strings int"
-    parse = store(texts.mapInArrow(_parse(length), spec), "pfp-parse")
-    shared = parse.groupBy("trigger").agg(F.count("*").alias("n"), (F.min("phrase") != F.max("phrase")).alias("mixed")).where("n > 1").drop("n")
-    hits = store(parse.join(shared, "trigger"), "pfp-hits")
-    spot = ["g", "h", "start", "strings"]
-    pure = hits.where("not mixed").select(*spot)
-
-    dictionary = store(hits.where("mixed").groupBy("trigger", "phrase").agg(F.count("*").alias("n"), F.min(F.struct(*spot)).alias("one")), "pfp-dictionary")
-    often = dictionary.where("n > 1").select("trigger", "phrase")
-    bulk = hits.where("mixed").join(often, ["trigger", "phrase"], "left_semi").select(*spot)
-
-    entries = dictionary.select("trigger", "n", "one.*").join(texts, ["g", "h"]).select("trigger", "n", *spot, "text")
-    strings = store(entries.mapInArrow(_suffixes(length), "trigger long, n long, g long, h long, start long, string long"), "pfp-suffixes")
+    """texts(g, h, text), g of TAG_BITS bits and h a hash -> (g, h, start, strings): runs of starts whose length-byte strings occur elsewhere too."""
+    g = F.col("place").bitwiseAND(F.lit((1 << TAG_BITS) - 1)).alias("g")
+    parse = store(texts.mapInArrow(_parse(length), "trigger long, phrase long, h long, place long"), "pfp-parse")
+    phrases_, book = _settle(parse, ["trigger"], "phrase", F.lit(1), "pfp-phrases")
+
+    def with_text(book: DataFrame) -> DataFrame:
+        """A row for each text that has entries, so a text is handed over once."""
+        listed = book.withColumn("g", g).groupBy("g", "h").agg(F.collect_list(F.struct("trigger", "n", "place")).alias("entries"))
+        return listed.join(texts, ["g", "h"]).select("h", "entries", "text")
+
+    cut = store(with_text(book).mapInArrow(_sections(length), "trigger long, n long, h long, section long, core long, body long, place long"), "pfp-sections")
+    sections, book = _settle(cut, ["trigger", "section", "core"], "body", F.col("n"), "pfp-sections")
+
+    strings = store(with_text(book).mapInArrow(_suffixes(length), "trigger long, n long, h long, string long, place long"), "pfp-suffixes")
     common = strings.groupBy("trigger", "string").agg(F.sum("n").alias("all")).where("all > 1").select("trigger", "string")
-    single = strings.where("n = 1").join(common, ["trigger", "string"], "left_semi").select("g", "h", "start", F.lit(1).alias("strings"))
-    return pure.unionByName(bulk).unionByName(single)
+    single = strings.where("n = 1").join(common, ["trigger", "string"], "left_semi").select("h", "place")
+    spots = phrases_.unionByName(sections).unionByName(single)
+    return spots.select(g, "h", F.shiftright("place", STRING_BITS + TAG_BITS).alias("start"), F.shiftright("place", TAG_BITS).bitwiseAND(F.lit((1 << STRING_BITS) - 1)).cast("int").alias("strings"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -152,7 +217,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     text = text_or_empty(text_col)
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text, F.col(id_col), F.lit(1)).alias("g"), F.xxhash64(F.col(id_col), text).alias("h"), text.alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(text, F.col(id_col), F.lit(1)), F.lit(1 << TAG_BITS)).alias("g"), F.xxhash64(F.col(id_col), text).alias("h"), text.alias("text"))
     found = repeated_spans(texts.select("g", "h", "text"), length)
     spans = found.groupBy("g", "h").agg(F.collect_set(F.struct("start", "strings")).alias("spans"))
     whole = texts.join(spans, ["g", "h"], "left").select("id", "text", "spans")
