@@ -31,8 +31,7 @@ TOXIC = 0.3
 
 
 def toxic_lexicon(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> toxicity.Lexicon:
-    known = labels.where(~toxicity.held_out()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return toxicity.learn(docs.select("doc_id", "text").join(known, "doc_id"))
+    return toxicity.learn(docs.select("doc_id", "text"), labels.where(~toxicity.held_out()).select("doc_id", F.col("toxic").alias("label")))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

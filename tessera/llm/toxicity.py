@@ -106,17 +106,17 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[0][k] for k in keys], pa.int64()), pa.array([counts[1][k] for k in keys], pa.int64())], ["piece", "toxic", "clean"])
 
 
-def learn(labelled: DataFrame, sample_rows: int = 20_000, support: float = 0.015, least_odds: float = 3.5, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """The lexicon of labelled(text, label) rows.
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, support: float = 0.015, least_odds: float = 3.5, exceptions: tuple[str, ...] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
+    """The lexicon of docs with labels(id_col, label).
 
-    At most sample_rows rows are used, those with the smallest hashes of their texts; repeated texts count once. An
-    entry needs a share `support` of the toxic texts (5 at least) and log-odds of least_odds. Rows without label are left out. Without toxic rows the lexicon is
-    empty and all scores are the same low value.
+    At most sample_rows labelled ids are used, those with the smallest hashes; they alone are joined with the texts, and repeated texts count once. An
+    entry needs a share `support` of the toxic texts (5 at least) and log-odds of least_odds. Rows without label are left out; of contradicting labels
+    the larger counts. Without toxic rows the lexicon is empty and all scores are the same low value.
     """
-    rows = labelled.where("label is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    order = F.xxhash64("text")
-    last = rows.select(order.alias("order")).distinct().orderBy("order").limit(sample_rows).agg(F.max("order")).first()[0]
-    rows = rows.where(order <= F.lit(last)).groupBy("text").agg(F.max("label").alias("label")).persist()
+    known = labels.where(F.col("label").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col("label").cast("int")).alias("label"))
+    sample = known.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
+    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), id_col)
+    rows = rows.groupBy("text").agg(F.max("label").alias("label")).persist()
     n = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic:
