@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, decontam, minhash, mixing, pfp, sharding, tokencount, toxicity, urlfilter, warc
+from tessera.llm import ann, decontam, minhash, mixing, oracles, pfp, sharding, tokencount, toxicity, urlfilter, warc
 from tessera.llm.common import store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,4 +91,4 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_urlfilter, op2_decontamination, op3_toxicity, op4_sharding, op5_ann, op6_tokencount, op7_pfp, op8_warc, op9_minhash, op10_mixing)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
