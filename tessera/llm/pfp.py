@@ -219,7 +219,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = text_or_empty(text_col)
     texts = docs.select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(text, F.col(id_col), F.lit(1)), F.lit(1 << TAG_BITS)).alias("g"), F.xxhash64(F.col(id_col), text).alias("h"), text.alias("text"))
     found = repeated_spans(texts.select("g", "h", "text"), length)
-    spans = found.groupBy("g", "h").agg(F.collect_set(F.struct("start", "strings")).alias("spans"))
+    spans = store(found.groupBy("g", "h").agg(F.collect_set(F.struct("start", "strings")).alias("spans")), "pfp-spans")
     whole = texts.join(spans, ["g", "h"], "left").select("id", "text", "spans")
     id_type = dict(texts.dtypes)["id"]
     cut = whole.mapInArrow(_cut(length), f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
