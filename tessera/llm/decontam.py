@@ -1,10 +1,9 @@
-"""Benchmark decontamination by rare n-gram seeds and local alignment.
+"""Benchmark decontamination by n-gram seeds and local alignment.
 
-Runs of SEED words of the test items are looked up in all documents, and the number of documents that hold each
-is counted. Of an item's runs those are rare that occur no more often than RARE times its median run; a
-leak seen in a third of all documents thus keeps its seeds, while common phrases go. Where a document holds a
-rare seed, the item is aligned with the words around by Smith-Waterman, and the score is set
-against that of the unchanged item.
+All runs of SEED words of the test items are looked up in all documents. Where a document holds one, the item is
+aligned with the words around by Smith-Waterman, and the score is set against that of the unchanged item. No run is
+left out as common, since an edited copy may hold no others; a common phrase costs little, as places with too few
+of the item's words for the score wanted are passed over before the alignment.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import kernels
 
-SEED, RARE = 4, 2.0
+SEED = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the best possible score from which a document is called contaminated.
 LEAK = 0.5
@@ -61,9 +60,9 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 class Seeds:
     """The runs of words of some items, sorted, each with the items and places that have it."""
 
-    def __init__(self, items: list[tuple[int, str | None]], drop: set[tuple[int, int]] | None = None):
+    def __init__(self, items: list[tuple[int, str | None]]):
         self.words = {i: words(text) for i, text in items}
-        rows = [(h, i, at) for i, w in self.words.items() for at, h in enumerate(self.runs(w).tolist()) if drop is None or (i, h) not in drop]
+        rows = [(h, i, at) for i, w in self.words.items() for at, h in enumerate(self.runs(w).tolist())]
         rows.sort()
         self.where: dict[int, list[tuple[int, int]]] = {}
         for h, i, at in rows:
@@ -89,18 +88,6 @@ class Seeds:
         return (np.concatenate(at), np.concatenate(found)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def _count(seeds: Seeds):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
-        for batch in batches:
-            for text in batch.column("text"):
-                for h in np.unique(seeds.places(words(text.as_py()))[1]).tolist():
-                    total[h] = total.get(h, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(list(total), dtype=np.uint64).view(np.int64)), pa.array(list(total.values()), pa.int64())], ["h", "docs"])
-
-    return run
-
-
 def _find(seeds: Seeds, least: float):
     def pairs(w: np.ndarray) -> Iterator[tuple]:
         starts: dict[int, list[int]] = {}
@@ -114,8 +101,11 @@ def _find(seeds: Seeds, least: float):
             for k in range(1, len(spots) + 1):
                 if k == len(spots) or spots[k] - spots[k - 1] > 2 * pad:
                     low, high = max(0, spots[first] - pad), min(len(w), spots[k - 1] + len(item) + pad)
-                    score, a, b = align(item, w[low:high])
-                    best, first = max(best, (score, -(low + a), low + b)), k
+                    first = k
+                    # No alignment scores more than a match for each word of the item that is there.
+                    if np.isin(item, w[low:high]).sum() / len(item) >= least:
+                        score, a, b = align(item, w[low:high])
+                        best = max(best, (score, -(low + a), low + b))
             share = best[0] / (MATCH * len(item))
             if share >= least:
                 yield i, share, -best[1], best[2], len(spots)
@@ -136,7 +126,7 @@ def _find(seeds: Seeds, least: float):
 def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and test item whose alignment reaches `least` of the best score.
 
-    Columns: id_col, item_col, score (0 to 1), first_word, last_word (the place in the document, the end exclusive), seeds (places with rare seeds). Null
+    Columns: id_col, item_col, score (0 to 1), first_word, last_word (the place in the document, the end exclusive), seeds (places with seeds). Null
     and empty texts and items match nothing; items with null id are left out, of items with one id the longest text counts. Repeated rows of docs
     give repeated results. Without documents or items there are no rows. Items go to the executors ITEMS_AT_ONCE at a time.
     """
@@ -147,14 +137,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAK, id_col:
     out, block = docs.sparkSession.createDataFrame([], spec), []
 
     def search(block: list) -> DataFrame:
-        seeds = Seeds(block)
-        held = {r.h % (1 << 64): r.n for r in frame.mapInArrow(_count(seeds), "h long, docs long").groupBy("h").agg(F.sum("docs").alias("n")).collect()}
-        common = set()
-        for i, w in seeds.words.items():
-            own = Seeds.runs(w).tolist()
-            limit = RARE * float(np.median([held.get(h, 0) for h in own])) if own else 0
-            common |= {(i, h) for h in own if held.get(h, 0) > max(1.0, limit)}
-        return frame.mapInArrow(_find(Seeds(block, common), least), spec)
+        return frame.mapInArrow(_find(Seeds(block), least), spec)
 
     for row in longest.orderBy("item").toLocalIterator():
         block.append((row.item, row.text))

@@ -89,6 +89,20 @@ def test_edited_copies_are_found_and_clean_texts_left(spark):
     assert (exact.score, exact.first_word, exact.last_word) == (1.0, 1, 31)
 
 
+def test_copies_do_not_hide_an_edited_leak(spark):
+    rng = random.Random(4)
+    text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    items = [(0, text(37)), (1, text(59)), (2, text(37))]
+    edited = {i: [f"edited{at}" if at % 5 == 4 else w for at, w in enumerate(words)] for i, words in items}
+    # Item 0 is edited in two documents, item 1 in forty; item 2 is whole in one and edited in forty.
+    leaks = [(0, edited[0])] * 2 + [(1, edited[1])] * 40 + [(2, items[2][1])] + [(2, edited[2])] * 40
+    docs = [(d, " ".join(text(60) + words + text(60))) for d, (_, words) in enumerate(leaks)]
+    # A run of an item alone is no leak.
+    docs += [(1000 + d, " ".join(text(60) + items[0][1][:4] + text(60))) for d in range(40)]
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(d, i) for d, (i, _) in enumerate(leaks)}
+
+
 @pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary")
 def test_counts_equal_the_tokenizer(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
