@@ -1,6 +1,6 @@
 """URL filter: allow and block rules, then naive Bayes over segmented names.
 
-Host labels and path parts are split into words by a unigram Viterbi search: all substrings of a
+Host labels and path parts are cut into runs of letters and runs of digits, and runs of letters into words by a unigram Viterbi search: all substrings of a
 label are looked up in the word counts of a corpus by a join, and the best way through them is found per distinct label.
 A multinomial naive Bayes model, trained on the urls that rules decide (or on given labels), scores the words.
 """
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import store
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Longest word looked for; longest label that is split; most rules.
-MAX_WORD, MAX_LABEL, MAX_RULES = 20, 63, 1000
+#: Longest word looked for; most rules.
+MAX_WORD, MAX_RULES = 20, 1000
 
 
 def host_of(url: Column) -> Column:
@@ -77,8 +77,8 @@ def _segment(total: int):
 
 
 def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
-    """(label, words) of distinct labels(label). Labels that are not a-z throughout or longer than MAX_LABEL are one word."""
-    plain = F.col("label").rlike(f"^[a-z]{{2,{MAX_LABEL}}}$")
+    """(label, words) of distinct labels(label). Labels that are not a-z throughout are one word."""
+    plain = F.col("label").rlike("^[a-z]{2,}$")
     total = int(counts.agg(F.sum("count")).first()[0] or 1)
     parts = labels.where(plain).withColumn("s", F.explode(F.sequence(F.lit(0), F.length("label") - 1)))
     parts = parts.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("label") - F.col("s")))))
@@ -89,9 +89,9 @@ def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def name_parts(host: Column, path: Column) -> Column:
-    """Labels of the host and parts of the path; a part of digits only is '#' and its length."""
-    parts = F.concat(F.split(host, r"\."), F.split(F.translate(path, UPPER, LOWER), "[^a-z0-9]+"))
-    return F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("#"), F.length(p).cast("string"))).otherwise(p))
+    """Runs of letters, digits and other than ASCII characters of host and path; one of digits is '#' and its length."""
+    runs = F.regexp_extract_all(F.concat_ws("/", host, F.translate(path, UPPER, LOWER)), F.lit(r"[a-z]+|[0-9]+|[^\x00-\x7F]+"), F.lit(0))
+    return F.transform(runs, lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("#"), F.length(p).cast("string"))).otherwise(p))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], counts: DataFrame, labels: DataFrame | None = None, url_col: str = "url", smoothing: float = 1.0) -> DataFrame:

@@ -168,3 +168,19 @@ def test_url_rules_words_and_model(spark):
     assert urlfilter.judge(pages.limit(0), RULES, counts).count() == 0
     none = urlfilter.judge(pages, [], counts).collect()
     assert {r.verdict for r in none} == {"allow"} and {r.rule for r in none} == {None}
+
+
+def test_names_with_hyphens_and_digits_are_segmented(spark):
+    texts = spark.createDataFrame([("casino bonus free bets news library",)] * 2, "text string")
+    long = "casinobonus" * 7
+    urls = [
+        "http://a.com/de/1", "http://casino-win.com/de/", "http://freelibrary.org/news", "http://casino-bets.net/", "http://casino24bonus.net/freebets2go", f"http://{long}.net/",
+        "http://b\u00fccher-news.net/\u00fc", "http://free_library:8080/",
+    ]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    found = {r.page_id: r for r in urlfilter.judge(pages, RULES, urlfilter.word_counts(texts)).collect()}
+    assert found[1].words == "casino win com de" and found[1].rule == "com/de/"
+    assert found[3].words == "casino bets net" and found[3].verdict == "block"
+    assert found[4].words == "casino #2 bonus net free bets #1 go"
+    assert found[5].words == "casino bonus " * 7 + "net" and found[5].verdict == "block"
+    assert found[6].words == "b \u00fc cher news net \u00fc" and found[7].words == "free library #4"
