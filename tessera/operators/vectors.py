@@ -106,3 +106,23 @@ def similar_pairs(vectors: DataFrame, least: float, id_col: str = "vec_id", vect
         return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": score[keep]})
 
     return dealt.groupBy("i", "j").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
+
+
+def vector_classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, node): rows with equal vectors stand as the one with the smallest id; null vectors are in no class."""
+    good = vectors.where(F.col(vector_col).isNotNull()).select(id_col, V.clean(F.col(vector_col)).alias("_v"))
+    return good.join(good.groupBy("_v").agg(F.min(id_col).alias("node")), "_v").select(id_col, "node")
+
+
+def all_pairs(vectors: DataFrame, least: float, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = 2048) -> DataFrame:
+    """(a, b, similarity): all pairs a < b with cosine above least, copies included; only different vectors are compared.
+
+    The members of a class have the pairs of its representative, and those among themselves.
+    """
+    members = vector_classes(vectors, id_col, vector_col).select(F.col(id_col).alias("m"), "node")
+    x, y = (members.select(F.col("node").alias(side), F.col("m").alias(f"_{side}")) for side in "ab")
+    apart = similar_pairs(vectors, least, id_col, vector_col, cell).join(x, "a").join(y, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "similarity")
+    v = V.clean(F.col(vector_col))
+    alike = vectors.select(F.col(id_col).alias("node"), F.round(V.cosine(v, v), 6).alias("similarity")).join(members.where("m = node").select("node").distinct(), "node", "left_semi")
+    alike = alike.where(F.col("similarity") > least).join(members.select("node", F.col("m").alias("a")), "node").join(members.select("node", F.col("m").alias("b")), "node").where("a < b")
+    return apart.unionByName(alike.select("a", "b", "similarity"))

@@ -196,7 +196,7 @@ def embedding_search(spark, d):
 
 
 def vector_pairs(spark, d):
-    return vectors.similar_pairs(table(spark, d, "embeddings"), 0.35)
+    return vectors.all_pairs(table(spark, d, "embeddings"), 0.35)
 
 
 @query("SELECT a, b, round(similarity, 4) AS similarity FROM pairs")
@@ -204,6 +204,11 @@ def similar_pairs(spark, d):
     return vector_pairs(spark, d)
 
 
+@query("SELECT vec_id, min(vec_id) OVER (PARTITION BY v) AS node FROM em")
+def vector_classes(spark, d):
+    return vectors.vector_classes(table(spark, d, "embeddings"))
+
+
 # ---- fusion, scoring and reranking
 
 

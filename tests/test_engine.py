@@ -328,3 +328,33 @@ def test_expansion_gate_and_concept_match(spark):
 def test_report_document(spark):
     made = sinks.docx_report("Title", {"Modes": spark.createDataFrame([("a", 1)], "mode string, n int")})
     assert files.docx_text(made) == "Title\nModes\nmode | n\na | 1"
+
+
+def sql_rows(con, name):
+    from tessera.plans.queries import ORACLES
+
+    return sorted(tuple(r[c] for c in sorted(r)) for r in con.execute(ORACLES[name]).df().to_dict("records"))
+
+
+@pytest.fixture(scope="module")
+def with_copies(spark, tmp_path_factory):
+    """A folder whose embeddings are mostly copies, ids of copies mixed with others, and the same as a view for SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    folder = str(tmp_path_factory.mktemp("copies"))
+    kinds = [[1.0, 0.0, 0.1], [0.9, 0.3, 0.0], [0.0, 1.0, 0.2], [0.2, 0.9, -0.4], [-1.0, 0.1, 0.3], [0.0, 0.0, 0.0]]
+    rows = [(i, i % 2, kinds[i % 5 if i < 15 else 0 if i < 20 else 5]) for i in range(22)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, label INT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", rows)
+    con.execute(f"COPY embeddings TO '{folder}/embeddings.parquet' (FORMAT parquet)")
+    return folder, con
+
+
+@pytest.mark.parametrize("name", ["similar_pairs", "vector_classes", "semantic_edges", "degree_topk", "neighbours", "graph_expansion", "graph_distance"])
+def test_copies_of_vectors_have_their_links(spark, with_copies, name):
+    from tessera.plans.queries import QUERIES
+
+    folder, con = with_copies
+    ours = sorted(tuple(r[c] for c in sorted(r.asDict())) for r in QUERIES[name](spark, folder).collect())
+    theirs = sql_rows(con, name)
+    assert len(ours) == len(theirs) > 0 and all(a == pytest.approx(b) for a, b in zip(ours, theirs, strict=True))
