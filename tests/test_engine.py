@@ -358,3 +358,25 @@ def test_copies_of_vectors_have_their_links(spark, with_copies, name):
     ours = sorted(tuple(r[c] for c in sorted(r.asDict())) for r in QUERIES[name](spark, folder).collect())
     theirs = sql_rows(con, name)
     assert len(ours) == len(theirs) > 0 and all(a == pytest.approx(b) for a, b in zip(ours, theirs, strict=True))
+
+
+def test_sessions_of_the_whole_table(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tessera.plans.queries import QUERIES
+
+    start, minutes = datetime(2024, 1, 1), [(0, 0), (0, 20), (0, 45), (0, 100), (1, 10), (1, 3000), (1, 3029), (0, 3005), (0, 3080), (1, 5)]
+    rows = [(i, str(start + timedelta(minutes=m)), u, "view", float(i), "{}") for i, (u, m) in enumerate(minutes)]
+    # Two files, the later events first.
+    frame = spark.createDataFrame(rows, "event_id long, t string, user_id long, event_type string, value double, props string").withColumn("ts", F.to_timestamp("t")).drop("t")
+    for part in ("event_id >= 5 and event_id < 9", "event_id < 5 or event_id = 9"):
+        frame.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    wanted = []
+    for user in (0, 1):
+        last = None
+        for m, i in sorted((m, i) for i, (u, m) in enumerate(minutes) if u == user):
+            if last is None or m > last + 30:
+                wanted.append([user, m, m + 30, 0, 0.0])
+            last, wanted[-1][2], wanted[-1][3], wanted[-1][4] = m, m + 30, wanted[-1][3] + 1, wanted[-1][4] + i
+    found = QUERIES["stream_sessions"](spark, str(tmp_path)).selectExpr("user_id", "cast(session_start as string) a", "cast(session_end as string) b", "events", "value").collect()
+    assert sorted(map(tuple, found)) == [(u, str(start + timedelta(minutes=a)), str(start + timedelta(minutes=b)), n, v) for u, a, b, n, v in wanted]
