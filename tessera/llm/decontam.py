@@ -32,7 +32,7 @@ def words(text: str | None) -> np.ndarray:
     """A hash for each word: runs of letters and digits of the lower-cased text, all other than ASCII counting as letters."""
     data = kernels.byte_array((text or "").lower())
     edge = np.diff(np.concatenate(([False], _WORDY[data], [False])).astype(np.int8))
-    return kernels.Spans(data).hashes(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))
+    return kernels.span_hashes(data, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import store
+from tessera.llm.common import discard, store
 
 #: Links that one task contracts.
 LOCAL_LINKS = 200_000
@@ -48,12 +48,15 @@ def components(links: DataFrame, a: str, b: str, local_links: int | None = None)
         return stars
     both = stars.select(F.col("node").alias("src"), F.col("label").alias("dst"))
     both = store(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct(), "cc-links")
-    labels = store(stars.groupBy("node").agg(F.min("label").alias("label")), "cc-labels")
+    labels = store(stars.groupBy("node").agg(F.min("label").alias("label")), "cc-labels", stars)
+    before = labels
     while True:
         near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         of = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         moved = store(step.join(of, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "cc-labels")
-        labels = moved.select("node", "label")
+        discard(before)
+        labels, before = moved.select("node", "label"), moved
         if moved.where("label < old").isEmpty():
+            discard(both)
             return labels

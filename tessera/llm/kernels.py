@@ -13,6 +13,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Masks of the first 0 to 8 bytes, and the longest span that is hashed in steps of eight.
+_HEAD, LONG = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64), 512
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,11 +60,40 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash for each span of bytes: eight bytes after the other are mixed in, so no family of texts collides by construction.
+
+    Spans of up to 8 bytes and equal size never collide; of longer than LONG bytes a cryptographic digest is taken.
+    """
+    size = ends - starts
+    eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    out = mix(size.astype(np.uint64) * np.uint64(_BASE))
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    live = np.flatnonzero(size <= LONG)
+    at, left = starts[live], size[live]
+    while len(live):
+        out[live] = mix((out[live] ^ (eights[at] & _HEAD[np.minimum(left, 8)])) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def word_hashes(text: str | bytes | None) -> np.ndarray:
     """One hash for each word of the text, A-Z lower-cased."""
     data = LOWER[byte_array(text)]
-    starts, ends = word_bounds(data)
-    return Spans(data).hashes(starts, ends)
+    return span_hashes(data, *word_bounds(data))
+
+
+def word_list(text: str | bytes | None) -> list[bytes]:
+    """The words themselves, A-Z lower-cased."""
+    return (text.encode() if isinstance(text, str) else text or b"").translate(LOWER.tobytes()).split()
+
+
+def exact_shingles(text: str | bytes | None, n: int = 5) -> set[tuple[bytes, ...]]:
+    """shingle_set() as tuples of words."""
+    words = word_list(text)
+    return set(zip(*(words[i:] for i in range(min(n, len(words)))), strict=False)) if words else set()
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -75,7 +106,7 @@ def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(total + np.uint64(n))
 
 
-def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
+def shingle_set(text: str | bytes | None, n: int = 5) -> np.ndarray:
     """Sorted distinct shingles of n words; with fewer words the whole sequence is the one shingle; without words none."""
     words = word_hashes(text)
     return np.unique(run_hashes(words, min(n, len(words)))) if len(words) else words

@@ -8,9 +8,12 @@ texts are posted under these coordinate-value pairs only. Equal sets are merged
 1. every list links its members to its smallest one (a row a member, not a row a pair); collisions are counted,
    candidates are confirmed on the full sets, and components are formed. Lists that still hold several components do
    the same once more with another member of their own in the middle;
-2. pairs already in one component are skipped; the others of a list are counted in blocks of bounded size,
-   each pair in the list of its first common coordinate only, and those that reach MATCHES are confirmed within the
+2. pairs already in one component are skipped; the others of a list are dealt by the sizes of their sets, since sets of
+   similarity 0.75 differ in size by a third at most, and counted in blocks of bounded rows and bytes,
+   each pair in the list of its first common coordinate only. Those that reach MATCHES are confirmed within the
    block. Pairs never become rows: a block passes on no more links than join its texts.
+
+Signatures are made of 64-bit hashes of shingles; links are confirmed on the words themselves.
 """
 
 from __future__ import annotations
@@ -23,26 +26,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels
-from tessera.llm.common import store
+from tessera.llm.common import discard, pieces, store
 from tessera.llm.graph import components
 
 #: Coordinates of a signature; equal ones that make a pair a candidate: a pair of similarity 0.75 falls short with probability 0.0003.
 K, MATCHES = 64, 36
 PREFIX = K - MATCHES + 1
-#: Members of a posting list in one block of step 2.
-BLOCK = 2048
+#: Members of a posting list, and bytes of their texts, in one block of step 2.
+BLOCK, BLOCK_BYTES = 2048, 32 << 20
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seeds = kernels.minhash_seeds(K)
-    for batch in batches:
+    for batch in pieces(batches):
         n, digests, sigs = [], [], []
-        for text in batch.column(1):
+        for text in batch.column("text"):
             shingles = kernels.shingle_set(text.as_py())
             n.append(len(shingles))
             digests.append(kernels.set_digest(shingles) if len(shingles) else None)
             sigs.append(kernels.minhash(shingles, seeds).tobytes() if len(shingles) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["id", "n", "cls", "sig"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("alt"), batch.column("bytes"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["id", "alt", "bytes", "n", "cls", "sig"]
+        )
+
+
+def _similar(a: set, b: set, least: int) -> bool:
+    same = len(a & b)
+    return same > 0 and 100 * same >= least * (len(a) + len(b) - same)
 
 
 def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,30 +65,33 @@ def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(least: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        last: tuple = (None, None, None)
         for batch in batches:
             keep = []
             for a, b, text_a, text_b in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b")), strict=True):
                 if last[0] != (text := text_a.as_py()):
-                    found = kernels.shingle_set(text)
-                    last = (text, found, kernels.set_digest(found))
-                other = kernels.shingle_set(text_b.as_py())
-                same = len(np.intersect1d(last[1], other, assume_unique=True))
-                keep.append(a.as_py() == last[2] and b.as_py() == kernels.set_digest(other) and 100 * same >= least * (len(last[1]) + len(other) - same))
+                    last = (text, kernels.exact_shingles(text), kernels.set_digest(kernels.shingle_set(text)))
+                # Two rows may have one id; the digest tells whether this is the text that was meant.
+                ours = a.as_py() == last[2] and b.as_py() == kernels.set_digest(kernels.shingle_set(text_b.as_py()))
+                keep.append(ours and _similar(last[1], kernels.exact_shingles(text_b.as_py()), least))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return confirm
 
 
 def _block_pairs(rows: dict[str, list]) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, others) of one block: pairs of different components that agree on MATCHES coordinates and first on this one."""
+    """(i, others) of one block: pairs of different components that agree on MATCHES coordinates and first on this one.
+
+    Of rows that came from the next level of sizes (upper) no two are compared: their own level does that.
+    """
     sigs = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(-1, K)
     label = np.unique(np.array([x.hex() for x in rows["label"]]), return_inverse=True)[1]
     block, at, first, second = np.array(rows["block"]), rows["at"][0], rows["first"][0], rows["second"][0]
+    upper = np.array(rows["upper"])
     left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
     for i in left:
         others = right[right > i] if first == second else right
-        others = others[label[others] != label[i]]
+        others = others[(label[others] != label[i]) & ~(upper[others] & upper[i])]
         if len(others):
             same = sigs[others] == sigs[i]
             good = others[(same.sum(axis=1) >= MATCHES) & ~same[:, :at].any(axis=1)]
@@ -86,7 +99,8 @@ def _block_pairs(rows: dict[str, list]) -> Iterator[tuple[int, np.ndarray]]:
                 yield i, good
 
 
-_BLOCK_ROW = ["key", "first", "second", "block", "at", "cls", "label", "sig", "rep"]
+_BLOCK_KEY = ["key", "level", "first", "second"]
+_BLOCK_ROW = [*_BLOCK_KEY, "block", "at", "upper", "cls", "label", "sig", "rep", "alt"]
 
 
 def _open_rows(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch | None:
@@ -99,14 +113,14 @@ def _links_of(least: int):
     """Links within a block, as many as join its texts and no more: a pair that links before it have joined is skipped."""
 
     def links(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch | None:
-        sets: dict[int, np.ndarray] = {}
+        sets: dict[int, set] = {}
         group = list(range(len(rows["cls"])))
         a, b = [], []
 
-        def of(x: int) -> np.ndarray:
+        def of(x: int) -> set:
             if x not in sets:
-                found = kernels.shingle_set(rows["text"][x])
-                sets[x] = found if kernels.set_digest(found) == rows["cls"][x] else found[:0]
+                ours = kernels.set_digest(kernels.shingle_set(rows["text"][x])) == rows["cls"][x]
+                sets[x] = kernels.exact_shingles(rows["text"][x]) if ours else set()
             return sets[x]
 
         def root(x: int) -> int:
@@ -116,13 +130,10 @@ def _links_of(least: int):
 
         for i, good in _block_pairs(rows):
             for j in map(int, good):
-                if root(int(i)) != root(j):
-                    x, y = of(int(i)), of(j)
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    if same and 100 * same >= least * (len(x) + len(y) - same):
-                        group[root(j)] = root(int(i))
-                        a.append(rows["cls"][i])
-                        b.append(rows["cls"][j])
+                if root(int(i)) != root(j) and _similar(of(int(i)), of(j), least):
+                    group[root(j)] = root(int(i))
+                    a.append(rows["cls"][i])
+                    b.append(rows["cls"][j])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"]) if a else None
 
     return links
@@ -140,7 +151,7 @@ def _by_block(names: list[str], handle):
 
         for batch in batches:
             schema, columns = batch.schema, {c: batch.column(c).to_pylist() for c in names}
-            keys = list(zip(columns["key"], columns["first"], columns["second"], strict=True))
+            keys = list(zip(*(columns[c] for c in _BLOCK_KEY), strict=True))
             start = 0
             for i in range(len(keys) + 1):
                 if i == len(keys) or keys[i] != key:
@@ -160,31 +171,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. Texts with 100 x intersection >= least_percent x union
     of their shingle sets are linked; component_id is the smallest id that links reach. A null or empty text has no shingles and is linked with
-    nothing, so its component is itself. Equal ids with different texts count as different documents; a null id never
-    names a component that has others, and a text all of whose ids are null is linked with its copies only. Repeated rows get one row each. An empty table gives no rows.
+    nothing, so its component is itself. Equal ids with different texts count as different documents; a row with null id links others like
+    any row but never names a component that has ids, and names none (null) that has no others. Texts of any length are taken whole;
+    a signature has the same size for all. Repeated rows get one row each. Columns of docs other than the two named play no part. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    texts = texts.withColumn("alt", F.when(F.col("id").isNull(), F.xxhash64("text")))
     id_type = dict(texts.dtypes)["id"]
-    sets = store(texts.mapInArrow(_signatures, f"id {id_type}, n long, cls binary, sig binary"), "mh-sets")
-    classes = store(sets.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "mh-classes")
+    sized = texts.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    sets = store(sized.mapInArrow(_signatures, f"id {id_type}, alt long, bytes long, n long, cls binary, sig binary"), "mh-sets")
+    heads = [F.min("id").alias("rep"), F.min("alt").alias("alt"), F.max("bytes").alias("bytes"), F.max("n").alias("n"), F.first("sig").alias("sig")]
+    classes = store(sets.where("cls is not null").groupBy("cls").agg(*heads), "mh-classes")
 
     posts = classes.select("cls", F.expr(f"posexplode(transform(sequence(0, {PREFIX - 1}), i -> xxhash64(i, substring(sig, i * 4 + 1, 4))))").alias("at", "key"))
     lists = posts.groupBy("key").agg(F.min("cls").alias("head"), F.count("*").alias("size")).where("size > 1")
     posts = store(posts.join(lists, "key"), "mh-posts")
 
-    texts_of = texts.where("id is not null")
+    # A class is found by its smallest id, or by a hash of its text if no row of it has an id.
+    place = lambda name, alt: F.coalesce(F.col(name).cast("string"), F.concat(F.lit("?"), F.col(alt).cast("string")))
+    unnamed = texts.where("id is null").groupBy("alt").agg(F.first("text").alias("text"))
+    texts_of = texts.where("id is not null").select(place("id", "alt").alias("place"), "text").unionByName(unnamed.select(F.concat(F.lit("?"), F.col("alt").cast("string")).alias("place"), "text"))
 
     def candidates(pairs: DataFrame) -> DataFrame:
-        """Pairs of classes with both signatures and both smallest ids, those that agree on MATCHES coordinates."""
+        """Pairs of classes with both signatures and both places, those that agree on MATCHES coordinates."""
         for side in "ab":
-            pairs = pairs.join(classes.select(F.col("cls").alias(side), F.col("rep").alias(f"id_{side}"), F.col("sig").alias(f"sig_{side}")), side)
-        return pairs.select("a", "b", "id_a", "id_b", "sig_a", "sig_b").mapInArrow(_matching, f"a binary, b binary, id_a {id_type}, id_b {id_type}")
+            pairs = pairs.join(classes.select(F.col("cls").alias(side), place("rep", "alt").alias(f"id_{side}"), F.col("sig").alias(f"sig_{side}")), side)
+        return pairs.select("a", "b", "id_a", "id_b", "sig_a", "sig_b").mapInArrow(_matching, "a binary, b binary, id_a string, id_b string")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         for side in "ab":
-            pairs = pairs.join(texts_of.select(F.col("id").alias(f"id_{side}"), F.col("text").alias(f"text_{side}")), f"id_{side}")
+            pairs = pairs.join(texts_of.select(F.col("place").alias(f"id_{side}"), F.col("text").alias(f"text_{side}")), f"id_{side}")
         return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(least_percent), "a binary, b binary")
 
     def open_posts(links: DataFrame, *more) -> DataFrame:
@@ -198,21 +214,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = store(confirmed(candidates(stars)), "mh-links")
     hub = F.min(F.struct(F.xxhash64("key", "cls").alias("order"), F.col("cls").alias("a"), F.col("label").alias("of"))).alias("hub")
     stars = open_posts(links, hub).where("label <> hub.of").select("hub.a", F.col("cls").alias("b")).distinct()
-    links = store(links.unionByName(confirmed(candidates(stars))), "mh-links")
-
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    rows = open_posts(links).where("cls <> head").withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
+    links = store(links.unionByName(confirmed(candidates(stars))), "mh-links", links)
+
+    # A level spans a little more than the ratio of sizes that similar sets can have, so partners are on one level or the next.
+    step = F.lit(1.001).cast("double") * F.log(F.lit(100.0 / least_percent)) if least_percent < 100 else F.lit(1e-9)
+    rows = open_posts(links).where("cls <> head").select("key", "at", "cls", "label").join(classes, "cls").withColumn("level", F.floor(F.log("n") / step).cast("long"))
+    rows = rows.withColumn("upper", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("level", F.col("level") - F.col("upper").cast("long"))
+    groups = rows.groupBy("key", "level").agg(F.count("*").alias("members"), F.sum("bytes").alias("all"), F.min("upper").alias("only_upper")).where("members > 1 and not only_upper")
+    blocks = F.greatest(F.ceil(F.col("members") / F.lit(BLOCK)), F.ceil(F.col("all") / F.lit(BLOCK_BYTES))).cast("int")
+    rows = rows.join(groups.select("key", "level", blocks.alias("blocks")), ["key", "level"]).withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
-    rows = rows.join(classes, "cls").select(*_BLOCK_ROW)
-    block = ["key", "first", "second"]
-    in_blocks = lambda df: df.repartition(*block).sortWithinPartitions(*block)
-    kinds = f"key long, first int, second int, block int, at int, cls binary, label binary, sig binary, rep {id_type}"
-    near = in_blocks(rows).mapInArrow(_by_block(_BLOCK_ROW, _open_rows), kinds)
+    in_blocks = lambda df: df.repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
+    kinds = f"key long, level long, first int, second int, block int, at int, upper boolean, cls binary, label binary, sig binary, rep {id_type}, alt long"
+    near = in_blocks(rows.select(*_BLOCK_ROW)).mapInArrow(_by_block(_BLOCK_ROW, _open_rows), kinds)
     # Only rows that are in some pair get their texts; equal ids with other texts are told apart by the digest.
-    whole = near.join(texts_of, F.col("rep") == F.col("id")).drop("id")
+    whole = near.join(texts_of, place("rep", "alt") == F.col("place")).drop("place")
     late = in_blocks(whole).mapInArrow(_by_block([*_BLOCK_ROW, "text"], _links_of(least_percent)), "a binary, b binary")
-    links = store(links.unionByName(late), "mh-links")
+    links = store(links.unionByName(late), "mh-links", links, posts)
     labels = components(links, "a", "b").withColumnRenamed("node", "cls")
+    discard(links)
     grouped = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     names = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = grouped.join(names, "label").select("cls", "component_id")

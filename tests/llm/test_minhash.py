@@ -91,3 +91,29 @@ def test_components_over_many_partitions(spark):
     found = {bytes(r.node): bytes(r.label) for r in graph.components(spark.createDataFrame(links, "a binary, b binary"), "a", "b", local_links=7).collect()}
     assert all(found[f"{i:03}".encode()] == (f"{i // 10 * 10:03}".encode() if i < 90 else b"000") for i in range(100) if f"{i:03}".encode() in found)
     assert len(found) == 100
+
+
+def test_a_row_without_id_passes_links_on(spark):
+    """1 and 3 are too far apart, but both are linked with the text between them, whose row has no id."""
+    words = [f"w{i}" for i in range(40)]
+    second = [*words[:36], *(f"x{i}" for i in range(4))]
+    third = [*(f"y{i}" for i in range(4)), *second[4:]]
+    texts = [" ".join(w) for w in (words, second, third)]
+    assert [minhash._similar(minhash.kernels.exact_shingles(texts[i]), minhash.kernels.exact_shingles(texts[j]), 75) for i, j in ((0, 1), (1, 2), (0, 2))] == [True, True, False]
+    docs = spark.createDataFrame([(1, texts[0]), (None, texts[1]), (3, texts[2])], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()} == {(1, 1), (None, 1), (3, 1)}
+
+
+def test_words_that_collide_in_polynomial_hashes_stay_apart(spark):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2 ** 64, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a[:400]), (4, b[:400]), (5, a)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 1)}
+
+
+def test_null_texts_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(30000))
+    rows = [(1, None, "a", 1, b"x"), (2, long, "a", 1, b"x"), (3, long + " end", "a", 1, b"x"), (4, None, "a", 1, b"x"), (5, "", "a", 1, b"x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string, N int, cls binary")
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()} == {(1, 0, 1, True), (2, 29996, 2, True), (3, 29997, 2, False), (4, 0, 4, True), (5, 0, 5, True)}
