@@ -35,19 +35,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Spans:
-    """Hashes of any byte spans of one text, after a single pass."""
-
-    def __init__(self, data: np.ndarray):
-        up, self.down = _powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
-
-    def raw(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return (self.sums[ends] - self.sums[starts]) * self.down[starts]
-
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix(self.raw(starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def rolling(data: np.ndarray, width: int) -> np.ndarray:
+    """A rolling hash of the `width` bytes from each position on."""
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return mix((sums[width:] - sums[: len(sums) - width]) * down[: len(sums) - width])
 
 
 def byte_array(text: str | bytes | None) -> np.ndarray:
@@ -60,16 +53,16 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A hash for each span of bytes: eight bytes after the other are mixed in, so no family of texts collides by construction.
 
-    Spans of up to 8 bytes and equal size never collide; of longer than LONG bytes a cryptographic digest is taken.
+    Spans of up to 8 bytes and equal size never collide; of longer than LONG bytes a cryptographic digest is taken. Hashes of different seeds are independent.
     """
     size = ends - starts
     eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
-    out = mix(size.astype(np.uint64) * np.uint64(_BASE))
+    out = mix(size.astype(np.uint64) * np.uint64(_BASE) + np.uint64(seed))
     for i in np.flatnonzero(size > LONG):
-        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
     live = np.flatnonzero(size <= LONG)
     at, left = starts[live], size[live]
     while len(live):
