@@ -124,47 +124,55 @@ def _entries(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
         yield None
 
 
-def _longs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    """Each of rows has arrays and single values, which stand for all places of its arrays."""
-    columns = []
-    for c in range(len(names)):
-        parts = [np.broadcast_to(np.asarray(r[c]).astype(np.uint64).view(np.int64) if np.asarray(r[c]).dtype == np.uint64 else np.asarray(r[c], dtype=np.int64), len(r[-1])) for r in rows]
-        columns.append(pa.array(np.concatenate(parts)))
-    return pa.RecordBatch.from_arrays(columns, names)
-
-
 def _batched(length: int, names: list[str], made):
-    """A function for mapInArrow that puts made(entry) together."""
+    """A function for mapInArrow that gives made() entries of about BLOCK_BYTES at once: columns of entries, their bytes, begins and sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        rows, size = [], 0
+
+        def done() -> pa.RecordBatch:
+            _, trigger, n, h, tag, start, strings, _ = (np.array(c, dtype=np.int64) if i < 7 else None for i, c in enumerate(zip(*rows, strict=True)))
+            sizes = strings - 1 + length
+            found = made({"trigger": trigger, "n": n, "h": h, "tag": tag, "start": start, "strings": strings}, np.concatenate([r[-1] for r in rows]), np.cumsum(sizes) - sizes)
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in found], names)
+
         for entry in _entries(batches, length):
-            if rows and (entry is None or len(rows) >= 5000):
-                yield _longs(rows, names)
-                rows = []
             if entry is not None:
-                rows.append(made(entry))
+                rows.append(entry)
+                size += len(entry[-1])
+                if size >= BLOCK_BYTES:
+                    yield done()
+                    rows, size = [], 0
+        if rows:
+            yield done()
 
     return run
 
 
+def _strings_of(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, number within it) of the strings of all entries."""
+    return np.repeat(np.arange(len(strings)), strings), np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
+
+
 def _sections(length: int):
     """Entries cut into sections: strings whose distance to the trigger has the same quotient by SECTION.
 
     All strings of a section hold its core, bytes whose place depends on the trigger alone; the hashes p and q are of all bytes of the section.
     """
-    word = word_of(length)
-    core_size = max(1, length - SECTION + 1)
-
-    def made(entry: tuple) -> tuple:
-        _, trigger, n, h, tag, start, strings, data = entry
-        spot = int(_least(data[:length], length, word)[1][0])
-        number = (spot - np.arange(strings)) // SECTION
-        first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
-        count = np.diff(np.concatenate((first, [strings])))
-        core = spot - SECTION * number[first]
-        a, z = first, first + count - 1 + length
-        return trigger, n, h, number[first], kernels.span_hashes(data, core, core + core_size, 3), kernels.span_hashes(data, a, z, 1), kernels.span_hashes(data, a, z, 2), _place(start + first, count, tag)
+    word, section = word_of(length), min(SECTION, length)
+
+    def made(e: dict[str, np.ndarray], data: np.ndarray, begin: np.ndarray) -> tuple:
+        at = np.arange(length - word + 1)
+        key = kernels.rolling(data, word)[begin[:, None] + at[None, :]]
+        spot = (((key >> np.uint64(POSITION_BITS)) << np.uint64(POSITION_BITS)) | at.astype(np.uint64)).argmin(axis=1)
+        entry, j = _strings_of(e["strings"])
+        number = (spot[entry] - j) // section
+        first = np.flatnonzero(np.concatenate(([True], (number[1:] != number[:-1]) | (entry[1:] != entry[:-1]))))
+        count, entry, j, number = np.diff(np.concatenate((first, [len(number)]))), entry[first], j[first], number[first]
+        core, a = begin[entry] + spot[entry] - section * number, begin[entry] + j
+        z = a + count - 1 + length
+        hashes = [kernels.span_hashes(data, core, core + length - section + 1, 3), kernels.span_hashes(data, a, z, 1), kernels.span_hashes(data, a, z, 2)]
+        return e["trigger"][entry], e["n"][entry], e["h"][entry], number, *hashes, _place(e["start"][entry] + j, count, e["tag"][entry])
 
     return _batched(length, ["trigger", "n", "h", "section", "core", "p", "q", "place"], made)
 
@@ -172,10 +180,10 @@ def _sections(length: int):
 def _strings(length: int):
     """The strings of entries, each with its two hashes."""
 
-    def made(entry: tuple) -> tuple:
-        _, _, n, h, tag, start, strings, data = entry
-        at = np.arange(strings)
-        return n, h, kernels.span_hashes(data, at, at + length, 1), kernels.span_hashes(data, at, at + length, 2), _place(start + at, 1, tag)
+    def made(e: dict[str, np.ndarray], data: np.ndarray, begin: np.ndarray) -> tuple:
+        entry, j = _strings_of(e["strings"])
+        a = begin[entry] + j
+        return e["n"][entry], e["h"][entry], kernels.span_hashes(data, a, a + length, 1), kernels.span_hashes(data, a, a + length, 2), _place(e["start"][entry] + j, 1, e["tag"][entry])
 
     return _batched(length, ["n", "h", "p", "q", "place"], made)
 
@@ -299,8 +307,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         return book.join(keys, key)
 
     parse = store(texts.mapInArrow(_parse(length), "trigger long, p long, q long, h long, place long"), "pfp-parse")
-    shared = parse.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger")
-    hits = store(parse.join(shared, "trigger", "left_semi"), "pfp-hits", parse)
+    # Stored, so that the join has a shuffle on either side and a trigger that very many texts have can be split.
+    shared = store(parse.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger"), "pfp-shared")
+    hits = store(parse.join(shared, "trigger", "left_semi"), "pfp-hits", parse, shared)
     book = store(dictionary(hits, ["trigger"], F.lit(1)), "pfp-dictionary")
     again = store(hits.join(book.where("n > 1").select("trigger", "p", "q"), ["trigger", "p", "q"], "left_semi").select("h", "place"), "pfp-again", hits)
 
