@@ -1,13 +1,13 @@
 """Toxicity scores from a weighted lexicon.
 
 Folding. Letters are lower-cased, look-alike letters of other scripts and full-width forms become the letter they
-imitate, digits and signs that stand for letters become those letters, and invisible characters go.
+imitate, digits and signs that stand for letters become those letters, invisible characters go, and letters that are set apart one by one are put together.
 Words are runs of letters of the folded text.
 
-Lexicon. Entries are whole beginnings of words. They are learned from a bounded sample of labelled
-texts: a beginning enters if toxic texts hold it in sufficient number and clean texts hardly do; of two nested
-ones that select the same texts the shorter stays. Its weight is its log-odds. Words that begin like an
-entry and are at home in clean texts become exceptions, beside given exception phrases.
+Lexicon. Entries are whole words, or beginnings of words where no single word has nearly all of a beginning's texts (a stem with many endings). They are learned from a
+bounded sample of labelled texts: one enters if toxic texts hold it in sufficient number and clean texts hardly do, and its weight is its log-odds.
+A whole word also counts with a plural s or es. Words that begin like an entry and are at home in clean texts become exceptions, and so do
+pairs of an entry and a neighbouring word that are, beside given phrases.
 
 Score. An Aho-Corasick automaton finds entries and exceptions in one pass; an entry counts at the start of a word and outside
 exceptions. The summed weight is set against the number of words, and a two-parameter logistic curve, fitted to the
@@ -29,26 +29,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import pieces, quoted, without
+
 #: Characters and the letters they stand for (Cyrillic, then Greek look-alikes, then digits and signs).
-LOOKALIKES = dict(zip("аеорсухівкмнтјѕԁԛԝһӏ" + "αβεικνορτυχ" + "013457@$€£|", "aeopcyxibkmhtjsdqwhl" + "abeiknoptux" + "oieastaselI".lower(), strict=True))
-INVISIBLE = "­​‌‍⁠﻿"
+LOOKALIKES = dict(zip("аеорсухівкмнтјѕԁԛԝһӏ" + "αβεικνορτυχ" + "0123456789@$€£|+", "aeopcyxibkmhtjsdqwhl" + "abeiknoptux" + "oizeasgtbgaselit", strict=True))
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _TABLE = str.maketrans(LOOKALIKES | dict.fromkeys(INVISIBLE))
 _WORD = re.compile(r"[^\W\d_]+")
-#: Phrases in which an entry is no insult.
-EXCEPTIONS = ("worthless check", "pathetic fallacy", "trash can", "trash bin", "scum line", "clown fish", "moron test")
-PREFIXES = range(4, 9)
+#: An exclamation mark before a letter stands for i. Four letters or more with the same sign between each two are one word.
+_BANG, _APART = re.compile(r"!(?=[^\W\d_])"), re.compile(r"(?<![^\W\d_])[^\W\d_]([ .\-_*])[^\W\d_](?:\1[^\W\d_]){2,}(?![^\W\d_])")
+_SIGNS = re.compile(r"[ .\-_*]")
+#: Everyday phrases in which a word that may be an insult is none.
+EXCEPTIONS = ("trash can", "trash bin", "trash bag", "pathetic fallacy", "clown fish", "soap scum", "pond scum", "sucker punch", "killer whale", "dumb bell", "sick leave", "rat race", "guinea pig", "nut cracker", "scum line")
+PREFIXES = range(4, 13)
+#: A longer piece stands for a shorter one if it has this share of its toxic texts.
+STANDS = 0.9
 
 
 def fold(text: str) -> str:
-    if not text.isascii():
-        if not unicodedata.is_normalized("NFKC", text):
-            text = unicodedata.normalize("NFKC", text)
-    return text.lower().translate(_TABLE)
+    if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    text = text.lower()
+    if "!" in text:
+        text = _BANG.sub("i", text)
+    return _APART.sub(lambda m: _SIGNS.sub("", m[0]), text.translate(_TABLE))
 
 
 @dataclass
 class Lexicon:
-    """weights by folded beginning of a word; exceptions are folded words or phrases; bias, total and density: of the curve."""
+    """weights by folded beginning of a word, or by whole word where the key ends in a blank; exceptions are folded words or phrases; bias, total and density: of the curve."""
 
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: list[str] = field(default_factory=list)
@@ -57,35 +66,47 @@ class Lexicon:
     density: float = 0.0
 
     def automaton(self) -> ahocorasick.Automaton | None:
-        made = ahocorasick.Automaton()
-        for word, weight in self.weights.items():
-            made.add_word(word, (len(word), weight))
+        """Values: length, weight as a beginning, weight as a whole word, whether it is an exception."""
+        cells: dict[str, list] = {}
+        for key, weight in self.weights.items():
+            word = key.rstrip()
+            cell = cells.setdefault(word, [len(word), 0.0, 0.0, False])
+            cell[2 if key.endswith(" ") else 1] = weight
         for word in self.exceptions:
-            made.add_word(word, (len(word), made.get(word)[1] if word in made else 0.0, True))
-        if not len(made):
+            cells.setdefault(word, [len(word), 0.0, 0.0, False])[3] = True
+        if not cells:
             return None
+        made = ahocorasick.Automaton()
+        for word, cell in cells.items():
+            made.add_word(word, tuple(cell))
         made.make_automaton()
         return made
 
 
+def _ends(folded: str, at: int) -> bool:
+    """Whether no word goes on at this place."""
+    return at >= len(folded) or not folded[at].isalpha()
+
+
 def matches(folded: str, automaton: ahocorasick.Automaton | None) -> float:
     """Summed weight of the entries that count in a folded text; of entries that begin together the heaviest counts."""
     if automaton is None:
         return 0.0
     starts: dict[int, float] = {}
     free: list[tuple[int, int]] = []
-    for end, found in automaton.iter(folded):
-        start = end - found[0] + 1
+    for last, (length, beginning, word, exception) in automaton.iter(folded):
+        start, end = last - length + 1, last + 1
         if start and folded[start - 1].isalpha():
             continue
-        if len(found) == 3:
-            if end + 1 == len(folded) or not folded[end + 1].isalpha():
-                free.append((start, end))
-                continue
-            if not found[1]:
-                continue
-        starts[start] = max(starts.get(start, 0.0), found[1])
-    return sum(w for s, w in starts.items() if not any(a <= s <= b for a, b in free))
+        whole = _ends(folded, end)
+        if exception and whole:
+            free.append((start, end))
+            continue
+        if word > beginning and (whole or any(folded.startswith(s, end) and _ends(folded, end + len(s)) for s in ("s", "es"))):
+            beginning = word
+        if beginning:
+            starts[start] = max(starts.get(start, 0.0), beginning)
+    return sum(w for s, w in starts.items() if not any(a <= s < b for a, b in free))
 
 
 def features(text: str, automaton: ahocorasick.Automaton | None) -> tuple[float, float]:
@@ -95,15 +116,45 @@ def features(text: str, automaton: ahocorasick.Automaton | None) -> tuple[float,
     return (float(np.log1p(weight)), float(np.log1p(100.0 * weight / (1 + folded.count(" "))))) if weight else (0.0, 0.0)
 
 
-def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each beginning of a word the number of toxic and of clean texts in these batches; words end in a blank."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for batch in batches:
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            words = set(_WORD.findall(fold(text or "")))
-            counts[not label].update({w[:n] for w in words for n in PREFIXES if len(w) >= n} | {w + " " for w in words})
-    keys = sorted(counts[0].keys() | counts[1].keys())
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[0][k] for k in keys], pa.int64()), pa.array([counts[1][k] for k in keys], pa.int64())], ["piece", "toxic", "clean"])
+def _counted(pieces_of):
+    """For each piece the number of toxic and of clean texts in these batches that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in batches:
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                counts[not label].update(pieces_of(_WORD.findall(fold(text or ""))))
+        keys = sorted(counts[0].keys() | counts[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[0][k] for k in keys], pa.int64()), pa.array([counts[1][k] for k in keys], pa.int64())], ["piece", "toxic", "clean"])
+
+    return run
+
+
+def _beginnings(words: list[str]) -> set[str]:
+    """All beginnings of words, and the words themselves with a blank."""
+    return {w[:n] for w in set(words) for n in PREFIXES if len(w) >= n} | {w + " " for w in words}
+
+
+def _neighbours(weights: dict[str, float]):
+    """Pairs of an entry and the word before or behind it."""
+    whole, begins = {w.rstrip() for w in weights if w.endswith(" ")}, tuple(w for w in weights if not w.endswith(" "))
+
+    def pairs(words: list[str]) -> set[str]:
+        at = [i for i, w in enumerate(words) if w in whole or (begins and w.startswith(begins))]
+        return {" ".join(words[j : j + 2]) for i in at for j in (i - 1, i) if 0 <= j < len(words) - 1}
+
+    return pairs
+
+
+def _chosen(found: dict[str, tuple[int, float]]) -> dict[str, float]:
+    """Of pieces(toxic texts, odds) that begin alike: a longer one in place of a shorter one if it has nearly all of its texts; else the shorter one for all of them."""
+    by_length = sorted(found, key=lambda p: (len(p), p))
+    longest = {p: max((found[q][0] for q in by_length if len(q) > len(p) and q.startswith(p)), default=0) for p in by_length}
+    kept: dict[str, float] = {}
+    for p in by_length:
+        if longest[p] < STANDS * found[p][0] and not any(p.startswith(k) for k in kept):
+            kept[p] = found[p][1]
+    return kept
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, support: float = 0.015, least_odds: float = 3.5, exceptions: tuple[str, ...] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
@@ -122,21 +173,22 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, support
     if not toxic:
         rows.unpersist()
         return Lexicon(exceptions=[fold(x) for x in exceptions])
-    pieces = rows.repartition(12).mapInArrow(_beginnings, "piece string, toxic long, clean long").groupBy("piece").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    kind = "piece string, toxic long, clean long"
+    counts = rows.repartition(12).mapInArrow(_counted(_beginnings), kind).groupBy("piece").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    # At most 1 / support beginnings of each toxic text can pass, so what comes to the driver is bounded by the sample.
-    found = pieces.where((F.col("toxic") >= max(5.0, support * toxic)) & (odds >= least_odds)).select("piece", "toxic", odds.alias("odds")).collect()
-    weights: dict[str, float] = {}
-    counts: dict[str, int] = {}
-    for r in sorted(found, key=lambda r: (len(r.piece), r.piece)):
-        word = r.piece.rstrip()
-        if not any(word.startswith(w) for w in weights):
-            weights[word], counts[word] = float(r.odds), r.toxic
-    begins = F.lit(False)
-    for w in sorted(weights):
-        begins = begins | F.col("piece").startswith(w)
-    at_home = pieces.where(begins & F.col("piece").endswith(" ") & (F.col("clean") >= 2) & (F.col("clean") * toxic > F.col("toxic") * clean)).select("piece").collect() if weights else []
-    lexicon = Lexicon(weights, sorted({fold(x) for x in exceptions} | {r.piece.strip() for r in at_home}))
+    # At most 1 / support pieces of each toxic text can pass, so what comes to the driver is bounded by the sample.
+    found = counts.where((F.col("toxic") >= max(5.0, support * toxic)) & (odds >= least_odds)).select("piece", "toxic", odds.alias("odds")).collect()
+    weights = _chosen({r.piece: (r.toxic, float(r.odds)) for r in found})
+    at_home = []
+    if weights:
+        begins = F.lit(False)
+        for w in sorted(weights):
+            begins = begins | F.col("piece").startswith(w.rstrip())
+        clean_home = (F.col("clean") >= 2) & (F.col("clean") * toxic > F.col("toxic") * clean)
+        at_home = [r.piece.strip() for r in counts.where(begins & F.col("piece").endswith(" ") & clean_home).select("piece").collect()]
+        phrases = rows.repartition(12).mapInArrow(_counted(_neighbours(weights)), kind).groupBy("piece").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        at_home += [r.piece for r in phrases.where(clean_home).select("piece").collect()]
+    lexicon = Lexicon(weights, sorted({fold(x) for x in exceptions} | set(at_home)))
     seen = rows.repartition(12).mapInArrow(_features(lexicon), "total double, density double, label int").collect()
     rows.unpersist()
     _fit(lexicon, np.array([[1.0, r.total, r.density] for r in seen]), np.array([r.label for r in seen], dtype=float))
@@ -166,21 +218,20 @@ def _fit(lexicon: Lexicon, x: np.ndarray, y: np.ndarray, ridge: float = 0.01, ro
 def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with a score from 0 to 1 for every whole text.
 
-    A null text counts as empty; a text without matches gets the curve's lowest value. Repeated rows get equal scores; an empty
-    table stays empty. A column of docs that is called like the result is replaced.
+    A null text counts as empty; a text without matches gets the curve's lowest value; long texts are folded and searched whole. Repeated rows and
+    equal texts get equal scores; an empty table stays empty. A column of docs that is called like the result, in any case of letters, is replaced.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    kept = [c for c in docs.columns if c != out]
-    text_at, names = kept.index(text_col), kept
+    kept = without(docs, [out])
+    text_at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for batch in batches:
+        for batch in pieces(batches):
             found = np.array([features(t.as_py() or "", automaton) for t in batch.column(text_at)], dtype=float).reshape(-1, 2)
             z = lexicon.bias + found @ np.array([lexicon.total, lexicon.density])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-z)))], [*names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-z)))], [*kept, out])
 
-    frame = docs.select(*[F.col(f"`{c}`") for c in kept])
+    frame = docs.select(*[quoted(c) for c in kept])
     return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField(out, T.DoubleType())]))
 
 

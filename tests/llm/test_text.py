@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +26,45 @@ def test_folding_and_exceptions():
     assert weight("") == 0.0
 
 
+def slow_matches(folded, lexicon):
+    """Every word against every entry; exceptions as spans of whole words."""
+    words = [(m.start(), m[0]) for m in re.finditer(r"[^\W\d_]+", folded)]
+    free = [(m.start(), m.end()) for x in lexicon.exceptions for m in re.finditer(rf"(?<![^\W\d_])(?={re.escape(x)}(?![^\W\d_]))", folded)]
+    free = [(a, a + 1) for a, _ in free] + [(a, a + len(x)) for x in lexicon.exceptions for a in (m.start() for m in re.finditer(rf"(?<![^\W\d_])(?={re.escape(x)}(?![^\W\d_]))", folded))]
+    total = 0.0
+    for at, w in words:
+        hit = [v for k, v in lexicon.weights.items() if (w in (k.rstrip(), k.rstrip() + "s", k.rstrip() + "es") if k.endswith(" ") else w.startswith(k))]
+        if hit and not any(a <= at < b for a, b in free):
+            total += max(hit)
+    return total
+
+
+def test_automaton_is_the_slow_search():
+    rng = random.Random(12)
+    for _ in range(200):
+        word = lambda: "".join(rng.choice("abs") for _ in range(rng.randrange(1, 5)))
+        lexicon = toxicity.Lexicon({word() + rng.choice(["", " "]): float(rng.randrange(1, 9)) for _ in range(4)}, [word(), f"{word()} {word()}"])
+        text = "".join(rng.choice("abss  .") for _ in range(60))
+        assert toxicity.matches(text, lexicon.automaton()) == slow_matches(text, lexicon), (text, lexicon)
+
+
+def test_whole_words_and_stems_are_told_apart():
+    found = {"lose": (100, 4.0), "loser": (99, 4.1), "loser ": (99, 4.2), "bomen": (60, 5.0), "bomente": (59, 5.1), "bomentera ": (9, 5.0), "bomenteja ": (8, 5.0)}
+    assert toxicity._chosen(found) == {"loser ": 4.2, "bomente": 5.1}
+    a = toxicity.Lexicon({"loser ": 4.0, "bomente": 5.0}).automaton()
+    weight = lambda t: toxicity.matches(toxicity.fold(t), a)
+    assert weight("who loses a loserly path") == 0.0 and weight("LOSER, losers") == 8.0 and weight("bomenterra") == 5.0
+    assert weight("l o s e r") == 4.0 and weight("what a l.0.s.e.r!") == 4.0 and weight("a b c d") == 0.0 and weight("l0$3r") == 4.0
+
+
+def test_exceptions_are_learned(spark):
+    toxic = [(i, f"you idiot number {i}", 1) for i in range(40)]
+    clean = [(100 + i, f"the idiot light of car {i} was on" if i % 4 == 0 else f"plain text {i}", 0) for i in range(1200)]
+    docs = spark.createDataFrame([r[:2] for r in toxic + clean], "doc_id long, text string")
+    lexicon = toxicity.learn(docs, spark.createDataFrame([(r[0], r[2]) for r in toxic + clean], "doc_id long, label int"), least_odds=1.0, exceptions=())
+    assert "idiot " in lexicon.weights and {"idiot light", "the idiot"} <= set(lexicon.exceptions)
+
+
 @needs_data
 def test_held_out_accuracy(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
@@ -113,14 +153,12 @@ def test_counts_equal_the_tokenizer(spark):
         own.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always")
         rng = random.Random(9)
         texts = ["", None, "  \n ", "Hello world", "☃☃☃ snow☃man ☃", "ｆｕｌｌ 漢字かな ünïcödé", "a" * 500, "don't stop"] + ["".join(rng.choice("abcdefghij   éñ☃漢") for _ in range(80)) for _ in range(60)]
-        low = min(s for _, s in scores)
         frame = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id int, text string, n_tokens int")
         for r in tokencount.count_tokens(frame, scores).collect():
             words = (r.text or "").split()
             want = own.encode(" ".join(words), add_special_tokens=False).ids if words else []
-            if low == 0.0 or scores is vocabulary:
-                assert r.n_tokens == len(want), r.text
-                assert r.n_unknown == sum(i == 0 for i in want)
+            assert r.n_tokens == len(want), r.text
+            assert r.n_unknown == sum(i == 0 for i in want)
             assert r.n_words == len(words)
 
 
