@@ -25,7 +25,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, ''))
 n AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS newest FROM p)
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
     array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || h[5 * (i // 4) + 1 : 5 * (i // 4) + 5])::BIGINT >> (15 - 5 * (i % 4))) & 31)]), '') AS payload_digest,
-    CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to
+    CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to, 0::BIGINT AS archive_gap_bytes
 FROM n
 """
 

@@ -52,9 +52,9 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op6_tokencount(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokencount.count_tokens(docs, tokencount.unigram_vocabulary(VOCABULARY)).drop("text")
+    return tokencount.count_tokens(docs, tokencount.unigram_vocabulary(vocabulary)).drop("text")
 
 
 def op7_pfp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +64,10 @@ def op7_pfp(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive_folder(spark)
     listed = warc.write_archives(table(spark, sf_dir, "pages"), folder)
-    records, _ = warc.read_archives(spark, folder)
+    records, gaps = warc.read_archives(spark, folder)
     own = records.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(listed.select(F.col("path").alias("name")), "name", "left_semi")
-    return own.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    lost = gaps.groupBy("path").agg(F.sum("length").alias("gap_bytes"))
+    return own.join(lost, "path", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.coalesce("gap_bytes", F.lit(0)).cast("long").alias("archive_gap_bytes"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Each record is a gzip member of its own. The reader checks every member (length, CRC), the record's head, its block
 length and its block digest. After a failed check it looks for the next member that decompresses, or in plain archives
 for the next version line, goes on from there, and logs the bytes in between as a
-quarantined gap with the reason.
+quarantined gap with the reason. A member that holds several records gives them all. An archive is read as a stream: a task holds one record
+and a window of the file, whatever the file's size.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from tessera.llm.common import shared_dir, store
 #: Fixed values of the format.
 VERSION, MAGIC, END = b"WARC/1.1", b"\x1f\x8b\x08", b"\r\n\r\n"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: An archive is closed once it has so many bytes, so that a reader's task can hold it.
+#: An archive is closed once it has so many bytes.
 ARCHIVE_BYTES = 8 << 20
+#: Bytes read at once; the longest head; the largest record: a larger one, which a damaged length or a crafted member may pretend, is a gap.
+WINDOW, HEAD, LARGEST = 4 << 20, 1 << 20, 1 << 30
 WHEN = datetime(2024, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
@@ -41,9 +44,13 @@ def record_id(number: int | None, url: str, copy: int = 0) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{number}|{url}|{copy}')}>"
 
 
-def record(number: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False) -> bytes:
+def clean_url(url: str | None) -> str:
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record(number: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False, refers_url: str | None = None) -> bytes:
     """One response record, or a revisit whose block is the HTTP head of the payload that it leaves out."""
-    url = (url or "").replace("\r", "%0D").replace("\n", "%0A")
+    url = clean_url(url)
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if revisit else head + payload
     lines = [
@@ -53,7 +60,8 @@ def record(number: int | None, url: str | None, payload: bytes, refers_to: int |
     if number is not None:
         lines.append(("WARC-Page-ID", str(number)))
     if revisit:
-        lines += [("WARC-Profile", IDENTICAL)] + ([("WARC-Refers-To-Page", str(refers_to))] if refers_to is not None else [])
+        lines += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", record_id(refers_to, clean_url(refers_url))), ("WARC-Refers-To-Target-URI", clean_url(refers_url)), ("WARC-Refers-To-Date", WHEN)]
+        lines += [("WARC-Refers-To-Page", str(refers_to))] if refers_to is not None else []
     lines.append(("Content-Length", str(len(block))))
     return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + b"\r\n" + block + END
 
@@ -65,7 +73,7 @@ def member(data: bytes) -> bytes:
 
 @dataclass
 class Found:
-    """A record, or with reason set a gap."""
+    """A record, or with reason set a gap. Of the records of one member the first has its length, the others 0."""
 
     offset: int
     length: int
@@ -74,15 +82,48 @@ class Found:
     reason: str | None = None
 
 
-def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+class Window:
+    """A part of a file that moves on: bytes before the place that was last let go are forgotten."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.base, self.data = file, size, 0, b""
+
+    def load(self, at: int, n: int) -> bytes:
+        """n bytes from at on, fewer at the end of the file."""
+        missing = min(at + n, self.size) - self.base - len(self.data)
+        if missing > 0:
+            self.data += self.file.read(max(missing, min(WINDOW, self.size - self.base - len(self.data))))
+        return self.data[at - self.base : at - self.base + n]
+
+    def let_go(self, at: int) -> None:
+        if at - self.base > WINDOW or at - self.base > len(self.data) // 2:
+            self.data, self.base = self.data[at - self.base :], at
+
+    def find(self, marks: tuple[bytes, ...], at: int) -> int:
+        """The next place of any mark from at on, or the end of the file. What is passed over is forgotten."""
+        longest = max(map(len, marks))
+        while at < self.size:
+            part = self.load(at, WINDOW)
+            spots = [p for p in map(part.find, marks) if p >= 0]
+            if spots:
+                return at + min(spots)
+            at += max(1, len(part) - longest + 1) if at + len(part) < self.size else len(part)
+            self.let_go(at)
+        return self.size
+
+
+def parse(source: Window | bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """The fields, the block and the end of the record at `at`; ValueError says what is wrong."""
-    if data[at : at + 5] != b"WARC/":
+    window = Window(io.BytesIO(source), len(source)) if isinstance(source, bytes) else source
+    if window.load(at, 5) != b"WARC/":
         raise ValueError("no version line")
-    stop = data.find(END, at)
+    head = window.load(at, 4096)
+    while (stop := head.find(END)) < 0 and len(head) < HEAD and at + len(head) < window.size:
+        head = window.load(at, 4 * len(head))
     if stop < 0:
         raise ValueError("head without end")
     fields = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
+    for line in head[:stop].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("bad head line")
@@ -91,10 +132,15 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
         size = int(fields["content-length"])
     except (KeyError, ValueError):
         raise ValueError("no content length") from None
-    block, end = data[stop + 4 : stop + 4 + size], stop + 4 + size
-    if size < 0 or len(block) < size:
+    begin = at + stop + 4
+    end = begin + size
+    if size < 0 or end > window.size:
         raise ValueError("block cut short")
-    if data[end : end + 4] != END:
+    if size > LARGEST:
+        raise ValueError("block too large")
+    whole = window.load(begin, size + 4)
+    block = whole[:size]
+    if whole[size:] != END:
         raise ValueError("no end mark after block")
     want = fields.get("warc-block-digest", "")
     if want.startswith("sha1:") and want[5:] != digest(block):
@@ -102,55 +148,82 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return fields, block, end + 4
 
 
-def salvage(data: bytes) -> Iterator[Found]:
+def _member(offset: int, length: int, data: bytes) -> Iterator[Found]:
+    """Records and gaps of one inflated member; ValueError if there is no record in it."""
+    pos, why, found = 0, None, 0
+    while pos < len(data) and (found == 0 or data[pos:].strip()):
+        try:
+            fields, block, end = parse(data, pos)
+        except ValueError as e:
+            why = why or str(e)
+            pos = data.find(b"WARC/1.", pos + 1)
+            pos = len(data) if pos < 0 else pos
+            continue
+        if why:
+            yield Found(offset, 0, reason=f"in a member: {why}")
+            why = None
+        yield Found(offset, 0 if found else length, fields, block)
+        pos, found = end, found + 1
+    if not found:
+        raise ValueError(why or "member without record")
+    if why:
+        yield Found(offset, 0, reason=f"in a member: {why}")
+
+
+def salvage(source: bytes | Window) -> Iterator[Found]:
     """Records and gaps of one archive, in order; together they cover it without overlap."""
-    at, gap, why, view = 0, None, "", memoryview(data)
-    while at < len(data):
+    window = Window(io.BytesIO(source), len(source)) if isinstance(source, bytes) else source
+    at, gap, why = 0, None, ""
+    while at < window.size:
         try:
-            if data.startswith(MAGIC, at):
-                whole, end = _member_at(view, at)
-                fields, block, used = parse(whole)
-                if whole[used:].strip():
-                    raise ValueError("more than a record in a member")
+            if window.load(at, 3) == MAGIC:
+                whole, end = _member_at(window, at)
+                found = list(_member(at, end - at, whole))
             else:
-                fields, block, end = parse(data, at)
+                fields, block, end = parse(window, at)
+                found = [Found(at, end - at, fields, block)]
         except (ValueError, zlib.error) as e:
             if gap is None:
                 gap, why = at, str(e)
-            spots = [p for p in (data.find(MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if p >= 0]
-            at = min(spots, default=len(data))
+            at = window.find((MAGIC, b"WARC/1."), at + 1)
             continue
         if gap is not None:
             yield Found(gap, at - gap, reason=why)
             gap = None
-        yield Found(at, end - at, fields, block)
+        yield from found
         at = end
+        window.let_go(at)
     if gap is not None:
-        yield Found(gap, len(data) - gap, reason=why)
+        yield Found(gap, window.size - gap, reason=why)
 
 
-def _member_at(view: memoryview, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
-    """Feeds the decompressor piece by piece, so that what follows a member is not copied."""
-    reader, out, pos = zlib.decompressobj(31), [], at
+def _member_at(window: Window, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
+    """Feeds the decompressor piece by piece, so that what follows a member is not copied, and stops at LARGEST."""
+    reader, out, pos, size = zlib.decompressobj(31), [], at, 0
     while not reader.eof:
-        if pos >= len(view):
+        if pos >= window.size:
             raise ValueError("member cut short")
-        out.append(reader.decompress(view[pos : pos + step]))
+        piece = reader.decompress(window.load(pos, step), LARGEST + 1 - size)
+        out.append(piece)
+        size += len(piece)
+        if size > LARGEST or reader.unconsumed_tail:
+            raise ValueError("member too large")
         pos += step
-    return b"".join(out), min(pos, len(view)) - len(reader.unused_data)
+    return b"".join(out), min(pos, window.size) - len(reader.unused_data)
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write a record per row of pages into gzip archives in folder; the result lists (path, records, bytes).
 
     Of equal payloads of at least least_bytes the row with the largest id is written as response, others as revisit records
-    that name it. A null payload is empty, a null id is below all others, and of rows that share the largest id and the payload all are responses. An archive
+    that name it. A null payload is empty, a null id is below all others, and of rows that share the largest id and the payload all are responses. A long payload is
+    one record. Columns other than the three play no part; no rows make no archive. An archive
     gets its name once it is complete; a repeated task writes its own files and only those that it lists are read.
     """
     page = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("html"))
     page = page.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    newest = page.groupBy("sha").agg(F.max("id").alias("newest"))
-    rows = page.join(newest, "sha").select("id", "url", "html", "newest")
+    newest = page.groupBy("sha").agg(F.max(F.struct("id", "url")).alias("newest"))
+    rows = page.join(newest, "sha").select("id", "url", "html", F.col("newest.id").alias("newest"), F.col("newest.url").alias("newest_url"))
     return store(rows.mapInArrow(_writer(folder, least_bytes), "path string, records long, bytes long"), "warc-list")
 
 
@@ -172,10 +245,10 @@ def _writer(folder: str, least_bytes: int):
             buffer, records = io.BytesIO(), 0
 
         for batch in batches:
-            for number, url, html, newest in zip(*(batch.column(c) for c in ("id", "url", "html", "newest")), strict=True):
+            for number, url, html, newest, newest_url in zip(*(batch.column(c) for c in ("id", "url", "html", "newest", "newest_url")), strict=True):
                 payload, number, newest = html.as_py().encode(), number.as_py(), newest.as_py()
                 old = len(payload) >= least_bytes and number != newest
-                buffer.write(member(record(number, url.as_py(), payload, newest if old else None, old)))
+                buffer.write(member(record(number, url.as_py(), payload, newest if old else None, old, newest_url.as_py())))
                 records += 1
                 if buffer.tell() >= ARCHIVE_BYTES:
                     close()
@@ -191,13 +264,16 @@ FIELDS = "path string, offset long, length long, reason string, record_type stri
 def _reader(with_payload: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                rows: list[tuple] = []
-                for found in salvage(content.as_py()):
-                    rows.append((path.as_py(), found.offset, found.length, found.reason, *_described(found, with_payload)))
-                    if len(rows) >= 500:
-                        yield _rows(rows)
-                        rows = []
+            for path, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                files, name = pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+                rows, held = [], 0
+                with files.open_input_stream(name, compression=None) as stream:
+                    for found in salvage(Window(stream, size)):
+                        rows.append((path, found.offset, found.length, found.reason, *_described(found, with_payload)))
+                        held += len(found.block) if with_payload else 0
+                        if len(rows) >= 500 or held > WINDOW:
+                            yield _rows(rows)
+                            rows, held = [], 0
                 yield _rows(rows)
 
     return read
@@ -227,12 +303,13 @@ def read_archives(spark: SparkSession, paths: str | list[str], with_payload: boo
     """(records, gaps) of all archives under paths, plain or compressed by member.
 
     records have the head's fields, the payload's digest and size (of a revisit: as its head states them) and, if asked for, the
-    payload. gaps(path, offset, length, reason) are the bytes that belong to no valid record. An empty file
-    has neither.
+    payload. gaps(path, offset, length, reason) are the bytes that belong to no valid record; a gap inside a member has its offset and no length. An empty file
+    has neither. Without payloads the archives are read at once and their records stored. Repeated records all count; a long one is held whole by its task.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(paths).select("path", "content")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-    rows = found.mapInArrow(_reader(with_payload), FIELDS)
+    # Only the list of files comes from Spark; each file is one row, and files are dealt over the tasks by their bytes.
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(paths).select("path", "length")
+    read = found.repartitionByRange(max(1, min(found.count(), 4 * spark.sparkContext.defaultParallelism)), "path").mapInArrow(_reader(with_payload), FIELDS)
+    rows = read if with_payload else store(read, "warc-records")
     return rows.where("reason is null").drop("reason", *([] if with_payload else ["payload"])), rows.where("reason is not null").select("path", "offset", "length", "reason")
 
 

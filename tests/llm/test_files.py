@@ -48,6 +48,26 @@ def test_damage_costs_only_what_it_hits(packed):
     assert [f.length for f in warc.salvage(b"junk")] == [4]
 
 
+def test_members_of_several_records_and_small_windows(monkeypatch):
+    parts = [warc.record(i, f"http://{i}", bytes([65 + i]) * 300) for i in range(6)]
+    broken = parts[1].replace(b"B" * 300, b"B" * 150 + b"X" * 150)
+    data = warc.member(parts[0] + broken + parts[2]) + warc.member(parts[3] + parts[4]) + b"junk" + parts[5]
+    for window in (64, 1 << 20):
+        monkeypatch.setattr(warc, "WINDOW", window)
+        found = list(warc.salvage(data))
+        assert [int(f.fields["warc-page-id"]) for f in found if f.fields] == [0, 2, 3, 4, 5]
+        assert [(f.length, f.reason) for f in found if f.reason] == [(0, "in a member: block digest differs"), (4, "no version line")]
+        assert sum(f.length for f in found) == len(data)
+    monkeypatch.setattr(warc, "LARGEST", 5000)
+    bomb = warc.member(b"\0" * 100_000)
+    assert [(f.reason, f.length) for f in warc.salvage(bomb + warc.member(parts[5]))][0] == ("member too large", len(bomb))
+
+
+def test_headers_of_a_revisit():
+    made = warc.parse(warc.record(1, "http://a", b"x", 2, True, "http://b"))[0]
+    assert made["warc-refers-to"] == warc.parse(warc.record(2, "http://b", b"x"))[0]["warc-record-id"] and made["warc-refers-to-target-uri"] == "http://b"
+
+
 def exact(vectors, k):
     good = {i: np.array(v, dtype=float) for i, v in vectors if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     out = {}
@@ -82,6 +102,39 @@ def test_recall(spark, monkeypatch):
     assert sum(len(got[q] & set(want[q])) for q in want) / (5 * len(want)) >= 0.9
 
 
+def odd_documents(spark, folder):
+    """Texts that share ids, null ids, null and empty texts, repeated rows, copies and columns called like results."""
+    words = lambda seed, n=60: " ".join(f"{random.Random(seed).choice('abcdefgh')}{random.Random(seed + i).randrange(500)}" for i in range(n))
+    leak = words(900, 40)
+    rows = [(1, words(10)), (1, words(20)), (2, words(30)), (3, words(10)), (None, words(40)), (None, words(40)), (None, words(20)), (4, None), (5, ""), (6, words(50) + " " + leak), (None, words(60) + " " + leak), (2, words(30)), (None, words(70))]
+    docs = spark.createDataFrame([(i, t, "en", "s1", 0, "m", "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, mix_note string, Size string")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return rows
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = odd_documents(spark, f"file://{tmp_path}")
+    docs, stages = spark.read.parquet(f"file://{tmp_path}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    key = lambda r: (str(r[0]), str(r[1]))
+    plain = lambda df: sorted([(r.doc_id, r.text) for r in df.collect()], key=key)
+    assert plain(stages["toxicity"](spark, docs, f"file://{tmp_path}")) == sorted(rows, key=key)
+    # Equal texts: the smallest id stays, rows without id after all others; texts that share an id stay both.
+    kept = stages["near_duplicates"](spark, docs, f"file://{tmp_path}")
+    wanted = sorted([rows[i] for i in (0, 1, 2, 4, 7, 8, 9, 10, 12)], key=key)
+    assert plain(kept) == wanted and kept.columns == docs.columns
+    clean = stages["decontamination"](spark, docs, f"file://{tmp_path}")
+    assert plain(clean) == sorted([r for i, r in enumerate(rows) if i not in (9, 10)], key=key)
+    done = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert {r.text for r in done} <= {r[1] for r in rows if r[1]} | {r.text for r in done} and all(r.n_chars in (0, len(r.text)) for r in done)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, f"file://{tmp_path}").count() == 0, name
+
+
 @pytest.mark.skipif(not os.path.exists(DATA), reason="no test data")
 def test_pipeline_keeps_columns_and_order_of_stages(spark):
     import corpus_pipeline
