@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import store
+from tessera.llm.common import pieces, store
 
 #: Tables; share of the signed axes that a query probes in each; rotations; vectors of a block.
-TABLES, PROBED, ROUNDS, BLOCK = 6, 1 / 8, 3, 4096
-MIN_ROWS = 64
+TABLES, PROBED, ROUNDS, BLOCK = 12, 1 / 32, 3, 4096
+#: Rows that the probes of a table reach at least.
+MIN_ROWS = 128
 QUERIES_AT_ONCE = 256
 
 
@@ -61,26 +62,25 @@ def usable(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, lambda x: F.coalesce(finite(x), F.lit(False))) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _by_width(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(positions in the batch, ids, vectors) for each length of vectors."""
+def _by_width(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) for each length of vectors, components as they are stored."""
     vectors = batch.column("vector")
     widths = np.array(vectors.value_lengths())
-    offsets, flat = np.array(vectors.offsets), vectors.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    offsets, flat = np.array(vectors.offsets), vectors.values.to_numpy(zero_copy_only=False)
     ids = batch.column("id").to_numpy(zero_copy_only=False)
     for d in np.unique(widths):
         rows = np.flatnonzero(widths == d)
-        yield rows, ids[rows], flat[offsets[rows][:, None] + np.arange(d)[None, :]]
+        yield ids[rows], flat[offsets[rows][:, None] + np.arange(d)[None, :]]
 
 
 _POST = "width int, tbl int, bucket int, block int, id long, query boolean, vector binary"
 
 
-def _posting(width: int, tables: np.ndarray, buckets: np.ndarray, blocks: np.ndarray, ids: np.ndarray, query: bool, vectors: list[bytes]) -> pa.RecordBatch:
-    n = len(ids)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, width, np.int32)), pa.array(tables.astype(np.int32)), pa.array(buckets.astype(np.int32)), pa.array(blocks.astype(np.int32)), pa.array(ids.astype(np.int64)), pa.array(np.full(n, query)), pa.array(vectors, pa.binary())],
-        ["width", "tbl", "bucket", "block", "id", "query", "vector"],
-    )
+def _posting(tables: np.ndarray, buckets: np.ndarray, blocks: np.ndarray, ids: np.ndarray, query: bool, x: np.ndarray) -> pa.RecordBatch:
+    n, size = len(ids), x.shape[1] * x.itemsize
+    raw = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+    numbers = [pa.array(c.astype(np.int32)) for c in (np.full(n, x.shape[1]), tables, buckets, blocks)]
+    return pa.RecordBatch.from_arrays([*numbers, pa.array(ids.astype(np.int64)), pa.array(np.full(n, query)), raw], ["width", "tbl", "bucket", "block", "id", "query", "vector"])
 
 
 def _buckets(y: np.ndarray) -> np.ndarray:
@@ -89,48 +89,53 @@ def _buckets(y: np.ndarray) -> np.ndarray:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, ids, x in _by_width(batch):
-            u, raw = unit(x), [v.tobytes() for v in x]
+    for batch in pieces(batches, 2048):
+        for ids, x in _by_width(batch):
+            u = unit(x.astype(np.float64))
             for t in range(TABLES):
-                yield _posting(x.shape[1], np.full(len(ids), t), _buckets(rotate(u, t)), np.zeros(len(ids)), ids, False, raw)
+                yield _posting(np.full(len(ids), t), _buckets(rotate(u, t)), np.zeros(len(ids)), ids, False, x)
 
 
 def _probe(held: dict[tuple[int, int, int], int]):
     """held: rows of each (width, table, bucket): at most TABLES x 2 x padded width entries for each width."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, ids, x in _by_width(batch):
-                u, width = unit(x), x.shape[1]
+        for batch in pieces(batches, 256):
+            for ids, x in _by_width(batch):
+                u, width = unit(x.astype(np.float64)), x.shape[1]
                 for t in range(TABLES):
                     y = rotate(u, t)
                     signed = np.stack((y, -y), axis=2).reshape(len(y), -1)
                     order = np.argsort(-signed, axis=1, kind="stable")
                     rows = np.array([held.get((width, t, b), 0) for b in range(signed.shape[1])])
-                    seen = np.cumsum(rows[order], axis=1)
-                    enough = (seen >= MIN_ROWS).argmax(axis=1) + 1
-                    enough[seen[:, -1] < MIN_ROWS] = signed.shape[1]
-                    probes = np.maximum(enough, int(np.ceil(signed.shape[1] * PROBED)))
-                    for i in range(len(ids)):
-                        own = order[i, : probes[i]]
-                        blocks = -(-rows[own] // BLOCK)
-                        bucket = np.repeat(own, blocks)
-                        block = np.concatenate([np.arange(n) for n in blocks]) if len(bucket) else bucket
-                        if len(bucket):
-                            yield _posting(width, np.full(len(bucket), t), bucket, block, np.full(len(bucket), ids[i]), True, [x[i].tobytes()] * len(bucket))
+                    before = np.cumsum(rows[order], axis=1) - rows[order]
+                    wanted = (before < MIN_ROWS) | (np.arange(signed.shape[1]) < np.ceil(signed.shape[1] * PROBED))[None, :]
+                    asker, place = np.nonzero(wanted)
+                    bucket = order[asker, place]
+                    blocks = -(-rows[bucket] // BLOCK)
+                    asker, bucket = np.repeat(asker, blocks), np.repeat(bucket, blocks)
+                    block = np.arange(len(bucket)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    for at in range(0, len(bucket), 4096):
+                        part = slice(at, at + 4096)
+                        yield _posting(np.full(len(bucket[part]), t), bucket[part], block[part], ids[asker[part]], True, x[asker[part]])
 
     return probe
 
 
-def _search(k: int):
+def _rows_of(column: pa.BinaryArray, a: int, z: int, width: int, kind: str) -> np.ndarray:
+    """Rows a to z of a column of vectors that all have this width."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset + a], np.frombuffer(offsets, np.int32)[column.offset + z]
+    return np.frombuffer(data, np.uint8)[at[0] : at[1]].view(kind).reshape(z - a, width).astype(np.float64)
+
+
+def _search(k: int, kind: str):
     """Rows come sorted by block, its vectors before its queries."""
 
-    def best(block: tuple[np.ndarray, np.ndarray, np.ndarray], ids: list, raw: list) -> pa.RecordBatch:
+    def best(block: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
         have, vectors, units = block
-        q = np.frombuffer(b"".join(raw), dtype=np.float64).reshape(len(ids), -1)
         near = unit(q) @ units.T
-        near[np.array(ids)[:, None] == have[None, :]] = -np.inf
+        near[ids[:, None] == have[None, :]] = -np.inf
         if len(have) > k:
             floor = np.partition(near, len(have) - k, axis=1)[:, len(have) - k] - 1e-9
         else:
@@ -139,33 +144,30 @@ def _search(k: int):
         exact = cosines(q[row], vectors[col])
         order = np.lexsort((have[col], -exact, row))
         row, col, exact = row[order], col[order], exact[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = place < k
-        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, dtype=np.int64)[row[keep]]), pa.array(have[col[keep]]), pa.array(exact[keep])], ["query_id", "vec_id", "score"])
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return pa.RecordBatch.from_arrays([pa.array(ids[row[keep]]), pa.array(have[col[keep]]), pa.array(exact[keep])], ["query_id", "vec_id", "score"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, raw, block, asked = None, [], [], None, ([], [])
+        key, ids, vectors, block = None, [], [], None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("width", "tbl", "bucket", "block", "query", "id", "vector")]
-            for *now, query, i, v in zip(*columns, strict=True):
-                if now != key:
-                    if asked[0] and block:
-                        yield best(block, *asked)
-                    key, ids, raw, block, asked = now, [], [], None, ([], [])
-                if not query:
-                    ids.append(i)
-                    raw.append(v)
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("width", "tbl", "bucket", "block")], axis=1)
+            query, names = batch.column("query").to_numpy(zero_copy_only=False), batch.column("id").to_numpy()
+            turns = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1) | (query[1:] != query[:-1])) + 1
+            for a, z in zip([0, *turns.tolist()], [*turns.tolist(), len(names)], strict=True):
+                if (now := tuple(keys[a].tolist())) != key:
+                    key, ids, vectors, block = now, [], [], None
+                rows = _rows_of(batch.column("vector"), a, z, now[0], kind)
+                if not query[a]:
+                    ids.append(names[a:z])
+                    vectors.append(rows)
                     continue
                 if block is None and ids:
-                    vectors = np.frombuffer(b"".join(raw), dtype=np.float64).reshape(len(ids), -1)
-                    block, raw = (np.array(ids, dtype=np.int64), vectors, unit(vectors)), []
-                asked[0].append(i)
-                asked[1].append(v)
-                if len(asked[0]) == QUERIES_AT_ONCE and block:
-                    yield best(block, *asked)
-                    asked = ([], [])
-        if asked[0] and block:
-            yield best(block, *asked)
+                    all_ = np.concatenate(vectors)
+                    block = np.concatenate(ids), all_, unit(all_)
+                for at in range(0, len(rows) if block else 0, QUERIES_AT_ONCE):
+                    yield best(block, names[a:z][at : at + QUERIES_AT_ONCE], rows[at : at + QUERIES_AT_ONCE])
 
     return search
 
@@ -175,11 +177,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
 
     Queries are the rows of vectors for which is_query holds; the query's own id is no candidate. Vectors that are null, empty, zero or hold null or
     non-finite components, and rows with a null id, take no part. Vectors of different lengths are never compared. Repeated ids are one candidate, with the
-    best of their scores, and one query. A query without candidates has no rows; an empty table gives none.
+    best of their scores, and one query. A query without candidates has no rows; an empty table gives none. Other columns play no part.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-    good = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query"))
+    kind = "f4" if dict(vectors.select(F.col(vector_col).alias("v")).dtypes)["v"] == "array<float>" else "f8"
+    vector = F.col(vector_col).cast("array<float>" if kind == "f4" else "array<double>").alias("vector")
+    good = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vector, F.coalesce(is_query, F.lit(False)).alias("query"))
     index = store(good.select("id", "vector").mapInArrow(_index, _POST), "ann-index")
     held = {(r.width, r.tbl, r.bucket): r["count"] for r in index.groupBy("width", "tbl", "bucket").count().collect()}
     counts = F.broadcast(spark.createDataFrame([(*key, -(-n // BLOCK)) for key, n in held.items()], "width int, tbl int, bucket int, blocks int"))
@@ -187,6 +190,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     probes = good.where("query").select("id", "vector").mapInArrow(_probe(held), _POST)
     block = ["width", "tbl", "bucket", "block"]
     rows = dealt.unionByName(probes).repartition(*block).sortWithinPartitions(*block, "query")
-    found = rows.mapInArrow(_search(k), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = rows.mapInArrow(_search(k, kind), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
