@@ -1,6 +1,7 @@
 """Benchmark decontamination by n-gram seeds and local alignment.
 
-All runs of SEED words of the test items are looked up in all documents. Where a document holds one, the item is
+All runs of SEED words of the test items are joined with those of all documents: the items' runs, a table of bounded size, are broadcast, and documents
+stay where they are. Where a document holds one, the item is
 aligned with the words around by Smith-Waterman, and the score is set against that of the unchanged item. No run is
 left out as common, since an edited copy may hold no others; a common phrase costs little, as places with too few
 of the item's words for the score wanted are passed over before the alignment.
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels
+from tessera.llm.common import pieces
 
 SEED = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -60,14 +62,16 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 class Seeds:
     """The runs of words of some items, sorted, each with the items and places that have it."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
-        self.words = {i: words(text) for i, text in items}
+    def __init__(self, items: list[tuple[int | None, str | None]]):
+        self.names = [name for name, _ in items]
+        self.words = {i: words(text) for i, (_, text) in enumerate(items)}
         rows = [(h, i, at) for i, w in self.words.items() for at, h in enumerate(self.runs(w).tolist())]
         rows.sort()
         self.where: dict[int, list[tuple[int, int]]] = {}
         for h, i, at in rows:
             self.where.setdefault(h, []).append((i, at))
         self.hashes = np.array(sorted(self.where), dtype=np.uint64)
+        self.sizes = sorted({min(SEED, len(w)) for w in self.words.values() if len(w)})
 
     @staticmethod
     def runs(w: np.ndarray) -> np.ndarray:
@@ -77,19 +81,20 @@ class Seeds:
     def places(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions in a text, hashes) of the runs that some item has."""
         at, found = [], []
-        for n in range(1, SEED + 1):
-            if n == SEED or any(len(x) == n for x in self.words.values()):
-                h = kernels.run_hashes(w, n)
-                if len(h) and len(self.hashes):
-                    spot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                    hit = np.flatnonzero(self.hashes[spot] == h)
-                    at.append(hit)
-                    found.append(h[hit])
+        for n in self.sizes:
+            h = kernels.run_hashes(w, n)
+            if len(h):
+                spot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                hit = np.flatnonzero(self.hashes[spot] == h)
+                at.append(hit)
+                found.append(h[hit])
         return (np.concatenate(at), np.concatenate(found)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def _find(seeds: Seeds, least: float):
-    def pairs(w: np.ndarray) -> Iterator[tuple]:
+def _find(shipped, least: float):
+    """shipped: the broadcast of Seeds."""
+
+    def pairs(seeds: Seeds, w: np.ndarray) -> Iterator[tuple]:
         starts: dict[int, list[int]] = {}
         for at, h in zip(*(x.tolist() for x in seeds.places(w)), strict=True):
             for i, place in seeds.where[h]:
@@ -108,13 +113,14 @@ def _find(seeds: Seeds, least: float):
                         best = max(best, (score, -(low + a), low + b))
             share = best[0] / (MATCH * len(item))
             if share >= least:
-                yield i, share, -best[1], best[2], len(spots)
+                yield seeds.names[i], share, -best[1], best[2], len(spots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        seeds = shipped.value
+        for batch in pieces(batches):
             rows, found = [], []
             for n, text in enumerate(batch.column("text")):
-                for pair in pairs(words(text.as_py())):
+                for pair in pairs(seeds, words(text.as_py())):
                     rows.append(n)
                     found.append(pair)
             kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
@@ -127,19 +133,21 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAK, id_col:
     """A row for each document and test item whose alignment reaches `least` of the best score.
 
     Columns: id_col, item_col, score (0 to 1), first_word, last_word (the place in the document, the end exclusive), seeds (places with seeds). Null
-    and empty texts and items match nothing; items with null id are left out, of items with one id the longest text counts. Repeated rows of docs
-    give repeated results. Without documents or items there are no rows. Items go to the executors ITEMS_AT_ONCE at a time.
+    and empty texts and items match nothing. Items are told apart by id and text, so texts that share an id, or have none, are each searched; of equal rows one counts. An
+    item of fewer than SEED words is one run: every document that has just these words in a row holds it with score 1, be it a single common word, so such
+    items belong in `items` only if that is meant. Of places with equal scores the first counts. Texts of any length are searched whole. Repeated rows of docs
+    give repeated results. Without documents or items there are no rows. Other columns play no part. Items go to the executors ITEMS_AT_ONCE at a time.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark = docs.sparkSession
     frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    longest = items.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).groupBy(F.col(item_col).cast("long").alias("item")).agg(F.max_by(F.col(item_text), F.struct(F.length(item_text), F.col(item_text))).alias("text"))
-    spec = f"id {dict(frame.dtypes)['id']}, item long, share double, first long, last long, seeds long"
-    out, block = docs.sparkSession.createDataFrame([], spec), []
+    asked = items.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).distinct()
+    spec = f"id {frame.schema['id'].dataType.simpleString()}, item long, share double, first long, last long, seeds long"
+    out, block = spark.createDataFrame([], spec), []
 
     def search(block: list) -> DataFrame:
-        return frame.mapInArrow(_find(Seeds(block), least), spec)
+        return frame.mapInArrow(_find(spark.sparkContext.broadcast(Seeds(block)), least), spec)
 
-    for row in longest.orderBy("item").toLocalIterator():
+    for row in asked.orderBy("item", "text").toLocalIterator():
         block.append((row.item, row.text))
         if len(block) == ITEMS_AT_ONCE:
             out, block = out.unionByName(search(block)), []

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import store
+from tessera.llm.common import quoted, store, without
 
 LEVELS = ["mix_domain", "mix_lang", "mix_source"]
 #: Rows of a leaf that share a block of its order: only the block in which the budget ends is sorted.
@@ -23,6 +23,11 @@ def count_tokens(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^ \t-\r]+"))
 
 
+def prefix(text: Column, tokens: Column) -> Column:
+    """The text up to the end of its so many-th token, blanks before and between as they are."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[ \t-\r]*[^ \t-\r]+"), F.lit(0)), F.lit(1), tokens.cast("int")), "")
+
+
 def water_fill(nodes: DataFrame, parent: list[str], budget: str, cap: str, weight: str, out: str) -> DataFrame:
     """Share each parent's budget among its children: min(cap, weight x level), the level being such that all is used.
 
@@ -62,13 +67,18 @@ def mix(
     mix_source, mix_epoch, mix_tokens, and mix_taken (tokens taken: less than mix_tokens only in a leaf's
     last document). A document comes once for each epoch that takes it. Names missing from a weight
     dictionary weigh 1. A null domain, language or source is the name ''. A null or empty text has no tokens and is
-    never taken. Equal hashes are ordered by id, null first; repeated rows count each time. An empty table gives no
-    rows. Columns of docs called mix_* are replaced.
+    never taken; a long one is counted whole. Equal hashes are ordered by id, null first, then by a hash of the text; repeated rows count each time.
+    Budgets are whole tokens that add up to the whole budget: what flooring leaves over goes to the leaves that lost most by it. An empty table gives no
+    rows. Columns of docs called like a result, in any case of letters, are replaced.
     """
     names = {"mix_domain": domain, "mix_lang": lang, "mix_source": source}
     made = [*LEVELS, "mix_epoch", "mix_tokens", "mix_taken"]
-    kept = [c for c in docs.columns if not c.lower().startswith("mix_")]
-    named = docs.select(*kept, *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in names.items()], count_tokens(F.col(text_col)).cast("long").alias("mix_tokens"))
+    own = without(docs, made)
+    kept = [f"c{n}" for n in range(len(own))]
+    named = docs.select(
+        *[quoted(c).alias(k) for c, k in zip(own, kept, strict=True)], quoted(id_col).alias("_mx_id"), F.xxhash64(quoted(text_col)).alias("_mx_text"),
+        *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in names.items()], count_tokens(quoted(text_col)).cast("long").alias("mix_tokens"),
+    )
     named = store(named.where("mix_tokens > 0"), "mix-named")
 
     def weigh(name: str, weights: dict[str, float] | None) -> Column:
@@ -80,16 +90,22 @@ def mix(
     leaves = named.groupBy(*LEVELS).agg(F.sum("mix_tokens").cast("double").alias("tokens"), F.count("*").alias("rows"))
     leaves = leaves.withColumns({"weight_domain": weigh(LEVELS[0], domain_weights), "weight_lang": weigh(LEVELS[1], lang_weights), "weight_source": weigh(LEVELS[2], source_weights)})
     total = leaves.agg(F.sum("tokens")).first()[0] or 0.0
-    leaves = store(leaf_budgets(leaves, F.lit(total * fraction), max_epochs), "mix-leaves")
+    leaves = leaf_budgets(leaves, F.lit(total * fraction), max_epochs).withColumn("_mx_floor", F.floor("budget").cast("long"))
+    left = leaves.agg((F.floor(F.sum("budget") + 1e-6) - F.sum("_mx_floor")).alias("_mx_left"))
+    lost = Window.orderBy(F.desc(F.col("budget") - F.col("_mx_floor")), *LEVELS)
+    # One row for each leaf, so a window over all of them is small.
+    leaves = leaves.withColumn("_mx_nth", F.row_number().over(lost)).join(F.broadcast(left), F.lit(True))
+    more = (F.col("_mx_nth") <= F.col("_mx_left")) & (F.col("_mx_floor") < F.col("budget"))
+    leaves = store(leaves.withColumn("tokens_budget", F.col("_mx_floor") + more.cast("long")).drop("_mx_floor", "_mx_nth", "_mx_left"), "mix-leaves")
 
     # A leaf's order is that of a seeded hash. Blocks of it are summed first; then only blocks are put in order.
-    budget = leaves.select(*LEVELS, "tokens", "rows", F.floor("budget").cast("long").alias("_mx_budget")).withColumns({
+    budget = leaves.select(*LEVELS, "tokens", "rows", F.col("tokens_budget").alias("_mx_budget")).withColumns({
         "_mx_blocks": F.ceil(F.col("rows") / F.lit(ROWS_PER_BLOCK)).cast("long"), "_mx_whole": F.floor(F.col("_mx_budget") / F.col("tokens")).cast("int"),
     })
     part = budget.withColumn("_mx_part", F.col("_mx_budget") - F.col("_mx_whole") * F.col("tokens").cast("long"))
     rows = named.join(part, LEVELS)
     spread = 1 << 40
-    rows = rows.withColumn("_mx_hash", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), F.col("_mx_whole")), F.lit(spread)))
+    rows = rows.withColumn("_mx_hash", F.pmod(F.xxhash64("_mx_id", F.lit(seed), F.col("_mx_whole")), F.lit(spread)))
     rows = rows.withColumn("_mx_block", F.floor(F.col("_mx_hash") * F.col("_mx_blocks") / F.lit(spread)).cast("long"))
     sums = rows.where("_mx_part > 0").groupBy(*LEVELS, "_mx_block").agg(F.sum("mix_tokens").alias("_mx_sum"))
     order = Window.partitionBy(*LEVELS).orderBy("_mx_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,9 +113,9 @@ def mix(
     ends = sums.where("_mx_before < _mx_want").select(*LEVELS, "_mx_block", "_mx_before", (F.col("_mx_before") + F.col("_mx_sum") > F.col("_mx_want")).alias("_mx_last"))
     whole = rows.where("_mx_whole > 0").select(*kept, *LEVELS, F.explode(F.sequence(F.lit(0), F.col("_mx_whole") - 1)).alias("mix_epoch"), "mix_tokens", F.col("mix_tokens").alias("mix_taken"))
     placed = rows.join(ends, [*LEVELS, "_mx_block"])
-    run = Window.partitionBy(*LEVELS).orderBy("_mx_hash", F.col(id_col).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy(*LEVELS).orderBy("_mx_hash", F.col("_mx_id").asc_nulls_first(), "_mx_text").rowsBetween(Window.unboundedPreceding, -1)
     inside = placed.where("_mx_last").withColumn("_mx_start", F.col("_mx_before") + F.coalesce(F.sum("mix_tokens").over(run), F.lit(0)))
     cut = inside.where("_mx_start < _mx_part").withColumn("mix_taken", F.least("mix_tokens", F.col("_mx_part") - F.col("_mx_start")))
     first = placed.where("not _mx_last").withColumn("mix_taken", F.col("mix_tokens"))
     last = [x.select(*kept, *LEVELS, F.col("_mx_whole").alias("mix_epoch"), "mix_tokens", "mix_taken") for x in (first, cut)]
-    return whole.unionByName(last[0]).unionByName(last[1]).select(*kept, *made), leaves
+    return whole.unionByName(last[0]).unionByName(last[1]).select(*[F.col(k).alias(c) for c, k in zip(own, kept, strict=True)], *made), leaves
