@@ -119,8 +119,11 @@ def test_edited_copies_are_found_and_clean_texts_left(spark):
     docs += [(100 + i, " ".join(text(300))) for i in range(30)] + [(200, None), (201, ""), (202, "w5 one, TWO w6")]
     docs += [(300 + i, "Here: " + " ".join(items[3][1]).upper()) for i in range(50)]
     wanted |= {(300 + i, 3) for i in range(50)} | {(202, 20)}
+    nameless, other = text(12), text(12)
+    docs += [(400, " ".join(text(20) + nameless)), (401, " ".join(other + text(20)))]
+    wanted |= {(400, None), (401, 3)}
     frame = spark.createDataFrame([(d, t, "z") for d, t in docs], "doc_id long, text string, item_id string")
-    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(50, None), (51, ""), (None, "w5")], "item_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(50, None), (51, ""), (None, " ".join(nameless)), (3, " ".join(other))], "item_id long, text string")
     found = decontam.contaminated(frame, bench).collect()
     assert {(r.doc_id, r.item_id) for r in found} == wanted
     assert decontam.contaminated(frame.limit(0), bench).count() == 0
@@ -129,6 +132,32 @@ def test_edited_copies_are_found_and_clean_texts_left(spark):
     assert (exact.score, exact.first_word, exact.last_word) == (1.0, 1, 31)
 
 
+def test_same_as_aligning_everything(spark):
+    """All pairs of documents and items that share a run of SEED words, aligned over the whole document by plain dynamic programming."""
+    rng = random.Random(14)
+    text = lambda n, words=40: [f"w{rng.randrange(words)}" for _ in range(n)]
+    items = [(i, text(rng.randrange(4, 16))) for i in range(6)]
+    docs = []
+    for d in range(40):
+        words = text(rng.randrange(0, 40))
+        if d % 2:
+            part = items[d % 6][1][:]
+            part[rng.randrange(len(part))] = "edit"
+            words[5:5] = part
+        docs.append((d, words))
+    wanted = {}
+    for d, w in docs:
+        for i, item in items:
+            runs = {tuple(item[a : a + decontam.SEED]) for a in range(len(item) - decontam.SEED + 1)}
+            share = slow_alignment(item, w) / (2 * len(item))
+            if share >= decontam.LEAK and any(tuple(w[a : a + decontam.SEED]) in runs for a in range(len(w))):
+                wanted[d, i] = share
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(frame, bench).collect()}
+    assert len(wanted) > 10 and found.keys() == wanted.keys() and all(found[k] == pytest.approx(wanted[k]) for k in wanted)
+
+
 def test_copies_do_not_hide_an_edited_leak(spark):
     rng = random.Random(4)
     text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
@@ -150,13 +179,13 @@ def test_counts_equal_the_tokenizer(spark):
     vocabulary = tokencount.unigram_vocabulary(VOCABULARY)
     for scores in (vocabulary, [(p, -float(n % 7) - 1) for n, (p, _) in enumerate(vocabulary)]):
         own = Tokenizer(models.Unigram([("<unk>", 0.0), *scores], unk_id=0))
-        own.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always")
+        own.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace(prepend_scheme="always")])
         rng = random.Random(9)
-        texts = ["", None, "  \n ", "Hello world", "☃☃☃ snow☃man ☃", "ｆｕｌｌ 漢字かな ünïcödé", "a" * 500, "don't stop"] + ["".join(rng.choice("abcdefghij   éñ☃漢") for _ in range(80)) for _ in range(60)]
+        texts = ["", None, "  \n ", "Hello world", "☃☃☃ snow☃man ☃", "ｆｕｌｌ 漢字かな ünïcödé", "a" * 500, "don't stop", "a  b", "one\ntwo three", "tab\there", "a\u00a0b\u2003c\x1cd", "\u2581mark a\u2581b \u2581\u2581c\u2581"] + ["".join(rng.choice("abcdefghij   éñ☃漢") for _ in range(80)) for _ in range(60)]
         frame = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id int, text string, n_tokens int")
         for r in tokencount.count_tokens(frame, scores).collect():
-            words = (r.text or "").split()
-            want = own.encode(" ".join(words), add_special_tokens=False).ids if words else []
+            words = tokencount.split_words(r.text or "")
+            want = own.encode(r.text or "", add_special_tokens=False).ids
             assert r.n_tokens == len(want), r.text
             assert r.n_unknown == sum(i == 0 for i in want)
             assert r.n_words == len(words)
@@ -222,3 +251,53 @@ def test_names_with_hyphens_and_digits_are_segmented(spark):
     assert found[4].words == "casino #2 bonus net free bets #1 go"
     assert found[5].words == "casino bonus " * 7 + "net" and found[5].verdict == "block"
     assert found[6].words == "b \u00fc cher news net \u00fc" and found[7].words == "free library #4"
+
+
+def test_segments_are_the_most_probable():
+    """Against all ways to cut a label."""
+    import math
+
+    rng = random.Random(15)
+    for _ in range(200):
+        label = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))
+        counts = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))): rng.randrange(2, 50) for _ in range(6)}
+        total = sum(counts.values())
+        chance = lambda w: math.log(counts[w] / total) if w in counts else math.log(10 / total) - len(w) * math.log(10)  # noqa: B023, E731
+        cuts = [[label[a:z] for a, z in zip([0, *c], [*c, len(label)], strict=True)] for c in ([i + 1 for i in range(len(label) - 1) if m >> i & 1] for m in range(1 << (len(label) - 1)))]
+        found = {(i, n): counts[label[i : i + n]] for i in range(len(label)) for n in range(1, 4) if i + n <= len(label) and label[i : i + n] in counts}
+        best = max(sum(map(chance, c)) for c in cuts)
+        got = urlfilter.segment(label, found, total)
+        assert "".join(got) == label and sum(map(chance, got)) == pytest.approx(best)
+    assert urlfilter.segment("x" * 5000, {}, 100) == ["x" * 5000]
+
+
+def test_rules_and_odds_by_hand(spark):
+    """Rules tried one by one, and naive Bayes added up in Python."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(16)
+    names = ["good", "news", "casino", "spam"]
+    hosts = ["a.org", "org", "b.example.org", "example.org", "x.com", "com", "y.net", "", "z.com:8080"]
+    paths = ["", "/", "/es/", "/es/x", "/en/1", "/en/17", "/fr/good", "/de/spam", "/de/casino-12"]
+    urls = [f"http://{rng.choice(names)}{rng.choice(['', '.'])}{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?q=/de/', '#f'])}" for _ in range(150)] + [None, "", "org/x"]
+    counts = spark.createDataFrame([(n, 10) for n in names], "word string, count long")
+    frame = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id int, url string, Verdict string")
+    rows = {r.page_id: r for r in urlfilter.judge(frame, RULES, counts).collect()}
+    seen, heard = {"allow": Counter(), "block": Counter()}, Counter()
+    for i, u in enumerate(urls):
+        head, sep, rest = (u or "").partition("://")
+        host = re.split("[/?#]", rest)[0].lower() if sep else ""
+        path = re.split("[?#]", rest[len(host) :])[0] if sep else ""
+        fits = [(len(t), n, t, said) for n, (said, t) in enumerate(RULES) if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith(t[t.index("/") :])]
+        best = max(fits, default=(0, 0, None, None))
+        assert (rows[i].host, rows[i].path, rows[i].rule) == (host, path, best[2]), u
+        if best[3]:
+            assert rows[i].verdict == best[3]
+            seen[best[3]].update(rows[i].words.split())
+            heard[best[3]] += 1
+    words = set(seen["allow"]) | set(seen["block"])
+    weight = lambda w, v: math.log((seen[v][w] + 1) / (sum(seen[v].values()) + len(words)))
+    for r in rows.values():
+        odds = math.log(heard["block"] / heard["allow"]) + sum(weight(w, "block") - weight(w, "allow") for w in r.words.split() if w in words)
+        assert r.log_odds == pytest.approx(odds) and (r.rule or r.verdict == ("block" if odds > 1e-12 else "allow"))
