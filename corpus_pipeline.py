@@ -6,39 +6,56 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, minhash, mixing, sharding, toxicity
-from tessera.llm.common import store, table
+from tessera.llm.common import free_name, store, table
 from tessera.llm.queries import TOXIC, source_mix, toxic_lexicon
 
 SHARDS = 24
 
 
+def row_key() -> Column:
+    """Tells rows apart by id and text, rows without id after all others; equal rows have equal keys."""
+    return F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below TOXIC; a null or empty text is clean."""
-    lexicon = toxic_lexicon(spark, docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, lexicon, out="toxic_score_").where(F.col("toxic_score_") < TOXIC).drop("toxic_score_")
+    lexicon, out = toxic_lexicon(spark, docs, table(spark, sf_dir, "labels")), free_name(docs, "toxic_score")
+    return toxicity.score(docs, lexicon, out=out).where(F.col(out) < TOXIC).drop(out)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class; of repeated rows with that id one; rows with null id stay."""
-    classes = minhash.near_duplicates(docs)
-    keep = classes.where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One document of each class, that with the smallest row_key(); of rows with equal id and text one. Texts without words have no duplicates but such rows."""
+    key = free_name(docs, "row_key")
+    keyed = docs.withColumn(key, row_key())
+    classes = minhash.near_duplicates(keyed.select(F.col(key).alias("row"), "text"), id_col="row")
+    return _semi(keyed, classes.where("kept").select(F.col("row").alias(key)).distinct(), key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    leaks = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(store(leaks, "pipeline-leaks"), "doc_id", "left_anti")
+    key = free_name(docs, "row_key")
+    keyed = docs.withColumn(key, row_key())
+    leaks = decontam.contaminated(keyed.select(F.col(key).alias("row"), "text"), table(spark, sf_dir, "benchmark"), id_col="row")
+    return _semi(keyed, store(leaks.select(F.col("row").alias(key)).distinct(), "pipeline-leaks"), key, "left_anti").drop(key)
+
+
+def _semi(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """A join on the parts of the key, of which the id may be null."""
+    same = [F.col(f"a.{key}.i").eqNullSafe(F.col(f"b.{key}.i")), F.col(f"a.{key}.t") == F.col(f"b.{key}.t")]
+    return rows.alias("a").join(keys.alias("b"), same[0] & same[1], how)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the proportions of source_mix(); one that two epochs take comes twice."""
+    """Documents in the proportions of source_mix(); one that two epochs take comes twice, and the last one of a leaf is cut where its budget ends."""
     rows, _ = mixing.mix(docs, **source_mix())
-    return rows.select(*docs.columns)
+    cut = F.col("mix_taken") < F.col("mix_tokens")
+    text = F.when(cut, mixing.prefix(F.col("text"), F.col("mix_taken"))).otherwise(F.col("text"))
+    size = F.when(cut, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return rows.withColumns({"n_chars": size, "text": text}).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
