@@ -43,18 +43,45 @@ def chunk_classes(mentions: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return sets.join(sets.groupBy("_set").agg(F.min(id_col).alias("node")), "_set").select(id_col, "node")
 
 
-def shared_edges(mentions: DataFrame, id_col: str = "doc_id", least: int = 2) -> DataFrame:
+def shared_edges(mentions: DataFrame, id_col: str = "doc_id", least: int = 2, fresh: DataFrame | None = None) -> DataFrame:
     """(a, b, shared, weight), a < b: chunks with at least two common concepts, weight max(0.1, 1 / (1 + shared)).
 
     The join key is a pair of concepts, so a concept that very many chunks have makes no pairs by itself; n common concepts show as n (n - 1) / 2 common keys.
+    With fresh(id) only pairs of which at least one is fresh are made: its pairs of concepts alone are joined with all.
     """
     own = mentions.select(id_col, concept_node().alias("c")).distinct()
     sets = own.groupBy(id_col).agg(F.array_sort(F.collect_set("c")).alias("cs")).where(F.size("cs") >= least)
-    keys = F.flatten(F.transform("cs", lambda x, i: F.transform(F.slice("cs", i + 2, F.size("cs")), lambda y: F.xxhash64(x, y))))
-    posts = sets.select(F.col(id_col).alias("id"), F.explode(keys).alias("key"))
-    pairs = posts.select(F.col("id").alias("a"), "key").join(posts.select(F.col("id").alias("b"), "key"), "key").where("a < b")
+    # Both concepts are in the key, each by a hash of its own.
+    keys = F.flatten(F.transform("cs", lambda x, i: F.transform(F.slice("cs", i + 2, F.size("cs")), lambda y: F.struct(F.xxhash64(x).alias("x"), F.xxhash64(y).alias("y")))))
+    posts = sets.select(F.col(id_col).alias("id"), F.explode(keys).alias("key")).select("id", "key.x", "key.y")
+    left, order = posts, F.col("a") < F.col("b")
+    if fresh is not None:
+        new = fresh.select(F.col(id_col).alias("id"), F.lit(True).alias("new")).distinct()
+        left = posts.join(new.select("id"), "id", "left_semi")
+        posts = posts.join(new, "id", "left")
+        order = (F.col("a") < F.col("b")) | (F.col("new").isNull() & (F.col("a") > F.col("b")))
+    pairs = left.select(F.col("id").alias("a"), "x", "y").join(posts.withColumnRenamed("id", "b"), ["x", "y"]).where(order)
     n = F.round((1 + F.sqrt(1 + 8 * F.count("*"))) / 2).cast("long")
-    return pairs.groupBy("a", "b").agg(n.alias("shared")).withColumn("weight", F.greatest(F.lit(0.1), 1.0 / (1 + F.col("shared"))))
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(n.alias("shared")).withColumn("weight", F.greatest(F.lit(0.1), 1.0 / (1 + F.col("shared"))))
+
+
+def chunk_degrees(mentions: DataFrame, heads: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, partners, nearest): chunks that share two concepts or more with each chunk, and the smallest weight among these, members of classes counted and not listed.
+
+    A chunk's partners are all members of the classes its own class is linked with, and the other members of its own class.
+    """
+    members = chunk_classes(mentions, id_col)
+    concepts = mentions.select(id_col, concept_node().alias("c")).distinct().groupBy(F.col(id_col).alias("node")).agg(F.count("*").alias("held"))
+    sizes = members.groupBy("node").agg(F.count("*").alias("size")).join(concepts, "node")
+    pairs = shared_edges(heads, id_col)
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight"))
+    apart = ends.join(sizes.select(F.col("node").alias("other"), "size"), "other").groupBy("node").agg(F.sum("size").alias("apart"), F.min("weight").alias("far"))
+    alike = (F.col("size") > 1) & (F.col("held") >= 2)
+    found = sizes.join(apart, "node", "left").select(
+        "node", (F.coalesce("apart", F.lit(0)) + F.when(alike, F.col("size") - 1).otherwise(0)).alias("partners"),
+        F.least("far", F.when(alike, F.greatest(F.lit(0.1), 1.0 / (1 + F.col("held"))))).alias("nearest"),
+    )
+    return members.join(found, "node").select(id_col, "partners", "nearest")
 
 
 def both_ways(pairs: DataFrame, relation: str) -> DataFrame:
@@ -160,19 +187,16 @@ def blended(found: DataFrame, ranks: DataFrame, part: list[str]) -> DataFrame:
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: nodes and edges, chunks, concepts by type, mean degree (in and out)."""
+    """One row: nodes and edges, chunks, concepts by type, mean degree (in and out). edges has total_edges, or a row for each edge."""
     n = nodes.agg(F.count("*").alias("total_nodes"), F.count_if(F.col("kind") == "chunk").alias("chunks"), F.count_if(F.col("kind") == "KEYWORD").alias("keywords"), F.count_if(F.col("kind") == "NER").alias("entities"))
-    return n.crossJoin(edges.agg(F.count("*").alias("total_edges"))).withColumn("average_degree", 2.0 * F.col("total_edges") / F.greatest(F.lit(1), F.col("total_nodes")))
+    total = edges if edges.columns == ["total_edges"] else edges.agg(F.count("*").alias("total_edges"))
+    return n.join(F.broadcast(total), F.lit(True)).withColumn("average_degree", 2.0 * F.col("total_edges") / F.greatest(F.lit(1), F.col("total_nodes")))
 
 
 def update(old_mentions: DataFrame, new_mentions: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Shared edges that new chunks add: pairs of which at least one chunk is new; together with the old ones they equal a full build."""
     fresh = new_mentions.join(old_mentions.select(id_col).distinct(), id_col, "left_anti")
-    every = shared_edges(old_mentions.unionByName(fresh), id_col)
-    new_ids = fresh.select(F.col(id_col).alias("n")).distinct()
-    for side in "ab":
-        every = every.join(new_ids.select(F.col("n").alias(side), F.lit(True).alias(f"_{side}")), side, "left")
-    return every.where("_a or _b").select("a", "b", "shared", "weight")
+    return shared_edges(old_mentions.unionByName(fresh), id_col, fresh=fresh).select("a", "b", "shared", "weight")
 
 
 def export(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

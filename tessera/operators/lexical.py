@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.common import store
 from tessera.functions import text as X
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -17,17 +18,14 @@ def top_ranked(df: DataFrame, part: list[str], score: str, ties: list[str], k: i
     return ranked if k is None else ranked.where(F.col(rank) <= k)
 
 
-def term_table(docs: DataFrame, id_col: str, text: Column, part: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(terms, lengths): (part, id, term, tf) and (part, id, dl)."""
-    base = docs.select(*part, F.col(id_col), X.tokens(text).alias("_t"))
-    terms = base.select(*part, id_col, F.explode("_t").alias("term")).groupBy(*part, id_col, "term").agg(F.count("*").cast("double").alias("tf"))
-    return terms, base.select(*part, id_col, F.size("_t").cast("double").alias("dl"))
+def document_frequencies(docs: DataFrame, text: Column, part: list[str]) -> DataFrame:
+    """(part, term, df), summed in each task before anything is shuffled."""
+    return docs.select(*part, F.explode(F.array_distinct(X.tokens(text))).alias("term")).groupBy(*part, "term").agg(F.count("*").cast("double").alias("df"))
 
 
-def inverse_frequencies(terms: DataFrame, lengths: DataFrame, part: list[str]) -> DataFrame:
+def inverse_frequencies(df: DataFrame, lengths: DataFrame, part: list[str]) -> DataFrame:
     """(part, term, idf, avgdl): negative values become EPSILON times the mean over all terms of the part."""
     size = lengths.groupBy(*part).agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    df = terms.groupBy(*part, "term").agg(F.count("*").cast("double").alias("df"))
     raw = _with(df, size, part).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*part).agg(F.avg("raw").alias("mean"))
     return _with(raw, mean, part).select(*part, "term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
@@ -41,12 +39,15 @@ def _with(df: DataFrame, small: DataFrame, part: list[str]) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "item_id", query_text: str = "text", id_col: str = "doc_id", text_col: str = "text", part: list[str] | None = None) -> DataFrame:
     """(part, query_id, id, bm25_score, rank): the k best documents of each query; repeated query words count again; scores of 0 go after the cut."""
     part = part or []
-    terms, lengths = term_table(docs, id_col, F.col(text_col), part)
-    idf = inverse_frequencies(terms, lengths, part)
+    base = docs.select(*part, id_col, X.tokens(F.col(text_col)).alias("_t"))
+    counted = store(document_frequencies(docs, F.col(text_col), part), "bm25-df")
+    idf = inverse_frequencies(counted, base.select(*part, F.size("_t").cast("double").alias("dl")), part)
     asked = queries.select(*part, query_id, F.explode(X.tokens(F.col(query_text))).alias("term")).groupBy(*part, query_id, "term").agg(F.count("*").alias("times"))
-    # Only terms that some query has are weighed and joined with the documents.
-    weighed = asked.join(idf, [*part, "term"])
-    hits = terms.join(weighed, [*part, "term"]).join(lengths, [*part, id_col])
+    weighed = store(asked.join(idf, [*part, "term"]), "bm25-query")
+    # Words that no query has go before anything is counted or shuffled; Spark broadcasts the query words if they are few.
+    words = base.select(*part, id_col, F.size("_t").cast("double").alias("dl"), F.explode("_t").alias("term")).join(weighed.select(*part, "term").distinct(), [*part, "term"], "left_semi")
+    terms = words.groupBy(*part, id_col, "dl", "term").agg(F.count("*").cast("double").alias("tf"))
+    hits = terms.join(weighed, [*part, "term"])
     part_score = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = hits.groupBy(*part, query_id, id_col).agg(F.sum(part_score).alias("bm25_score"))
     return top_ranked(scores, [*part, query_id], "bm25_score", [id_col], k).where(F.round("bm25_score", 4) > 0)

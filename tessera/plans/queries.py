@@ -11,7 +11,7 @@ from tessera.common import store, table
 from tessera.config import Settings, modes
 from tessera.functions import text as X
 from tessera.functions import vectors as V
-from tessera.operators import chunking, evaluate, fusion, graph, lexical, metrics, scoring, state, vectors
+from tessera.operators import chunking, evaluate, fusion, graph, lexical, metrics, question, scoring, state, vectors
 from tessera.plans import sql as S
 from tessera.streaming import rollups
 
@@ -155,8 +155,8 @@ def bm25_topk(spark, d):
 
 @query("SELECT term, round(idf, 4) AS idf FROM idf")
 def bm25_idf(spark, d):
-    terms, lengths = lexical.term_table(docs(spark, d), "doc_id", F.col("text"), [])
-    return lexical.inverse_frequencies(terms, lengths, []).select("term", "idf")
+    lengths = docs(spark, d).select(F.size(X.tokens(F.col("text"))).cast("double").alias("dl"))
+    return lexical.inverse_frequencies(store(lexical.document_frequencies(docs(spark, d), F.col("text"), []), "bm25-df"), lengths, []).select("term", "idf")
 
 
 NEAR = "SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v) / ((sqrt(list_dot_product(a.v, a.v)) + 1e-8::DOUBLE) * (sqrt(list_dot_product(b.v, b.v)) + 1e-8::DOUBLE)), 6) AS s FROM em a JOIN em b ON a.vec_id <> b.vec_id{} WHERE a.vec_id % 100 = 0"
@@ -239,19 +239,43 @@ def hybrid_rows(spark, d):
     return fused.join(near.select("item_id", "doc_id", "similarity_score"), ["item_id", "doc_id"], "left")
 
 
-def candidates(spark, d):
-    """Fused candidates with texts, similarity and a distance: 1 / number of common tokens, from 3 on."""
-    found = hybrid_rows(spark, d).withColumnRenamed("rank", "pool_rank")
-    rows = found.join(items(spark, d).withColumnRenamed("text", "query"), "item_id").join(docs(spark, d).select("doc_id", "text"), "doc_id")
-    common = F.size(F.array_intersect(X.tokens(F.col("query")), X.tokens(F.col("text"))))
-    return store(rows.withColumns({"semantic_score": F.coalesce("similarity_score", F.lit(0.0)), "distance": F.when(common >= 3, 1.0 / common)}), "candidates")
+def pool_rows(spark, d):
+    """Fused candidates with texts and similarity."""
+    found = store(hybrid_rows(spark, d).withColumnRenamed("rank", "pool_rank"), "pool")
+    return found.join(items(spark, d).withColumnRenamed("text", "query"), "item_id").join(docs(spark, d).select("doc_id", "text"), "doc_id")
+
+
+def question_words(spark, d):
+    """(item_id, word): words of a question that can be concepts."""
+    return items(spark, d).select("item_id", F.explode(X.tokens(F.col("text"))).alias("word")).where((F.length("word") > 2) & ~F.col("word").isin(*X.STOP_WORDS)).distinct()
+
+
+def candidates(spark, d, pool: DataFrame | None = None):
+    """The pool of each question and the neighbours that its graph adds, with distances from the question's concepts; four items in a row are the turns of a session.
+
+    Rows come twice, with and without the gate on neighbours. Only documents of some pool get concepts and vectors.
+    """
+    pool = pool_rows(spark, d) if pool is None else pool
+    pool = pool.select("item_id", "doc_id", "similarity_score")
+    shown = docs(spark, d).join(pool.select("doc_id").distinct(), "doc_id", "left_semi")
+    asked = vectors.hashed_embedding(items(spark, d), "item_id", F.col("text")).withColumnRenamed("embedding", "q")
+    words = question_words(spark, d).groupBy("item_id").agg(F.collect_list("word").alias("words"))
+    turns = items(spark, d).select("item_id", F.floor(F.col("item_id") / 4).alias("session"), (F.col("item_id") % 4).alias("turn")).join(asked, "item_id").join(words, "item_id", "left")
+    turns = turns.withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    found = question.question_distances(pool, turns, graph.concepts(shown), vectors.hashed_embedding(shown, "doc_id", F.col("text")), SETTINGS)
+    return store(found.join(items(spark, d).withColumnRenamed("text", "query"), "item_id").join(docs(spark, d).select("doc_id", "text"), "doc_id"), "candidates")
+
+
+@query("SELECT item_id, doc_id, gate AS gated, added, round(semantic_score, 4) AS semantic_score, round(distance, 4) AS distance FROM gcand")
+def question_distance(spark, d):
+    return candidates(spark, d).select("item_id", "doc_id", "gated", "added", "semantic_score", "distance")
 
 
 FULL = modes(SETTINGS)["full"]
 
 
 def scored(spark, d):
-    return scoring.hybrid_score(candidates(spark, d), ITEM, SETTINGS, FULL)
+    return scoring.hybrid_score(candidates(spark, d).where("gated"), ITEM, SETTINGS, FULL)
 
 
 @query("SELECT item_id, doc_id, query_type, round(alpha, 4) AS alpha, round(beta, 4) AS beta, round(semantic_score, 4) AS semantic_score, round(graph_score, 4) AS graph_score, round(hybrid_score, 4) AS hybrid_score FROM hs")
@@ -305,7 +329,7 @@ def score_stats(spark, d):
 
 @query("SELECT item_id, doc_id, rank, round(similarity_score, 4) AS similarity_score FROM (SELECT item_id, doc_id, pool_rank AS rank, similarity_score, coalesce(similarity_score, 1.0::DOUBLE) >= 0.5::DOUBLE AS ok, bool_or(coalesce(similarity_score, 1.0::DOUBLE) >= 0.5::DOUBLE) OVER (PARTITION BY item_id) AS anyok FROM cand WHERE pool_rank <= 5) WHERE ok OR (NOT anyok AND rank = 1)")
 def baseline_filter(spark, d):
-    rows = candidates(spark, d).where("pool_rank <= 5").withColumnRenamed("pool_rank", "rank")
+    rows = pool_rows(spark, d).where("pool_rank <= 5").withColumnRenamed("pool_rank", "rank")
     return scoring.baseline_filter(rows, ITEM, 0.5).select("item_id", "doc_id", "rank", "similarity_score")
 
 
@@ -313,10 +337,13 @@ def baseline_filter(spark, d):
 
 
 def mentions(spark, d):
-    """Concepts of one chunk of each class of equal concept sets; edges of the others are those of their class."""
-    found = store(graph.concepts(docs(spark, d)), "mentions")
-    heads = graph.chunk_classes(found).where("doc_id = node").select("doc_id")
-    return store(found.join(heads, "doc_id", "left_semi"), "mentions")
+    """Concepts of all chunks."""
+    return store(graph.concepts(docs(spark, d)), "mentions")
+
+
+def heads(found):
+    """Mentions of one chunk of each class of equal concept sets; chunk_classes has the members. Only pairs of chunks are made from these."""
+    return found.join(graph.chunk_classes(found).where("doc_id = node").select("doc_id"), "doc_id", "left_semi")
 
 
 @query("SELECT doc_id, word, type, score FROM cons")
@@ -334,19 +361,20 @@ def concept_edges(spark, d):
     return graph.concept_edges(mentions(spark, d))
 
 
-@query("SELECT concept, count(DISTINCT doc_id) AS chunks FROM cmen GROUP BY concept")
+@query("SELECT concept, count(DISTINCT doc_id) AS chunks FROM con GROUP BY concept")
 def inverted_index(spark, d):
     return mentions(spark, d).select("doc_id", graph.concept_node().alias("concept")).distinct().groupBy("concept").agg(F.count("*").alias("chunks"))
 
 
 @query("SELECT a, b, shared, round(weight, 4) AS weight FROM shared")
 def shared_edges(spark, d):
-    return graph.shared_edges(mentions(spark, d))
+    return graph.shared_edges(heads(mentions(spark, d)))
 
 
-def concept_graph(spark, d):
-    found = mentions(spark, d)
-    edges = graph.merge_edges(graph.concept_edges(found).unionByName(graph.both_ways(graph.shared_edges(found), graph.SHARED)))
+def concept_graph(spark, d, found: DataFrame | None = None):
+    """All nodes and edges, pairs of chunks as pairs of class heads."""
+    found = mentions(spark, d) if found is None else found
+    edges = graph.merge_edges(graph.concept_edges(found).unionByName(graph.both_ways(graph.shared_edges(heads(found)), graph.SHARED)))
     nodes = found.select(F.col("doc_id").cast("string").alias("node"), F.lit("chunk").alias("kind")).distinct().unionByName(found.select(graph.concept_node().alias("node"), F.col("type").alias("kind")).distinct())
     return nodes, store(edges, "concept-graph")
 
@@ -356,14 +384,18 @@ def graph_edges(spark, d):
     return concept_graph(spark, d)[1].select("src", "dst", "weight")
 
 
-@query("SELECT count(*) AS total_nodes, count(*) FILTER (WHERE kind = 'chunk') AS chunks, count(*) FILTER (WHERE kind = 'KEYWORD') AS keywords, count(*) FILTER (WHERE kind = 'NER') AS entities, (SELECT count(*) FROM ge) AS total_edges, round(2.0::DOUBLE * (SELECT count(*) FROM ge) / count(*), 4) AS average_degree FROM gn")
+@query("SELECT count(*) AS total_nodes, count(*) FILTER (WHERE kind = 'chunk') AS chunks, count(*) FILTER (WHERE kind = 'KEYWORD') AS keywords, count(*) FILTER (WHERE kind = 'NER') AS entities, (SELECT count(*) FROM alled) AS total_edges, round(2.0::DOUBLE * (SELECT count(*) FROM alled) / count(*), 4) AS average_degree, (SELECT count(*) FROM (SELECT DISTINCT doc_id, concept FROM con)) AS index_size FROM gn")
 def graph_stats(spark, d):
-    return graph.statistics(*concept_graph(spark, d))
+    found = mentions(spark, d)
+    nodes, _ = concept_graph(spark, d, found)
+    edges = graph.concept_edges(found).agg(F.count("*").alias("n")).unionByName(graph.chunk_degrees(found, heads(found)).agg(F.coalesce(F.sum("partners"), F.lit(0)).alias("n"))).agg(F.sum("n").alias("total_edges"))
+    size = found.select("doc_id", graph.concept_node().alias("c")).distinct().agg(F.count("*").alias("index_size"))
+    return graph.statistics(nodes, edges).join(F.broadcast(size), F.lit(True))
 
 
 @query("SELECT a, b, shared, round(weight, 4) AS weight FROM shared WHERE a % 5 = 0 OR b % 5 = 0")
 def graph_update(spark, d):
-    found = mentions(spark, d)
+    found = store(heads(mentions(spark, d)), "heads")
     return graph.update(found.where("doc_id % 5 <> 0"), found)
 
 
@@ -375,10 +407,15 @@ def graph_export(spark, d):
     return graph.export(told, edges)[0].select("node", "kind", "label")
 
 
-@query("SELECT node, count(*) AS degree_out, round(min(weight), 4) AS nearest FROM gn JOIN ge ON src = node WHERE kind = 'chunk' GROUP BY node")
+@query("SELECT node, count(*) AS degree_out, count(*) AS degree_in, round(min(weight), 4) AS nearest FROM gn JOIN alled ON src = node WHERE kind = 'chunk' GROUP BY node")
 def node_info(spark, d):
-    nodes, edges = concept_graph(spark, d)
-    return nodes.where("kind = 'chunk'").join(edges.withColumnRenamed("src", "node"), "node").groupBy("node").agg(F.count("*").alias("degree_out"), F.min("weight").alias("nearest"))
+    """Degrees and nearest neighbour of all chunks; every edge has its reverse, so both degrees are equal."""
+    found = mentions(spark, d)
+    own = graph.concept_edges(found).where(F.col("relation") != graph.FOUND).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("concepts"), F.min("weight").alias("low"))
+    pairs = graph.chunk_degrees(found, heads(found)).select(F.col("doc_id").cast("string").alias("node"), "partners", "nearest")
+    both = own.join(pairs, "node", "left")
+    degree = F.col("concepts") + F.coalesce("partners", F.lit(0))
+    return both.select("node", degree.alias("degree_out"), degree.alias("degree_in"), F.least("low", "nearest").alias("nearest"))
 
 
 # ---- graph of similar vectors
@@ -391,10 +428,9 @@ def vector_graph(spark, d):
 
 
 def vector_sources(spark, d, edges):
-    """The three smallest vectors with neighbours of each label."""
+    """All vectors with neighbours whose id is divisible by 100, by label."""
     own = edges.select(F.col("src").alias("vec_id")).distinct().join(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
-    order = Window.partitionBy("label").orderBy("vec_id")
-    return store(own.withColumn("n", F.row_number().over(order)).where("n <= 3").select(F.col("label").cast("long").alias("label"), F.col("vec_id").alias("node")), "vector-sources")
+    return store(own.where("vec_id % 100 = 0").select(F.col("label").cast("long").alias("label"), F.col("vec_id").alias("node")), "vector-sources")
 
 
 @query("SELECT src, dst, round(weight, 4) AS weight FROM ve")
@@ -481,30 +517,24 @@ def graph_expansion(spark, d):
     return graph.expand(found, vector_graph(spark, d), asked, rows.select("vec_id", V.clean(F.col("embedding")).alias("embedding")), "query_id", V.cosine)
 
 
-@query("SELECT concept, round(w, 4) AS semantic_weight, round(CASE WHEN w > 0.3::DOUBLE THEN 0.3::DOUBLE * (1 - 0.5::DOUBLE * w) ELSE 0.3::DOUBLE END, 4) AS edge_weight FROM (SELECT concept, avg(coalesce(x, 0.0::DOUBLE)) AS w FROM (SELECT DISTINCT doc_id, concept, word FROM cmen) m LEFT JOIN de ON de.doc_id = m.doc_id AND de.b = ('0x' || substr(md5(word), 1, 8))::BIGINT % 64 GROUP BY concept)")
+@query("SELECT concept, round(w, 4) AS semantic_weight, round(CASE WHEN w > 0.3::DOUBLE THEN 0.3::DOUBLE * (1 - 0.5::DOUBLE * w) ELSE 0.3::DOUBLE END, 4) AS edge_weight FROM (SELECT concept, avg(coalesce(x, 0.0::DOUBLE)) AS w FROM (SELECT DISTINCT doc_id, concept, word FROM con) m LEFT JOIN de ON de.doc_id = m.doc_id AND de.b = ('0x' || substr(md5(word), 1, 8))::BIGINT % 64 GROUP BY concept)")
 def concept_weights(spark, d):
     found = mentions(spark, d)
     words = vectors.hashed_embedding(found.select("word").distinct(), "word", F.col("word")).withColumnRenamed("embedding", "concept_embedding")
     return graph.semantic_weights(found, vectors.hashed_embedding(docs(spark, d), "doc_id", F.col("text")), words, V.cosine)
 
 
-def _tri(name: str, words: str) -> str:
-    gram = "unnest(list_transform(range(1, greatest(length(word) - 2, 1) + 1), lambda i: substr(word, i, 3)))"
-    return f"SELECT word, b, c / sqrt(sum(c * c) OVER (PARTITION BY word)) AS x FROM (SELECT word, ('0x' || substr(md5(g), 1, 8))::BIGINT % 64 AS b, count(*)::DOUBLE AS c FROM (SELECT word, {gram} AS g FROM {words}) GROUP BY ALL)"
-
-
 MATCH = {
-    "aw": f"SELECT DISTINCT item_id, word FROM (SELECT item_id, unnest(tok) AS word FROM qt) WHERE length(word) > 2 AND word NOT IN ({S.STOP})",
     "cwords": "SELECT DISTINCT word FROM kw",
     "restw": "SELECT DISTINCT word FROM aw WHERE word NOT IN (SELECT word FROM cwords)",
-    "ta3": _tri("ta3", "restw"), "tc3": _tri("tc3", "cwords"),
+    "ta3": S.letters("restw"), "tc3": S.letters("cwords"),
     "fz": "SELECT word, concept FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY s DESC, concept) AS n FROM (SELECT a.word, c.word AS concept, round(sum(a.x * c.x), 6) AS s FROM ta3 a JOIN tc3 c USING (b) GROUP BY ALL)) WHERE n = 1 AND s >= 0.55::DOUBLE",
 }
 
 
 @query("SELECT item_id, word, word AS concept, 'exact' AS kind FROM aw WHERE word IN (SELECT word FROM cwords) UNION ALL SELECT item_id, word, concept, 'fuzzy' FROM aw JOIN fz USING (word)", MATCH)
 def concept_match(spark, d):
-    asked = items(spark, d).select("item_id", F.explode(X.tokens(F.col("text"))).alias("word")).where((F.length("word") > 2) & ~F.col("word").isin(*X.STOP_WORDS)).distinct()
+    asked = question_words(spark, d)
     known = store(graph.concepts(docs(spark, d)).where("type = 'KEYWORD'").select("word").distinct(), "concept-words")
 
     def search(words: DataFrame, concept_words: DataFrame) -> DataFrame:
@@ -660,14 +690,15 @@ def verdict(spark, d):
 # ---- retrieval modes
 
 
-def retrieve(spark, d, name: str, n: int = 5, rows: DataFrame | None = None):
-    """The contexts of one mode for every item: (item_id, doc_id, rank, score). rows: candidates() that are there already."""
+def retrieve(spark, d, name: str, n: int = 5, pool: DataFrame | None = None, rows: DataFrame | None = None):
+    """The contexts of one mode for every item: (item_id, doc_id, rank, score). pool, rows: pool_rows() and candidates() that are there already."""
     mode = modes(SETTINGS)[name]
     if not mode.graph:
-        pool = vector_list(spark, d) if mode.bm25_weight == 0 else (candidates(spark, d) if rows is None else rows).withColumnRenamed("pool_rank", "rank")
-        kept = scoring.baseline_filter(pool.where(F.col("rank") <= n), ITEM, SETTINGS.min_similarity)
+        found = vector_list(spark, d) if mode.bm25_weight == 0 else (pool_rows(spark, d) if pool is None else pool).withColumnRenamed("pool_rank", "rank")
+        kept = scoring.baseline_filter(found.where(F.col("rank") <= n), ITEM, SETTINGS.min_similarity)
         return kept.select("item_id", "doc_id", "rank", F.coalesce("similarity_score", F.lit(0.0)).alias("score"))
-    kept = scoring.rerank(candidates(spark, d) if rows is None else rows, ITEM, SETTINGS, mode, n)
+    rows = candidates(spark, d, pool) if rows is None else rows
+    kept = scoring.rerank(rows.where(F.col("gated") == mode.gate), ITEM, SETTINGS, mode, n)
     return kept.select("item_id", "doc_id", "rank", F.col("final_score").alias("score"))
 
 
@@ -684,20 +715,33 @@ def retrieve_hybrid_rag(spark, d):
     return retrieve(spark, d, "hybrid_rag")
 
 
-@query("SELECT item_id, doc_id, rank, round(h, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY h DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, round(CASE WHEN alone THEN semantic_score ELSE 0.7::DOUBLE * semantic_score + 0.3::DOUBLE * graph_score END, 6) AS h FROM sc0)) WHERE rank <= 5")
+@query("SELECT item_id, doc_id, rank, round(h, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY h DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, round(CASE WHEN alone THEN semantic_score ELSE 0.7::DOUBLE * semantic_score + 0.3::DOUBLE * graph_score END, 6) AS h FROM sc00 WHERE gate = 0)) WHERE rank <= 5")
 def retrieve_graph_nofilter(spark, d):
     return retrieve(spark, d, "graph_nofilter")
 
 
-@query("SELECT item_id, doc_id, rank, round(final_score, 4) AS score FROM (SELECT * FROM ak5 WHERE rank <= 5)", {"ak5": "SELECT * FROM bl"})
+@query("SELECT item_id, doc_id, rank, round(final_score, 4) AS score FROM ak")
 def retrieve_full(spark, d):
-    return retrieve(spark, d, "full")
+    return retrieve(spark, d, "full", TOP_K)
 
 
-@query()
+ABLATION = {
+    "alist": "SELECT 'baseline' AS mode, item_id, doc_id, rank FROM ({}) UNION ALL SELECT 'hybrid_rag', item_id, doc_id, rank FROM ({}) UNION ALL SELECT 'graph_nofilter', item_id, doc_id, rank FROM ({}) UNION ALL SELECT 'full', item_id, doc_id, rank FROM ({})",
+    "ahit": "SELECT mode, a.item_id, a.doc_id, a.rank FROM alist a JOIN rel USING (item_id, doc_id) WHERE a.rank <= 5",
+    "arec": "SELECT mode, item_id, (SELECT count(*) FROM ahit h WHERE h.mode = m.mode AND h.item_id = s.item_id)::DOUBLE / relevant AS recall, coalesce((SELECT 1.0::DOUBLE / min(rank) FROM ahit h WHERE h.mode = m.mode AND h.item_id = s.item_id), 0.0::DOUBLE) AS mrr FROM relsize s CROSS JOIN (SELECT DISTINCT mode FROM alist) m",
+}
+ABLATION["alist"] = ABLATION["alist"].format(
+    BASE_MODE.format("vt", "rank"), BASE_MODE.format("(SELECT item_id, doc_id, pool_rank AS rank, similarity_score FROM cand)", "rank"),
+    "SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY h DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, round(CASE WHEN alone THEN semantic_score ELSE 0.7::DOUBLE * semantic_score + 0.3::DOUBLE * graph_score END, 6) AS h FROM sc00 WHERE gate = 0)) WHERE rank <= 5",
+    "SELECT item_id, doc_id, rank FROM bl WHERE rank <= 5",
+)
+
+
+@query("SELECT mode, 'recall' AS metric, round(avg(recall), 4) AS value FROM arec GROUP BY mode UNION ALL SELECT mode, 'mrr', round(avg(mrr), 4) FROM arec GROUP BY mode UNION ALL SELECT mode, 'coverage', round(count(DISTINCT doc_id)::DOUBLE / (SELECT count(*) FROM documents), 4) FROM alist WHERE rank <= 5 GROUP BY mode", ABLATION)
 def ablation(spark, d):
-    rows = candidates(spark, d)
-    lists = [retrieve(spark, d, m, rows=rows).select(F.lit(m).alias("mode"), "item_id", "doc_id", "rank") for m in modes(SETTINGS)]
+    pool = store(pool_rows(spark, d), "pool-rows")
+    rows = candidates(spark, d, pool)
+    lists = [retrieve(spark, d, m, pool=pool, rows=rows).select(F.lit(m).alias("mode"), "item_id", "doc_id", "rank") for m in modes(SETTINGS)]
     every = lists[0]
     for x in lists[1:]:
         every = every.unionByName(x)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from tessera.functions import text as X
 
 
@@ -45,6 +47,59 @@ def hits(kw: str, text: str) -> str:
     return f"len(list_filter({kw}, lambda w: contains(lower(coalesce({text}, '')), w)))"
 
 
+def letters(name: str) -> str:
+    """(word, b, x): hashed three-letter pieces of the words of a step, as unit vectors."""
+    gram = "unnest(list_transform(range(1, greatest(length(word) - 2, 1) + 1), lambda i: substr(word, i, 3)))"
+    return f"SELECT word, b, c / sqrt(sum(c * c) OVER (PARTITION BY word)) AS x FROM (SELECT word, ('0x' || substr(md5(g), 1, 8))::BIGINT % 64 AS b, count(*)::DOUBLE AS c FROM (SELECT word, {gram} AS g FROM {name}) GROUP BY ALL)"
+
+
+def walks(rounds: int, ranks: int) -> dict[str, str]:
+    """Distances and personalised ranks on the graph of each question, from its concepts."""
+    steps = {"gr0": "SELECT item_id, node, 0.0::DOUBLE AS distance FROM gsrc"}
+    for i in range(rounds):
+        steps[f"gr{i + 1}"] = f"SELECT item_id, node, min(distance) AS distance FROM (SELECT * FROM gr{i} UNION ALL SELECT r.item_id, e.b, r.distance + e.weight FROM gr{i} r JOIN gt e ON e.item_id = r.item_id AND e.a = r.node WHERE r.distance + e.weight <= 4.0::DOUBLE) GROUP BY ALL"
+    steps["gflow"] = "SELECT item_id, a, b, weight / sum(weight) OVER (PARTITION BY item_id, a) AS p FROM gt WHERE weight > 0"
+    steps["gbase"] = "SELECT item_id, node, 1.0::DOUBLE / count(*) OVER (PARTITION BY item_id) AS base FROM gsrc"
+    steps["gp0"] = "SELECT item_id, node, base AS ppr FROM gbase"
+    for i in range(ranks):
+        lost = f"SELECT p.item_id, sum(p.ppr) AS lost FROM gp{i} p WHERE NOT EXISTS (SELECT 1 FROM gflow f WHERE f.item_id = p.item_id AND f.a = p.node) GROUP BY p.item_id"
+        steps[f"gp{i + 1}"] = f"SELECT item_id, node, sum(x) AS ppr FROM (SELECT p.item_id, f.b AS node, 0.85::DOUBLE * p.ppr * f.p AS x FROM gp{i} p JOIN gflow f ON f.item_id = p.item_id AND f.a = p.node UNION ALL SELECT s.item_id, s.node, s.base * (0.15::DOUBLE + 0.85::DOUBLE * coalesce(l.lost, 0)) FROM gbase s LEFT JOIN ({lost}) l USING (item_id)) GROUP BY ALL"
+    steps["gd0"] = f"SELECT i.gate, i.item_id, i.doc_id, i.added, r.distance AS raw, coalesce(p.ppr, 0) AS ppr FROM gids i LEFT JOIN gr{rounds} r ON r.item_id = i.item_id AND r.node = 'd' || i.doc_id LEFT JOIN gp{ranks} p ON p.item_id = i.item_id AND p.node = 'd' || i.doc_id"
+    steps["gd1"] = "SELECT *, CASE WHEN raw IS NULL THEN 0.8::DOUBLE WHEN max(raw) OVER w > min(raw) OVER w THEN (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) ELSE 0.0::DOUBLE END AS scaled, CASE WHEN max(ppr) OVER w > 0 THEN ppr / max(ppr) OVER w ELSE 0.0::DOUBLE END AS share FROM gd0 WINDOW w AS (PARTITION BY gate, item_id)"
+    steps["gd"] = "SELECT gate, item_id, doc_id, added, CASE WHEN item_id IN (SELECT item_id FROM gsrc) THEN 0.7::DOUBLE * scaled + 0.3::DOUBLE * (1 - share) END AS distance FROM gd1"
+    steps["gcand"] = "SELECT gd.gate, gd.added, gd.item_id, gd.doc_id, q.text AS query, d.text, gsem.sem AS semantic_score, gd.distance, q.tok AS qtok, d.tok AS dtok FROM gd JOIN gsem USING (item_id, doc_id) JOIN qt q USING (item_id) JOIN dt d USING (doc_id)"
+    return steps
+
+
+def questions() -> dict[str, str]:
+    """The graph of each question: pools of its session (four items in a row) up to its turn."""
+    hashed = "('0x' || substr(md5(gc.word), 1, 8))::BIGINT % 64"
+    return {
+        "turns": "SELECT item_id, item_id // 4 AS session, item_id % 4 AS turn FROM qt",
+        "gm": "SELECT q.item_id, r.doc_id, max((p.item_id = q.item_id)::INT) AS seed FROM turns q JOIN turns p ON p.session = q.session AND p.turn <= q.turn JOIN rrf r ON r.item_id = p.item_id GROUP BY ALL",
+        "gc": "SELECT gm.item_id, gm.doc_id, con.word, con.type, con.concept FROM gm JOIN con USING (doc_id)",
+        "gsw": f"SELECT gc.item_id, gc.concept, avg(coalesce(x, 0.0::DOUBLE)) AS w FROM gc LEFT JOIN de ON de.doc_id = gc.doc_id AND de.b = {hashed} GROUP BY ALL",
+        "gce": "SELECT item_id, 'd' || doc_id AS a, concept AS b, round(CASE WHEN w > 0.3::DOUBLE THEN 0.3::DOUBLE * (1 - 0.5::DOUBLE * w) ELSE 0.3::DOUBLE END, 6) AS weight FROM gc JOIN gsw USING (item_id, concept)",
+        "gsh": "SELECT x.item_id, x.doc_id AS a, y.doc_id AS b, round(greatest(0.1::DOUBLE, 1.0::DOUBLE / (1 + count(*))), 6) AS weight FROM gc x JOIN gc y ON x.item_id = y.item_id AND x.concept = y.concept AND x.doc_id < y.doc_id GROUP BY ALL HAVING count(*) >= 2",
+        "gsim": "SELECT x.item_id, x.doc_id AS a, y.doc_id AS b, round(sum(dx.x * dy.x), 6) AS s FROM gm x JOIN gm y ON x.item_id = y.item_id AND x.doc_id < y.doc_id JOIN de dx ON dx.doc_id = x.doc_id JOIN de dy ON dy.doc_id = y.doc_id AND dy.b = dx.b GROUP BY ALL",
+        "gdd": "SELECT item_id, a, b, min(weight) AS weight FROM (SELECT * FROM gsh UNION ALL SELECT item_id, a, b, round(greatest(0.0::DOUBLE, 1 - s), 6) FROM gsim WHERE s > 0.65::DOUBLE) GROUP BY ALL",
+        "gedge": "SELECT * FROM gce UNION ALL SELECT item_id, b, a, weight FROM gce UNION ALL SELECT item_id, 'd' || a, 'd' || b, weight FROM gdd UNION ALL SELECT item_id, 'd' || b, 'd' || a, weight FROM gdd",
+        "gcut": "SELECT item_id, round(quantile_cont(weight, 0.55::DOUBLE), 9) AS cut FROM gedge GROUP BY item_id",
+        "gt": "SELECT e.* FROM gedge e JOIN gcut USING (item_id) WHERE weight <= cut",
+        "gnb": "SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(weight, 8), doc_id) AS n FROM (SELECT e.item_id, t.doc_id, min(e.weight) AS weight FROM gt e JOIN gm s ON s.item_id = e.item_id AND s.seed = 1 AND e.a = 'd' || s.doc_id JOIN gm t ON t.item_id = e.item_id AND t.seed = 0 AND e.b = 'd' || t.doc_id WHERE e.weight <= 0.5::DOUBLE GROUP BY ALL)) WHERE n <= 5",
+        "gsem": "SELECT gm.item_id, gm.doc_id, seed, coalesce(v.similarity_score, 0.0::DOUBLE) AS sem FROM gm LEFT JOIN vsim v ON v.item_id = gm.item_id AND v.doc_id = gm.doc_id",
+        "gbest": "SELECT r.item_id, max(coalesce(v.similarity_score, 0.0::DOUBLE)) AS best FROM rrf r LEFT JOIN vt v ON v.item_id = r.item_id AND v.doc_id = r.doc_id GROUP BY r.item_id",
+        "gids": "SELECT g.gate, gm.item_id, gm.doc_id, 0 AS added FROM gm, (SELECT unnest([0, 1]) AS gate) g WHERE seed = 1 UNION ALL SELECT g.gate, n.item_id, n.doc_id, 1 FROM gnb n JOIN gsem USING (item_id, doc_id) JOIN gbest USING (item_id), (SELECT unnest([0, 1]) AS gate) g WHERE g.gate = 0 OR sem >= greatest(0.1::DOUBLE, 0.4::DOUBLE * best)",
+        "aw": f"SELECT DISTINCT item_id, word FROM (SELECT item_id, unnest(tok) AS word FROM qt) WHERE length(word) > 2 AND word NOT IN ({STOP})",
+        "gw": "SELECT DISTINCT item_id, type, word, concept FROM gc",
+        "grest": "SELECT item_id, word FROM aw WHERE NOT EXISTS (SELECT 1 FROM gw WHERE gw.item_id = aw.item_id AND gw.word = aw.word AND gw.type = 'KEYWORD')",
+        "gwords": "SELECT word FROM grest UNION SELECT word FROM gw",
+        "gl": letters("gwords"),
+        "gfz": "SELECT item_id, word, concept FROM (SELECT *, row_number() OVER (PARTITION BY item_id, word ORDER BY s DESC, type, cword) AS n FROM (SELECT r.item_id, r.word, w.concept, w.type, w.word AS cword, round(sum(x.x * y.x), 6) AS s FROM grest r JOIN gl x ON x.word = r.word JOIN gl y ON y.b = x.b JOIN gw w ON w.item_id = r.item_id AND w.word = y.word GROUP BY ALL)) WHERE n = 1 AND s >= 0.55::DOUBLE",
+        "gsrc": "SELECT aw.item_id, gw.concept AS node FROM aw JOIN gw ON gw.item_id = aw.item_id AND gw.word = aw.word AND gw.type = 'KEYWORD' UNION SELECT item_id, concept FROM gfz",
+    }
+
+
 STEPS: dict[str, str] = {
     "dt": f"SELECT doc_id, text, lang, source, {tok('text')} AS tok FROM documents",
     "qt": f"SELECT item_id, text, {tok('text')} AS tok FROM benchmark",
@@ -65,8 +120,9 @@ STEPS: dict[str, str] = {
     "fused": "SELECT item_id, doc_id, sum(s) AS rrf_score, min(list * 1000 + rank) AS first FROM lists GROUP BY ALL",
     "rrf": "SELECT item_id, doc_id, rrf_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(rrf_score, 8) DESC, first, doc_id) AS rank FROM fused) WHERE rank <= 20",
     # candidates and scores
-    "cand": "SELECT r.item_id, r.doc_id, r.rank AS pool_rank, q.text AS query, d.text, v.similarity_score, coalesce(v.similarity_score, 0.0::DOUBLE) AS semantic_score, CASE WHEN len(list_distinct(list_intersect(q.tok, d.tok))) >= 3 THEN 1.0::DOUBLE / len(list_distinct(list_intersect(q.tok, d.tok))) END AS distance, q.tok AS qtok, d.tok AS dtok FROM rrf r JOIN qt q USING (item_id) JOIN dt d USING (doc_id) LEFT JOIN vt v ON v.item_id = r.item_id AND v.doc_id = r.doc_id",
-    "sc0": f"SELECT *, {class_of('query')} AS query_type, 1.0::DOUBLE / (1.0::DOUBLE + coalesce(distance, 100.0::DOUBLE)) AS graph_score, (max(distance) OVER (PARTITION BY item_id) IS NULL OR max(semantic_score) OVER (PARTITION BY item_id) < 0.40::DOUBLE) AS alone, {hits(keywords('query'), 'text')} AS hits FROM cand",
+    "cand": "SELECT r.item_id, r.doc_id, r.rank AS pool_rank, q.text AS query, d.text, v.similarity_score, q.tok AS qtok, d.tok AS dtok FROM rrf r JOIN qt q USING (item_id) JOIN dt d USING (doc_id) LEFT JOIN vt v ON v.item_id = r.item_id AND v.doc_id = r.doc_id",
+    "sc00": f"SELECT *, {class_of('query')} AS query_type, 1.0::DOUBLE / (1.0::DOUBLE + coalesce(distance, 100.0::DOUBLE)) AS graph_score, (max(distance) OVER (PARTITION BY gate, item_id) IS NULL OR max(semantic_score) OVER (PARTITION BY gate, item_id) < 0.40::DOUBLE) AS alone, {hits(keywords('query'), 'text')} AS hits FROM gcand",
+    "sc0": "SELECT * FROM sc00 WHERE gate = 1",
     "sc1": "SELECT *, CASE WHEN alone THEN 1.0::DOUBLE WHEN query_type = 'factual' THEN 0.85::DOUBLE WHEN query_type = 'complex' THEN 0.40::DOUBLE ELSE 0.7::DOUBLE END AS alpha, CASE WHEN alone THEN 0.0::DOUBLE WHEN query_type = 'factual' THEN 0.15::DOUBLE WHEN query_type = 'complex' THEN 0.60::DOUBLE ELSE 0.3::DOUBLE END AS beta FROM sc0",
     "sc2": "SELECT *, alpha * semantic_score + beta * graph_score AS h0 FROM sc1",
     "sc3": "SELECT *, CASE WHEN hits >= 2 THEN least(1.0::DOUBLE, h0 + least(0.15::DOUBLE, 0.03::DOUBLE * hits)) ELSE h0 END AS h1 FROM sc2",
@@ -90,15 +146,18 @@ STEPS: dict[str, str] = {
     "cmen": "SELECT con.* FROM con JOIN cls USING (doc_id) WHERE cls.node = con.doc_id",
     "sh": "SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM (SELECT DISTINCT doc_id, concept FROM cmen) a JOIN (SELECT DISTINCT doc_id, concept FROM cmen) b USING (concept) WHERE a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 2",
     "shared": "SELECT *, greatest(0.1::DOUBLE, 1.0::DOUBLE / (1 + shared)) AS weight FROM sh",
-    "ced": "SELECT doc_id::VARCHAR AS src, concept AS dst, 0.3::DOUBLE AS weight, CASE WHEN type = 'NER' THEN 'contains_ner' ELSE 'contains_keyword' END AS relation FROM cmen UNION ALL SELECT concept, doc_id::VARCHAR, 0.3::DOUBLE, 'found_in_chunk' FROM cmen",
+    "ced": "SELECT doc_id::VARCHAR AS src, concept AS dst, 0.3::DOUBLE AS weight, CASE WHEN type = 'NER' THEN 'contains_ner' ELSE 'contains_keyword' END AS relation FROM con UNION ALL SELECT concept, doc_id::VARCHAR, 0.3::DOUBLE, 'found_in_chunk' FROM con",
+    # all pairs of chunks, not those of classes: the other way to the same numbers
+    "allsh": "SELECT a.doc_id AS a, b.doc_id AS b, greatest(0.1::DOUBLE, 1.0::DOUBLE / (1 + count(*))) AS weight FROM con a JOIN con b ON a.concept = b.concept AND a.doc_id <> b.doc_id GROUP BY ALL HAVING count(*) >= 2",
+    "alled": "SELECT src, dst, weight FROM ced UNION ALL SELECT a::VARCHAR, b::VARCHAR, weight FROM allsh",
     "ge": "SELECT src, dst, min(weight) AS weight FROM (SELECT src, dst, weight FROM ced UNION ALL SELECT a::VARCHAR, b::VARCHAR, weight FROM shared UNION ALL SELECT b::VARCHAR, a::VARCHAR, weight FROM shared) GROUP BY ALL",
-    "gn": "SELECT doc_id::VARCHAR AS node, 'chunk' AS kind FROM cls WHERE node = doc_id UNION ALL SELECT DISTINCT concept, type FROM cmen",
+    "gn": "SELECT doc_id::VARCHAR AS node, 'chunk' AS kind FROM cls UNION ALL SELECT DISTINCT concept, type FROM con",
     # graph of vectors
     "em": "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL",
     "sim": "SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / ((sqrt(list_dot_product(a.v, a.v)) + 1e-8::DOUBLE) * (sqrt(list_dot_product(b.v, b.v)) + 1e-8::DOUBLE)), 6) AS similarity FROM em a JOIN em b ON a.vec_id < b.vec_id",
     "pairs": "SELECT * FROM sim WHERE similarity > 0.35::DOUBLE",
     "ve": "SELECT a AS src, b AS dst, round(greatest(0.0::DOUBLE, 1 - similarity), 6) AS weight FROM pairs UNION ALL SELECT b, a, round(greatest(0.0::DOUBLE, 1 - similarity), 6) FROM pairs",
-    "vsrc": "SELECT DISTINCT label::BIGINT AS label, src AS node FROM (SELECT label, src, row_number() OVER (PARTITION BY label ORDER BY src) AS n FROM (SELECT DISTINCT label, src FROM ve JOIN em ON vec_id = src)) WHERE n <= 3",
+    "vsrc": "SELECT DISTINCT label::BIGINT AS label, src AS node FROM ve JOIN em ON vec_id = src WHERE src % 100 = 0",
     # relevance and evidence
     "nq": "SELECT item_id, array_to_string(tok, ' ') AS t FROM qt",
     "nd": "SELECT doc_id, array_to_string(tok, ' ') AS t FROM dt",
@@ -113,17 +172,19 @@ STEPS: dict[str, str] = {
     "ans": "SELECT a.conv_id, a.turn, a.text AS answer, b.text AS reference, a.tok AS ta, b.tok AS tb FROM conv a JOIN conv b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'",
 }
 
+STEPS |= questions() | walks(14, 20)
+
 
 def sql(body: str, extra: dict[str, str] | None = None) -> str:
-    steps = {**STEPS, **(extra or {})}
-    need, queue = set(), [body]
-    import re
-
-    while queue:
-        text = queue.pop()
-        for name in steps:
-            if name not in need and re.search(rf"(?:FROM|JOIN|,)\s+\(*{name}\b", text):
-                need.add(name)
-                queue.append(steps[name])
-    chain = ", ".join(f"{n} AS MATERIALIZED ({q})" for n, q in steps.items() if n in need)
+    """body with the steps that it needs, each behind those that it needs itself."""
+    steps, order = {**STEPS, **(extra or {})}, []
+
+    def visit(text: str, above: tuple[str, ...]) -> None:
+        for name in sorted(set(re.findall(r"(?:FROM|JOIN|,)\s+\(*([a-z_0-9]+)\b", text)) & steps.keys()):
+            if name not in above and name not in order:
+                visit(steps[name], (*above, name))
+                order.append(name)
+
+    visit(body, ())
+    chain = ", ".join(f"{n} AS MATERIALIZED ({steps[n]})" for n in order)
     return (f"WITH RECURSIVE {chain} " if chain else "") + body
