@@ -137,13 +137,14 @@ def distances(edges: DataFrame, sources: DataFrame, part: list[str], cutoff: flo
     Only nodes that came nearer in one round are relaxed in the next, until none does; each round is stored.
     """
     best = store(sources.select(*part, "node").distinct().withColumn("distance", F.lit(0.0)), "distances")
-    front = best
+    front = last = best
     while True:
         step = front.withColumnRenamed("node", "src").join(edges.select("src", "dst", "weight"), "src").groupBy(*part, F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("near"))
         step = step.where(F.col("near") <= cutoff)
         merged = best.join(step, [*part, "node"], "full").select(*part, "node", F.least("distance", "near").alias("distance"), (F.col("near") < F.coalesce("distance", F.lit(float("inf"))) - 1e-12).alias("moved"))
-        merged = store(merged, "distances")
+        merged = store(merged, "distances", last)
         best, front = merged.drop("moved"), merged.where("moved").drop("moved")
+        last = merged
         if front.isEmpty():
             return best
 
@@ -167,7 +168,7 @@ def pagerank(edges: DataFrame, sources: DataFrame, part: list[str], rounds: int
     flow = store(weighed.join(out, "src").select("src", "dst", (F.col("f") / F.col("all")).alias("p")).where("p > 0"), "rank-flow")
     start = sources.select(*part, "node").distinct().withColumn("base", 1.0 / F.count("*").over(Window.partitionBy(*part)))
     start = store(start, "rank-start")
-    rank = start.select(*part, "node", F.col("base").alias("ppr"))
+    rank, last = start.select(*part, "node", F.col("base").alias("ppr")), None
     ends = flow.select(F.col("src").alias("node")).distinct()
     for i in range(rounds):
         moved = rank.join(flow.withColumnRenamed("src", "node"), "node").groupBy(*part, F.col("dst").alias("node")).agg(F.sum(F.col("ppr") * F.col("p")).alias("in"))
@@ -175,7 +176,7 @@ def pagerank(edges: DataFrame, sources: DataFrame, part: list[str], rounds: int
         back = start.join(lost, part, "left").select(*part, "node", (F.col("base") * ((1 - damping) + damping * F.coalesce("lost", F.lit(0.0)))).alias("ppr"))
         rank = moved.select(*part, "node", (damping * F.col("in")).alias("ppr")).unionByName(back).groupBy(*part, "node").agg(F.sum("ppr").alias("ppr"))
         if i % 4 == 3 or i == rounds - 1:
-            rank = store(rank, "ranks")
+            rank = last = store(rank, "ranks", *([last] if last is not None else []))
     return rank
 
 

@@ -24,7 +24,7 @@ def latency_summary(rows: DataFrame, part: list[str], value: str, order: str) ->
 
     p95 is exact: approximate quantiles, whose error in rank is bounded, bracket its place; rows below the bracket are counted and only those inside, a hundredth, are ranked.
     """
-    measured = F.col(value).cast("double")
+    measured = F.coalesce(F.col(value).cast("double"), F.lit(float("-inf")))
     head = rows.groupBy(*part).agg(
         F.count("*").alias("n"), exact_avg(value).alias("avg_value"), F.max(value).alias("max_value"), F.min(value).alias("min_value"), F.min(order).alias("_first"),
         F.percentile_approx(measured, [0.944, 0.956], 10000).alias("_q"),
@@ -34,7 +34,7 @@ def latency_summary(rows: DataFrame, part: list[str], value: str, order: str) ->
     head = head.withColumns({"_low": F.when(~wide, F.get("_q", F.lit(0))), "_high": F.when(~wide, F.get("_q", F.lit(1)))})
     placed = _null_safe(rows.select(*part, F.col(value).alias("_v"), F.col(order).alias("_o")), head.select(*part, "_first", "_low", "_high", "_k"), part)
     later = placed.groupBy(*part).agg(exact_avg(F.when(F.col("_o") > F.col("_first"), F.col("_v"))).alias("_later"), F.count_if(F.col("_v").isNull() | (F.col("_v") < F.col("_low"))).alias("_below"))
-    # Nulls sort first, as below every value; without a bracket they are ranked with the rest.
+    # Nulls sort first, below every value; without a bracket they are ranked with the rest.
     inside = placed.where(F.col("_low").isNull() | F.col("_v").between(F.col("_low"), F.col("_high")))
     inside = inside.withColumn("_at", F.row_number().over(Window.partitionBy(*part).orderBy("_v")) - 1)
     top = _null_safe(inside, later, part).where(F.col("_at") + F.when(F.col("_low").isNull(), 0).otherwise(F.col("_below")) == F.col("_k")).select(*part, F.col("_v").alias("p95_value"))

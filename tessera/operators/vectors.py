@@ -19,9 +19,9 @@ DIM = 64
 
 def hashed_embedding(docs: DataFrame, id_col: str, text: Column, dim: int = DIM) -> DataFrame:
     """(id, embedding): unit vectors of hashed token counts; a text without tokens has a zero vector."""
-    terms = docs.select(id_col, F.explode(X.tokens(text)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("n"))
+    # Tokens become buckets before anything is counted, so a text sends at most dim rows.
     bucket = (F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % dim).cast("int")
-    sums = terms.groupBy(id_col, bucket.alias("bucket")).agg(F.sum("n").cast("double").alias("n"))
+    sums = docs.select(id_col, F.explode(X.tokens(text)).alias("term")).groupBy(id_col, bucket.alias("bucket")).agg(F.count("*").cast("double").alias("n"))
     dense = sums.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"))
     at = lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))
     raw = dense.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), at).alias("raw"))

@@ -266,6 +266,7 @@ def test_settings(tmp_path):
 
 
 FAST = [
+    "question_distance", "retrieve_full", "graph_stats", "node_info", "graph_update", "inverted_index", "concept_weights", "bm25_idf",
     "token_counts", "sentences", "chunks", "chunk_stats", "session_docs", "query_class", "evidence_dedup", "doc_versions", "bm25_topk", "vector_topk_filtered", "similar_pairs", "concepts", "concept_edges",
     "edge_cutoff", "degree_topk", "recall_at_k", "token_f1", "rouge2", "counter_delta", "latency_summary", "moving_avg", "kv_pairs", "prom_parse", "coverage_curve", "unused_chunks", "stream_latency",
 ]
@@ -327,6 +328,52 @@ def test_expansion_gate_and_concept_match(spark):
     assert {(r.word, r.concept, r.kind) for r in found} == {("known", "known", "exact"), ("close", "known", "fuzzy")}
 
 
+def test_packing_matches_the_definition():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(100):
+        words, most = [rng.randrange(0, 40) for _ in range(rng.randrange(0, 30))], rng.randrange(1, 60)
+        got, start = [], 0
+        for i in range(1, len(words) + 1):
+            if sum(words[start:i]) > most and i - 1 > start:
+                got.append((start, i - 1, sum(words[start : i - 1])))
+                start = i - 1 - max(1, (i - 1 - start) // 4)
+        assert chunking.pack(words, most) == ([*got, (start, len(words), sum(words[start:]))] if words else [])
+
+
+def test_exact_quantile_with_a_bracket(spark):
+    """Parts large enough for a bracket, with ties, a null part and null values."""
+    import random
+
+    rng = random.Random(2)
+    rows = [("a", i, float(rng.randrange(300))) for i in range(5000)] + [(None, i, rng.random()) for i in range(3000)] + [("b", i, 7.0) for i in range(2500)] + [("c", i, None if i % 3 else float(i)) for i in range(2400)]
+    got = {r.p: r.p95_value for r in metrics.latency_summary(spark.createDataFrame(rows, "p string, o int, v double"), ["p"], "v", "o").collect()}
+    for p in ("a", None, "b", "c"):
+        values = sorted((v for q, _, v in rows if q == p), key=lambda v: (v is not None, v))
+        assert got[p] == values[int(0.95 * len(values))]
+
+
+def test_walk_of_a_question(spark):
+    """Two turns of a session: what the question names is near, the earlier turn's chunk joins by an edge, the gate keeps unlike ones out."""
+    import pandas as pd
+
+    from tessera.operators import question
+
+    kw = lambda *ws: [{"type": "KEYWORD", "word": w} for w in ws]
+    unit = lambda *at: [1.0 if i in at else 0.0 for i in range(64)]
+    rows = [(1, True, 0.9, kw("alpha", "beta"), unit(1)), (2, True, 0.2, kw("gamma"), unit(2)), (3, False, None, kw("alpha", "beta", "delta"), unit(1, 3)), (4, False, None, kw("omega"), unit(4))]
+    group = pd.DataFrame([(i, s, m, c, v, ["alpha", "unknownword"], unit(1)) for i, s, m, c, v in rows], columns=["doc_id", "seed", "similarity_score", "concepts", "embedding", "words", "q"])
+    from dataclasses import replace
+
+    found = {(i, g): (a, d) for i, g, a, _, d in question.walk(group, replace(Settings(), edge_top_p=1.0))}
+    assert set(found) == {(i, g) for i in (1, 2, 3) for g in (True, False)} and found[3, True][0] and not found[1, True][0]
+    assert found[1, True][1] < 0.3 and found[2, True][1] == pytest.approx(0.7 * 0.8 + 0.3)
+    assert question.distances({"a": [("b", 1.0)], "b": [("a", 1.0), ("c", 3.5)]}, {"a"}, 4.0) == {"a": 0.0, "b": 1.0}
+    assert sum(question.ranks({"a": [("b", 1.0)]}, {"a"}, 20, 0.85).values()) == pytest.approx(1.0)
+    assert question.matched(["alpha", "alphas", "zzz"], {("KEYWORD", "alpha"), ("NER", "beta")}, 0.55) == {("KEYWORD", "alpha")}
+
+
 def test_report_document(spark):
     made = sinks.docx_report("Title", {"Modes": spark.createDataFrame([("a", 1)], "mode string, n int")})
     assert files.docx_text(made) == "Title\nModes\nmode | n\na | 1"
