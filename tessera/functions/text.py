@@ -140,3 +140,9 @@ def trigrams(word: Column) -> Column:
     """The three-letter pieces of a word with blanks between."""
     at = F.sequence(F.lit(1), F.greatest(F.length(word) - 2, F.lit(1)))
     return F.array_join(F.transform(at, lambda i: F.substring(word, i, 3)), " ")
+
+
+def hashed_counts(text: Column, dim: int = 64) -> Column:
+    """How often a text has tokens of each of dim hashed buckets."""
+    buckets = F.transform(tokens(text), lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int"))
+    return bound(lambda found: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(found, lambda x: x == i)).cast("double")), buckets)

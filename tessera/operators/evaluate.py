@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tessera.functions import text as X
+from tessera.functions import vectors as V
 
 CUTS = (5, 10, 20)
 
@@ -112,6 +113,21 @@ def is_correct(similarity: Column, longest: Column, least_similarity: float = 0.
     return (similarity >= least_similarity) | (longest >= least_longest)
 
 
+def answer_similarity(answer: Column, reference: Column) -> Column:
+    """Cosine of the hashed token counts of two texts, to six digits; 0 where either has no token."""
+    bags = lambda a, b: X.bound(lambda x: X.bound(lambda y: V.dot(x, y) / (V.length(x) * V.length(y)), b), a)
+    empty = (F.size(X.tokens(answer)) < 1) | (F.size(X.tokens(reference)) < 1)
+    return F.when(~empty, F.round(bags(X.hashed_counts(answer), X.hashed_counts(reference)), 6)).otherwise(F.lit(0.0))
+
+
+def answer_accuracy(pairs: DataFrame, answer: str = "answer", reference: str = "reference") -> DataFrame:
+    """One row: turns, the share of correct ones, and means of similarity, ROUGE-L, token F1 and exact matches over pairs(answer, reference); without pairs the means are null."""
+    a, b = F.col(answer), F.col(reference)
+    each = pairs.select(answer_similarity(a, b).alias("similarity"), rouge_l(a, b).alias("rouge_l"), X.token_f1(a, b).alias("token_f1"), exact_match(a, b).alias("exact"))
+    right = is_correct(F.col("similarity"), F.col("rouge_l")).cast("int")
+    return each.agg(F.count("*").alias("turns"), F.avg(right).alias("accuracy"), *[F.avg(c).alias(f"avg_{c}") for c in ("similarity", "rouge_l", "token_f1", "exact")])
+
+
 def text_recall(turns: DataFrame, retrieved: DataFrame, part: list[str], phrase: str = "phrase") -> DataFrame:
     """(part, found): whether the retrieved texts of a turn, joined in rank order by blanks, contain the phrase in any case."""
     joined = retrieved.groupBy(*part).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), " ").alias("all"))

@@ -95,6 +95,11 @@ def mode_summary(turns: DataFrame, part: list[str], measures: list[str]) -> Data
     )
 
 
+def history_summary(steps: DataFrame, part: list[str], order: str, measures: list[str], last: str) -> DataFrame:
+    """Steps and means of measures of each part, and `last` at the largest order; nulls count as steps but not in means."""
+    return steps.groupBy(*part).agg(F.count("*").alias("steps"), *[exact_avg(m).alias(f"avg_{m}") for m in measures], F.max_by(last, order).alias(f"final_{last}"))
+
+
 def percents(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select("*", *[F.round(100 * F.col(c), 2).alias(f"{c}_pct") for c in columns])
 

@@ -119,3 +119,14 @@ def rerank(rows: DataFrame, part: list[str], settings: Settings, mode: ModeSpec,
     chosen = adaptive_cut(order, part, top_k, settings) if mode.adaptive else order
     chosen = chosen.where(F.col("rank") <= top_k)
     return pad(chosen, order, part, id_col, settings.min_return)
+
+
+def score_rows(rows: DataFrame, part: list[str], id_col: str, order: str) -> DataFrame:
+    """(part, id, rank from 1, five scores to four digits) in the given order, ties by id; what is missing is 0, a missing cross-encoder score -1, a missing final score the hybrid one."""
+    score = lambda c, default: F.coalesce(F.col(c).cast("double"), default) if c in rows.columns else default
+    zero, hybrid = F.lit(0.0), score("hybrid_score", F.lit(0.0))
+    values = {"semantic_score": score("semantic_score", zero), "graph_score": score("graph_score", zero), "hybrid_score": hybrid, "cross_encoder_score": score("cross_encoder_score", F.lit(-1.0)), "final_score": score("final_score", hybrid)}
+    place = F.row_number().over(Window.partitionBy(*part).orderBy(order, id_col))
+    # On the binary value: round() would take its shortest decimal form, and raise a half that is none.
+    digits = lambda v: F.when(v >= 0, F.floor(v * 10000 + 0.5)).otherwise(F.ceil(v * 10000 - 0.5)) / F.lit(10000.0)
+    return rows.select(*part, id_col, place.alias("rank"), *[digits(v).alias(c) for c, v in values.items()])

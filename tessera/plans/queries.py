@@ -635,6 +635,23 @@ def rouge_l(spark, d):
     return answers(spark, d).select("conv_id", "turn", evaluate.rouge_l(F.col("answer"), F.col("reference")).alias("rouge"))
 
 
+SIMILAR = {
+    "ak": "SELECT conv_id, turn, side, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS b, count(*)::DOUBLE AS c FROM (SELECT conv_id, turn, 'a' AS side, unnest(ta) AS term FROM ans UNION ALL SELECT conv_id, turn, 'b', unnest(tb) FROM ans) GROUP BY ALL",
+    "al": "SELECT conv_id, turn, side, sqrt(sum(c * c)) AS n FROM ak GROUP BY ALL",
+    "asim": "SELECT x.conv_id, x.turn, sum(x.c * y.c) / (any_value(p.n) * any_value(q.n)) AS s FROM ak x JOIN ak y USING (conv_id, turn, b) JOIN al p ON p.conv_id = x.conv_id AND p.turn = x.turn AND p.side = 'a' JOIN al q ON q.conv_id = x.conv_id AND q.turn = x.turn AND q.side = 'b' WHERE x.side = 'a' AND y.side = 'b' GROUP BY ALL",
+}
+
+
+@query("SELECT conv_id, turn, round(round(coalesce(s, 0.0::DOUBLE), 6), 4) AS similarity FROM ans LEFT JOIN asim USING (conv_id, turn)", SIMILAR)
+def answer_similarity(spark, d):
+    return answers(spark, d).select("conv_id", "turn", evaluate.answer_similarity(F.col("answer"), F.col("reference")).alias("similarity"))
+
+
+@query()
+def answer_accuracy(spark, d):
+    return evaluate.answer_accuracy(answers(spark, d))
+
+
 @query(f"SELECT count(*) AS turns, round(avg({S.f1('ta', 'tb')}), 4) AS avg_token_f1, round(avg((len(tb) > 0 AND ta = tb)::INT), 4) AS avg_exact FROM ans")
 def answer_summary(spark, d):
     rows = answers(spark, d).select(X.token_f1(F.col("answer"), F.col("reference")).alias("f1"), evaluate.exact_match(F.col("answer"), F.col("reference")).alias("e"))
@@ -817,17 +834,32 @@ def usage(spark, d):
     return events(spark, d).select("user_id", F.datediff("ts", F.lit("2024-01-01")).cast("long").alias("iteration"), F.concat("event_type", (F.col("event_id") % 20).cast("string")).alias("chunk"))
 
 
-@query("SELECT user_id, iteration, coalesce(fresh, 0) AS new_chunks, (sum(coalesce(fresh, 0)) OVER (PARTITION BY user_id ORDER BY iteration))::BIGINT AS used_chunks, total AS total_chunks, round(100.0::DOUBLE * sum(coalesce(fresh, 0)) OVER (PARTITION BY user_id ORDER BY iteration) / total, 2) AS coverage_pct FROM (SELECT DISTINCT user_id, iteration FROM us) LEFT JOIN uf USING (user_id, iteration) JOIN ut USING (user_id)", USE)
+CURVE = "SELECT user_id, iteration, coalesce(fresh, 0) AS new_chunks, (sum(coalesce(fresh, 0)) OVER (PARTITION BY user_id ORDER BY iteration))::BIGINT AS used_chunks, total AS total_chunks, round(100.0::DOUBLE * sum(coalesce(fresh, 0)) OVER (PARTITION BY user_id ORDER BY iteration) / total, 2) AS coverage_pct FROM (SELECT DISTINCT user_id, iteration FROM us) LEFT JOIN uf USING (user_id, iteration) JOIN ut USING (user_id)"
+
+
+@query(CURVE, USE)
 def coverage_curve(spark, d):
     return state.coverage_curve(usage(spark, d), usage(spark, d).select("user_id", "chunk"), "user_id", "iteration", "chunk")
 
 
+@query("SELECT user_id, count(*) AS steps, round(avg(coverage_pct::DECIMAL(24,6)), 4) AS avg_coverage_pct, round(max_by(coverage_pct, iteration), 4) AS final_coverage_pct FROM curve GROUP BY user_id", {**USE, "curve": CURVE})
+def coverage_history(spark, d):
+    curve = state.coverage_curve(usage(spark, d), usage(spark, d).select("user_id", "chunk"), "user_id", "iteration", "chunk")
+    return metrics.history_summary(curve, ["user_id"], "iteration", ["coverage_pct"], "coverage_pct")
+
+
 @query("SELECT u.user_id, u.chunk FROM (SELECT DISTINCT user_id, chunk FROM us) u WHERE NOT EXISTS (SELECT 1 FROM us v WHERE v.user_id = u.user_id AND v.chunk = u.chunk AND v.iteration < 15)", USE)
 def unused_chunks(spark, d):
     used = usage(spark, d).where("iteration < 15")
     return state.unused(usage(spark, d).select("user_id", "chunk").distinct(), used, ["user_id"], "chunk")
 
 
+@query("SELECT r.item_id, r.doc_id, row_number() OVER (PARTITION BY r.item_id ORDER BY r.rank) AS rank, round(coalesce(v.similarity_score, 0.0::DOUBLE), 4) AS semantic_score, 0.0::DOUBLE AS graph_score, round(r.rrf_score, 4) AS hybrid_score, -1.0::DOUBLE AS cross_encoder_score, round(r.rrf_score, 4) AS final_score FROM rrf r LEFT JOIN vt v ON v.item_id = r.item_id AND v.doc_id = r.doc_id")
+def turn_scores(spark, d):
+    pool = pool_rows(spark, d)
+    return scoring.score_rows(pool.withColumnsRenamed({"pool_rank": "rank", "similarity_score": "semantic_score", "rrf_score": "hybrid_score"}), ITEM, "doc_id", "rank")
+
+
 @query()
 def cache_sim(spark, d):
     turns = usage(spark, d).groupBy("user_id", "iteration").agg(F.sort_array(F.collect_set("chunk")).alias("wanted"))
@@ -852,7 +884,7 @@ def stream_latency(spark, d):
     return rows.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), metrics.exact_avg("value").alias("avg_value"), F.max("value").alias("max_value")).select(F.col("w.start").alias("window_start"), "event_type", "n", "avg_value", "max_value")
 
 
-@query()
+@query("SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS events, round(sum(value), 4) AS value FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL)) GROUP BY user_id, session")
 def stream_sessions(spark, d):
     """All sessions of the table in a batch, where no watermark drops or holds back rows."""
     return rollups.sessions(spark.read.schema(rollups.EVENTS).parquet(f"{d}/events.parquet"))

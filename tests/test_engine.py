@@ -268,7 +268,7 @@ def test_settings(tmp_path):
 FAST = [
     "question_distance", "retrieve_full", "graph_stats", "node_info", "graph_update", "inverted_index", "concept_weights", "bm25_idf",
     "token_counts", "sentences", "chunks", "chunk_stats", "session_docs", "query_class", "evidence_dedup", "doc_versions", "bm25_topk", "vector_topk_filtered", "similar_pairs", "concepts", "concept_edges",
-    "edge_cutoff", "degree_topk", "recall_at_k", "token_f1", "rouge2", "counter_delta", "latency_summary", "moving_avg", "kv_pairs", "prom_parse", "coverage_curve", "unused_chunks", "stream_latency",
+    "edge_cutoff", "degree_topk", "recall_at_k", "token_f1", "rouge2", "counter_delta", "latency_summary", "moving_avg", "kv_pairs", "prom_parse", "coverage_curve", "unused_chunks", "stream_latency", "coverage_history", "answer_similarity", "turn_scores", "stream_sessions",
 ]
 
 
@@ -429,3 +429,12 @@ def test_sessions_of_the_whole_table(spark, tmp_path):
             last, wanted[-1][2], wanted[-1][3], wanted[-1][4] = m, m + 30, wanted[-1][3] + 1, wanted[-1][4] + i
     found = QUERIES["stream_sessions"](spark, str(tmp_path)).selectExpr("user_id", "cast(session_start as string) a", "cast(session_end as string) b", "events", "value").collect()
     assert sorted(map(tuple, found)) == [(u, str(start + timedelta(minutes=a)), str(start + timedelta(minutes=b)), n, v) for u, a, b, n, v in wanted]
+
+
+def test_answer_accuracy(spark):
+    from tessera.operators import evaluate
+
+    pairs = spark.createDataFrame([("the red fox", "the red fox"), ("one two", "three four"), (None, "a word"), ("", "")], "answer string, reference string")
+    got = evaluate.answer_accuracy(pairs).first()
+    assert (got.turns, got.accuracy, got.avg_exact) == (4, 0.25, 0.25)
+    assert evaluate.answer_accuracy(pairs.limit(0)).first().accuracy is None
