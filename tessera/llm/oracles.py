@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries that SQL can express: operators 7, 8 and 9."""
+"""DuckDB SQL for the queries that SQL can express: operators 7, 8, 9, 11 and 13."""
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,4 +40,12 @@ r AS (SELECT doc_id, doc_id AS reach FROM s UNION SELECT r.doc_id, e.b FROM r JO
 SELECT s.doc_id, len(any_value(sh))::BIGINT AS n_shingles, min(reach) AS component_id, s.doc_id = min(reach) AS kept FROM s JOIN r USING (doc_id) GROUP BY s.doc_id
 """
 
-ORACLES = {"op7_pfp": REPEATS, "op8_warc": ARCHIVES, "op9_minhash": NEAR}
+LINES = rf"""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM l),
+g AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, g.key IS NOT NULL AND k.doc_id <> keeper AS gone FROM k LEFT JOIN g ON k.key = g.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+"""
+
+ORACLES = {"op7_pfp": REPEATS, "op8_warc": ARCHIVES, "op9_minhash": NEAR, "op11_linededup": LINES}

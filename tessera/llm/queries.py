@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, decontam, minhash, mixing, oracles, pfp, sharding, tokencount, toxicity, urlfilter, warc
+from tessera.llm import align, ann, decontam, linededup, minhash, mixing, oracles, pfp, sharding, tokencount, toxicity, urlfilter, warc
 from tessera.llm.common import store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+VOCABULARY, BYTE_LEVEL = "/opt/tokenizers/piece_bpe_32k.model", "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +88,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "mix_domain", "mix_lang", "mix_source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("tokens"), F.col("mix_taken").alias("taken"))
 
 
+def op11_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linededup.drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str, byte_level: str = BYTE_LEVEL, piece_model: str = VOCABULARY) -> DataFrame:
+    aligned = align.align(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_level, piece_model)
+    spelled = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    aligned = store(aligned.withColumn("groups_sha256", spelled).drop("text", "groups"), "align-documents")
+    return align.value_links(aligned, store(align.link_counts(aligned), "align-links")).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_urlfilter, op2_decontamination, op3_toxicity, op4_sharding, op5_ann, op6_tokencount, op7_pfp, op8_warc, op9_minhash, op10_mixing)
+    for f in (op1_urlfilter, op2_decontamination, op3_toxicity, op4_sharding, op5_ann, op6_tokencount, op7_pfp, op8_warc, op9_minhash, op10_mixing, op11_linededup, op12_alignment)
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
