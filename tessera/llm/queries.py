@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import align, ann, decontam, linededup, minhash, mixing, oracles, pfp, sharding, tokencount, toxicity, urlfilter, warc
+from tessera.llm import align, ann, decontam, hardneg, linededup, minhash, mixing, oracles, pfp, sharding, tokencount, toxicity, urlfilter, warc
 from tessera.llm.common import store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,8 +100,13 @@ def op12_alignment(spark: SparkSession, sf_dir: str, byte_level: str = BYTE_LEVE
     return align.value_links(aligned, store(align.link_counts(aligned), "align-links")).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_urlfilter, op2_decontamination, op3_toxicity, op4_sharding, op5_ann, op6_tokencount, op7_pfp, op8_warc, op9_minhash, op10_mixing, op11_linededup, op12_alignment)
+    for f in (op1_urlfilter, op2_decontamination, op3_toxicity, op4_sharding, op5_ann, op6_tokencount, op7_pfp, op8_warc, op9_minhash, op10_mixing, op11_linededup, op12_alignment, op13_hardneg)
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
