@@ -149,14 +149,15 @@ def walk(group: pd.DataFrame, settings: Settings) -> list[tuple]:
     return out
 
 
-def question_distances(pools: DataFrame, turns: DataFrame, concepts: DataFrame, vectors: DataFrame, settings: Settings, part: str = "item_id") -> DataFrame:
+def question_distances(pools: DataFrame, turns: DataFrame, concepts: DataFrame, vectors: DataFrame, settings: Settings, part: str = "item_id", asked: DataFrame | None = None) -> DataFrame:
     """(part, doc_id, gated, added, semantic_score, distance) of every candidate of every question, for both positions of the gate.
 
     pools(part, doc_id, similarity_score); turns(part, session, turn, words, q); concepts(doc_id, word, type); vectors(doc_id, embedding). Neighbours that earlier turns
-    brought into the graph are added to the pool, the nearest first.
+    brought into the graph are added to the pool, the nearest first. asked(part), if given, has the questions that are wanted; the others only have pools.
     """
     own = pools.join(turns.select(part, "session", F.col("turn").alias("_at")), part).select("session", "_at", "doc_id")
-    rows = turns.select(part, "session", "turn").join(own, "session").where("_at <= turn").groupBy(part, "doc_id").agg(F.max(F.col("_at") == F.col("turn")).alias("seed"))
+    wanted = turns if asked is None else turns.join(asked.select(part).distinct(), part, "left_semi")
+    rows = wanted.select(part, "session", "turn").join(own, "session").where("_at <= turn").groupBy(part, "doc_id").agg(F.max(F.col("_at") == F.col("turn")).alias("seed"))
     listed = concepts.groupBy("doc_id").agg(F.collect_list(F.struct("type", "word")).alias("concepts"))
     rows = rows.join(pools.select(part, "doc_id", "similarity_score"), [part, "doc_id"], "left").join(listed, "doc_id", "left").join(vectors, "doc_id").join(turns.select(part, "words", "q"), part)
     kind = dict(turns.dtypes)[part]

@@ -18,8 +18,9 @@ def hybrid_score(rows: DataFrame, part: list[str], settings: Settings, mode: Mod
 
     Order of steps: weights by class of query; semantic only if no row of the query has a distance or the best semantic
     score is low; weighted sum; keyword boost, at most 1; anchor for high semantic scores. A missing distance counts as 100.
+    Columns query_class and keyword_hits, if there, stand for what would be found from the texts.
     """
-    kind = X.query_class(F.col(query)) if mode.dynamic_weights else F.lit("default")
+    kind = (F.col("query_class") if "query_class" in rows.columns else X.query_class(F.col(query))) if mode.dynamic_weights else F.lit("default")
     by_kind = lambda i, rest: F.when(F.col("query_type") == "factual", settings.factual_weights[i]).when(F.col("query_type") == "complex", settings.complex_weights[i]).otherwise(rest)
     out = rows.withColumn("query_type", kind).withColumn("graph_score", 1.0 / (1.0 + F.coalesce("distance", F.lit(100.0))))
     alone = (F.max("distance").over(_over(part)).isNull()) | (F.max("semantic_score").over(_over(part)) < settings.low_semantic)
@@ -27,7 +28,7 @@ def hybrid_score(rows: DataFrame, part: list[str], settings: Settings, mode: Mod
     out = out.withColumns({"alpha": F.when(F.col("_alone"), 1.0).otherwise(by_kind(0, settings.alpha)), "beta": F.when(F.col("_alone"), 0.0).otherwise(by_kind(1, settings.beta))})
     score: Column = F.col("alpha") * F.col("semantic_score") + F.col("beta") * F.col("graph_score")
     if mode.boost:
-        hits = X.keyword_hits(X.keyword_words(F.col(query)), F.col(text))
+        hits = F.col("keyword_hits") if "keyword_hits" in rows.columns else X.keyword_hits(X.keyword_words(F.col(query)), F.col(text))
         score = F.when(hits >= settings.boost_least_hits, F.least(F.lit(1.0), score + F.least(F.lit(settings.boost_cap), settings.boost_step * hits))).otherwise(score)
     if mode.anchor:
         score = F.when(F.col("semantic_score") >= settings.anchor_threshold, F.greatest(score, F.lit(settings.anchor_floor))).otherwise(score)
@@ -109,11 +110,12 @@ def score_statistics(rows: DataFrame, part: list[str]) -> DataFrame:
 
 
 def rerank(rows: DataFrame, part: list[str], settings: Settings, mode: ModeSpec, top_k: int, query: str = "query", text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The whole chain on candidates(part, query, text, semantic_score, distance). Needs no reranker model: token F1 stands for it."""
+    """The whole chain on candidates(part, query, text, semantic_score, distance). Needs no reranker model: token F1 stands for it, or the column reranker_score if there."""
     scored = hybrid_score(rows, part, settings, mode, query, text)
     order = soft_filter(scored, part, settings.min_similarity, id_col=id_col) if mode.soft_filter else ranked(scored, part, [F.col("hybrid_score").desc(), F.col(id_col)])
     if mode.rerank:
-        order = blend_reranked(order.withColumn("_ce", F.round(X.token_f1(F.col(query), F.col(text)), 6)), part, "_ce", settings.rerank_n, settings.rerank_weight, id_col).drop("_ce")
+        ce = F.col("reranker_score") if "reranker_score" in rows.columns else F.round(X.token_f1(F.col(query), F.col(text)), 6)
+        order = blend_reranked(order.withColumn("_ce", ce), part, "_ce", settings.rerank_n, settings.rerank_weight, id_col).drop("_ce")
     else:
         order = order.withColumns({"cross_encoder_score": F.lit(-1.0), "final_score": F.col("hybrid_score")})
     chosen = adaptive_cut(order, part, top_k, settings) if mode.adaptive else order

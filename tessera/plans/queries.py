@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from tessera.common import store, table
 from tessera.config import Settings, modes
 from tessera.functions import text as X
 from tessera.functions import vectors as V
-from tessera.operators import chunking, evaluate, fusion, graph, lexical, metrics, question, scoring, state, vectors
+from tessera.operators import chunking, evaluate, fusion, graph, lexical, metrics, question, scoring, state, turns, vectors
 from tessera.plans import sql as S
 from tessera.streaming import rollups
 
@@ -771,6 +772,108 @@ def prompts(spark, d):
     return q.select("item_id", F.md5(X.prompt(F.col("text"), F.lit(None).cast("string"))).alias("prompt_md5"), X.output_tokens(F.lit(128), F.lit(SETTINGS.context_window), X.token_estimate(F.col("text"))).alias("output_tokens"))
 
 
+# ---- sessions turn by turn
+
+TURN_N, TURN_TOP, TURNS = 5, 20, 4
+_CHAIN = ["sc00", "sc0", "sc1", "sc2", "sc3", "hs", "sf", "ce", "ce1", "ce2", "bl"]
+
+
+def _turn_steps() -> dict[str, str]:
+    """The loop written out: us is what sessions have used, tq the pool of a turn, fin what it shows."""
+    fused = lambda n: f"SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 8) DESC, first, doc_id) AS rank FROM (SELECT item_id, doc_id, sum(s) AS s, min(list * 1000 + rank) AS first FROM tlists WHERE rank <= {n} GROUP BY ALL)"
+    steps = {
+        "tbm": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25_score, 4) DESC, doc_id) AS rank FROM bmall) WHERE rank <= 40 AND round(bm25_score, 4) > 0",
+        "tvt": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity_score DESC, doc_id) AS rank FROM vsim) WHERE rank <= 40",
+        "tlists": "SELECT item_id, doc_id, 0 AS list, rank, 0.6::DOUBLE / (30 + rank) AS s FROM tvt UNION ALL SELECT item_id, doc_id, 1, rank, 0.4::DOUBLE / (30 + rank) FROM tbm",
+        "tnarrow": fused(TURN_TOP), "twide": fused(2 * TURN_TOP), "us0": "SELECT 0::BIGINT AS session, 0::BIGINT AS doc_id WHERE false",
+    }
+    for t in range(TURNS):
+        steps[f"tp{t}"] = f"SELECT q.item_id, f.doc_id, f.rank, (u.doc_id IS NOT NULL)::INT AS used FROM turns q JOIN twide f USING (item_id) LEFT JOIN us{t} u ON u.session = q.session AND u.doc_id = f.doc_id WHERE q.turn = {t} AND EXISTS (SELECT 1 FROM us{t} x WHERE x.session = q.session) UNION ALL SELECT q.item_id, f.doc_id, f.rank, 0 FROM turns q JOIN tnarrow f USING (item_id) WHERE q.turn = {t} AND NOT EXISTS (SELECT 1 FROM us{t} x WHERE x.session = q.session)"
+        steps[f"tq{t}"] = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY used, rank) AS place FROM tp{t}) WHERE place <= {TURN_TOP} AND (used = 0 OR place <= {TURN_N})"
+        steps[f"gcand{t}"] = f"SELECT 1 AS gate, p.item_id, p.doc_id, p.used, q.text AS query, d.text, coalesce(v.similarity_score, 0.0::DOUBLE) AS semantic_score, NULL::DOUBLE AS distance, q.tok AS qtok, d.tok AS dtok FROM tq{t} p JOIN qt q USING (item_id) JOIN dt d USING (doc_id) LEFT JOIN vsim v ON v.item_id = p.item_id AND v.doc_id = p.doc_id"
+        for name in _CHAIN:
+            steps[f"{name}{t}"] = re.sub(r"(?<=FROM )(gcand|" + "|".join(_CHAIN) + r")\b", rf"\g<1>{t}", S.STEPS[name])
+        steps[f"fin{t}"] = f"SELECT turns.session, {t} AS turn, item_id, doc_id, rank, final_score, hybrid_score, used, len({S.words('text')}) AS chunk_size FROM bl{t} JOIN turns USING (item_id) WHERE rank <= {TURN_N}"
+        steps[f"us{t + 1}"] = f"SELECT session, doc_id FROM us{t} UNION SELECT session, doc_id FROM fin{t}"
+    steps["shown"] = " UNION ALL ".join(f"SELECT * FROM fin{t}" for t in range(TURNS))
+    steps["tfirst"] = "SELECT session, doc_id, min(turn) AS turn FROM shown GROUP BY ALL"
+    return steps
+
+
+TURN_STEPS = _turn_steps()
+
+
+def turn_rows(spark, d):
+    """(session, turn, item_id): four items in a row are the turns of a session."""
+    return items(spark, d).select(F.floor(F.col("item_id") / TURNS).alias("session"), (F.col("item_id") % TURNS).alias("turn"), "item_id")
+
+
+def turn_lists(spark, d):
+    """Candidates of every question to twice the depth, with all that the rerank chain asks of a pair; texts go no further."""
+    asked, vectors_of = vectors.hashed_embedding(items(spark, d), "item_id", F.col("text")).withColumnRenamed("embedding", "q"), store(vectors.hashed_embedding(docs(spark, d), "doc_id", F.col("text")), "doc-vectors")
+    near = store(vectors.exact_topk(asked, vectors_of, 2 * TURN_TOP, "item_id", "q", "doc_id", "embedding"), "vector-list")
+    lists = store(turns.ranked_lists(near, lexical_list(spark, d, 2 * TURN_TOP), SETTINGS.bm25_weight, SETTINGS.rrf_k, "item_id", "doc_id", TURN_TOP), "turn-lists")
+    pairs = lists.join(asked, "item_id").join(vectors_of, "doc_id").withColumn("semantic_score", F.round(V.cosine(F.col("q"), F.col("embedding")), 6)).drop("q", "embedding")
+    pairs = pairs.join(items(spark, d).withColumnRenamed("text", "query"), "item_id").join(docs(spark, d).select("doc_id", "text"), "doc_id")
+    told = {
+        "query_class": X.query_class(F.col("query")), "keyword_hits": X.keyword_hits(X.keyword_words(F.col("query")), F.col("text")),
+        "reranker_score": F.round(X.token_f1(F.col("query"), F.col("text")), 6), "chunk_size": F.size(X.whitespace_words(F.col("text"))),
+    }
+    return store(pairs.withColumns(told).drop("query", "text"), "turn-pairs")
+
+
+def shown_turns(spark, d):
+    choose = lambda pool, _, __: scoring.rerank(pool.withColumn("distance", F.lit(None).cast("double")), [*ITEM, "session", "turn"], SETTINGS, FULL, TURN_N)
+    return turns.turn_loop(turn_rows(spark, d), turn_lists(spark, d), choose, TURN_N, TURN_TOP)
+
+
+@query("SELECT s.session, s.turn::BIGINT AS turn, item_id, doc_id, rank, (f.turn = s.turn)::BIGINT AS is_new, chunk_size, round(hybrid_score, 4) AS hybrid_score, round(final_score, 4) AS final_score FROM shown s JOIN tfirst f USING (session, doc_id)", TURN_STEPS)
+def turn_loop(spark, d):
+    """What every turn shows when what its session has seen is left out, without a graph."""
+    return shown_turns(spark, d).select("session", "turn", "item_id", "doc_id", "rank", "is_new", "chunk_size", "hybrid_score", "final_score")
+
+
+@query("SELECT session, turn::BIGINT AS turn, count(*) AS context_chunks_used, count(*) FILTER (WHERE f.turn = s.turn) AS new_chunks, sum(chunk_size)::BIGINT AS context_tokens, (coalesce(sum(count(*)) OVER w, 0))::BIGINT AS excluded_before, (sum(count(*) FILTER (WHERE f.turn = s.turn)) OVER (PARTITION BY session ORDER BY s.turn))::BIGINT AS used_chunks, (SELECT count(*) FROM documents) AS total_chunks, round(100.0::DOUBLE * (sum(count(*) FILTER (WHERE f.turn = s.turn)) OVER (PARTITION BY session ORDER BY s.turn)) / (SELECT count(*) FROM documents), 2) AS coverage_pct FROM (SELECT s.*, f.turn AS fturn FROM shown s JOIN tfirst f USING (session, doc_id)) s JOIN (SELECT DISTINCT session, doc_id, turn FROM tfirst) f USING (session, doc_id) GROUP BY session, s.turn WINDOW w AS (PARTITION BY session ORDER BY s.turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)".replace("turn::BIGINT AS turn, count", "s.turn::BIGINT AS turn, count"), TURN_STEPS)
+def turn_stats(spark, d):
+    """Use, novelty and coverage of every turn; all documents can be shown to any session."""
+    rows = store(shown_turns(spark, d), "turn-shown")
+    total = docs(spark, d).agg(F.count_distinct("doc_id").alias("total_chunks"))
+    own = turns.turn_statistics(rows, rows.select("session", "doc_id"), "doc_id").drop("total_chunks", "coverage_pct")
+    return own.join(F.broadcast(total), F.lit(True)).withColumn("coverage_pct", F.round(100.0 * F.col("used_chunks") / F.col("total_chunks"), 2))
+
+
+def graph_choice(spark, d):
+    """The rerank chain with the graph of each question, which has the pools of its session so far; neighbours that the graph adds have no place in the lists."""
+    pairs = turn_lists(spark, d)
+    vectors_of, found = store(vectors.hashed_embedding(docs(spark, d), "doc_id", F.col("text")), "doc-vectors"), store(graph.concepts(docs(spark, d)), "doc-concepts")
+    asked = vectors.hashed_embedding(items(spark, d), "item_id", F.col("text")).withColumnRenamed("embedding", "q")
+    words = question_words(spark, d).groupBy("item_id").agg(F.collect_list("word").alias("words"))
+    every = store(turn_rows(spark, d).join(asked, "item_id").join(words, "item_id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>"))), "turn-questions")
+
+    def choose(pool: DataFrame, pools: DataFrame, used: DataFrame | None) -> DataFrame:
+        near = question.question_distances(pools.select("item_id", "doc_id", F.col("semantic_score").alias("similarity_score")), every, found, vectors_of, SETTINGS, asked=pool).where("gated")
+        near = store(near.drop("gated"), "turn-graph")
+        # What a session has used is not brought back by its graph.
+        fresh = near.where("added").join(every.select("item_id", "session", "turn"), "item_id")
+        fresh = fresh if used is None else fresh.join(used.select("session", "doc_id").distinct(), ["session", "doc_id"], "left_anti")
+        texts = fresh.join(items(spark, d).withColumnRenamed("text", "query"), "item_id").join(docs(spark, d).select("doc_id", "text"), "doc_id")
+        told = texts.select(
+            "item_id", "doc_id", "session", "turn", "semantic_score", "distance", X.query_class(F.col("query")).alias("query_class"), X.keyword_hits(X.keyword_words(F.col("query")), F.col("text")).alias("keyword_hits"),
+            F.round(X.token_f1(F.col("query"), F.col("text")), 6).alias("reranker_score"), F.size(X.whitespace_words(F.col("text"))).alias("chunk_size"),
+        )
+        own = pool.join(near.where("NOT added").select("item_id", "doc_id", "distance"), ["item_id", "doc_id"], "left").select(told.columns)
+        return scoring.rerank(own.unionByName(told), [*ITEM, "session", "turn"], SETTINGS, FULL, TURN_N)
+
+    return pairs, choose
+
+
+@query()
+def turn_loop_graph(spark, d):
+    """The same turns in full mode: every question walks the graph of what its session has met so far."""
+    pairs, choose = graph_choice(spark, d)
+    return turns.turn_loop(turn_rows(spark, d), pairs, choose, TURN_N, TURN_TOP).select("session", "turn", "item_id", "doc_id", "rank", "is_new", "hybrid_score", "final_score")
+
+
 # ---- logs, gauges and state
 
 
