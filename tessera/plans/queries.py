@@ -12,7 +12,7 @@ from tessera.common import store, table
 from tessera.config import Settings, modes
 from tessera.functions import text as X
 from tessera.functions import vectors as V
-from tessera.operators import chunking, evaluate, fusion, graph, lexical, metrics, question, scoring, state, turns, vectors
+from tessera.operators import chunking, corpusgraph, evaluate, fusion, graph, lexical, metrics, question, scoring, state, turns, vectors
 from tessera.plans import sql as S
 from tessera.streaming import rollups
 
@@ -419,6 +419,59 @@ def node_info(spark, d):
     return both.select("node", degree.alias("degree_out"), degree.alias("degree_in"), F.least("low", "nearest").alias("nearest"))
 
 
+# ---- the graph of the corpus, with weighed concepts and edges of similar texts
+
+
+def _corpus_steps(scope: str) -> dict[str, str]:
+    """All pairs of different texts by plain joins; scope: the documents that the weights of words come from."""
+    return {
+        "xt": "SELECT coalesce(text, '') AS t, min(doc_id) AS node, count(*) AS size FROM documents GROUP BY 1",
+        "xm": "SELECT doc_id, node, size FROM documents JOIN xt ON coalesce(text, '') = t",
+        "xn": f"SELECT count(*)::DOUBLE AS n FROM documents WHERE {scope}",
+        "xw": f"SELECT term, ln(1 + n / count(*)) AS w FROM tf JOIN documents USING (doc_id), xn WHERE {scope} GROUP BY term, n",
+        "xy": "SELECT node, term, (1 + ln(tf)) * coalesce(w, ln(1 + n)) AS y FROM xt JOIN tf ON doc_id = node LEFT JOIN xw USING (term), xn",
+        "xx": "SELECT node, term, y / sqrt(sum(y * y) OVER (PARTITION BY node)) AS x FROM xy",
+        "xs": "SELECT a.node AS a, b.node AS b, round(sum(a.x * b.x), 6) AS s FROM xx a JOIN xx b ON a.term = b.term AND a.node < b.node GROUP BY ALL HAVING round(sum(a.x * b.x), 6) > 0.65::DOUBLE",
+        "xc": "SELECT DISTINCT node, con.concept, con.word, con.type, size FROM xt JOIN con ON doc_id = node",
+        "xsh": "SELECT a.node AS a, b.node AS b, greatest(0.1::DOUBLE, 1.0::DOUBLE / (1 + count(*))) AS weight FROM xc a JOIN xc b ON a.concept = b.concept AND a.node < b.node GROUP BY ALL HAVING count(*) >= 2",
+        "xe": "SELECT a, b, min(weight) AS weight FROM (SELECT * FROM xsh UNION ALL SELECT a, b, round(greatest(0.0::DOUBLE, 1 - s), 6) FROM xs) GROUP BY ALL",
+        "xcw": "SELECT concept, sum(coalesce(x, 0.0::DOUBLE) * size) / sum(size) AS w FROM xc LEFT JOIN xx ON xx.node = xc.node AND xx.term = xc.word GROUP BY concept",
+        "xce": "SELECT doc_id::VARCHAR AS a, concept AS b, CASE WHEN w > 0.3::DOUBLE THEN 0.3::DOUBLE * (1 - 0.5::DOUBLE * w) ELSE 0.3::DOUBLE END AS weight FROM xm JOIN xc USING (node) JOIN xcw USING (concept)",
+        "xall": "SELECT a AS src, b AS dst, weight FROM xce UNION ALL SELECT b, a, weight FROM xce UNION ALL SELECT a::VARCHAR, b::VARCHAR, weight FROM xe UNION ALL SELECT b::VARCHAR, a::VARCHAR, weight FROM xe",
+        "xends": "SELECT a AS node, b AS other, weight FROM xe UNION ALL SELECT b, a, weight FROM xe",
+        "xdeg": "SELECT e.node, sum(o.size) AS apart, min(weight) AS far FROM xends e JOIN xt o ON o.node = e.other GROUP BY e.node",
+    }
+
+
+WHOLE, OLD = _corpus_steps("true"), _corpus_steps("doc_id % 5 <> 0")
+
+
+@query("SELECT src, dst, round(weight, 4) AS weight FROM xall", WHOLE)
+def corpus_graph(spark, d):
+    return corpusgraph.all_edges(corpusgraph.build(docs(spark, d))).select("src", "dst", "weight")
+
+
+@query("SELECT src, dst, round(weight, 4) AS weight FROM xall", OLD)
+def corpus_update(spark, d):
+    """The graph of four documents in five, then the others merged into it; the weights of words stay those of the former."""
+    old = corpusgraph.build(docs(spark, d).where("doc_id % 5 <> 0"))
+    return corpusgraph.all_edges(corpusgraph.update(old, docs(spark, d))).select("src", "dst", "weight")
+
+
+@query("SELECT a, b, round(s, 4) AS similarity FROM xs", WHOLE)
+def similar_texts(spark, d):
+    """Pairs of different texts whose weighed word vectors have a cosine above 0.65."""
+    texts = docs(spark, d).groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min("doc_id").alias("head")).withColumn("node", F.col("head").cast("string"))
+    found = store(corpusgraph.word_vectors(store(texts, "texts"), store(corpusgraph.word_weights(docs(spark, d)), "word-weights"), 0.65), "text-vectors")
+    a, b = F.col("a").cast("long"), F.col("b").cast("long")
+    return corpusgraph.similar(found, found, 0.65).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "similarity")
+
+
+@query("SELECT doc_id AS doc, (coalesce(apart, 0) + size - 1)::BIGINT AS partners, round(CASE WHEN size > 1 THEN 0.0::DOUBLE ELSE far END, 4) AS nearest FROM xm LEFT JOIN xdeg USING (node)", WHOLE)
+def corpus_degrees(spark, d):
+    return corpusgraph.degrees(corpusgraph.build(docs(spark, d)))
+
+
 # ---- graph of similar vectors
 
 
