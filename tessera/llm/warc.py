@@ -3,8 +3,8 @@
 Each record is a gzip member of its own. The reader checks every member (length, CRC), the record's head, its block
 length and its block digest. After a failed check it looks for the next member that decompresses, or in plain archives
 for the next version line, goes on from there, and logs the bytes in between as a
-quarantined gap with the reason. A member that holds several records gives them all. An archive is read as a stream: a task holds one record
-and a window of the file, whatever the file's size.
+quarantined gap with the reason. A member that holds several records, or a whole archive that is one member, gives them all. Files and members are read as streams: a task holds the rows of a batch,
+one record, of LARGEST bytes at most, and a window of some megabytes, whatever the size of the file or the member.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ VERSION, MAGIC, END = b"WARC/1.1", b"\x1f\x8b\x08", b"\r\n\r\n"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: An archive is closed once it has so many bytes.
 ARCHIVE_BYTES = 8 << 20
-#: Bytes read at once; the longest head; the largest record: a larger one, which a damaged length or a crafted member may pretend, is a gap.
+#: Bytes read at once; the longest head; the largest block of a record: a larger one, which a damaged length may pretend, is a gap.
 WINDOW, HEAD, LARGEST = 4 << 20, 1 << 20, 1 << 30
+#: Compressed bytes that are inflated at once; what is lost in front of damage inside a member.
+STEP = 1 << 12
 WHEN = datetime(2024, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
@@ -73,7 +75,7 @@ def member(data: bytes) -> bytes:
 
 @dataclass
 class Found:
-    """A record, or with reason set a gap. Of the records of one member the first has its length, the others 0."""
+    """A record, or with reason set a gap. Of the records of one member the last has its length, the others 0."""
 
     offset: int
     length: int
@@ -81,23 +83,38 @@ class Found:
     block: bytes = b""
     reason: str | None = None
 
+    def proved(self) -> bool:
+        """Whether the record carries a digest that its block was held against."""
+        return self.fields is not None and self.fields.get("warc-block-digest", "").startswith("sha1:")
+
 
 class Window:
-    """A part of a file that moves on: bytes before the place that was last let go are forgotten."""
+    """A part of a file that moves on: bytes before the place that was last let go are forgotten, and read again if they are asked for. size None: known once the file ends."""
 
-    def __init__(self, file, size: int):
-        self.file, self.size, self.base, self.data = file, size, 0, b""
+    def __init__(self, file, size: int | None):
+        self.file, self.size, self.base, self.data = file, float("inf") if size is None else size, 0, b""
 
     def load(self, at: int, n: int) -> bytes:
         """n bytes from at on, fewer at the end of the file."""
+        if at < self.base:
+            self.file.seek(at)
+            self.base, self.data = at, b""
         missing = min(at + n, self.size) - self.base - len(self.data)
         if missing > 0:
-            self.data += self.file.read(max(missing, min(WINDOW, self.size - self.base - len(self.data))))
+            parts = [self.data]
+            while missing > 0:
+                more = self.file.read(int(max(missing, WINDOW)))
+                if not more:
+                    self.size = self.base + sum(map(len, parts))
+                    break
+                parts.append(more)
+                missing -= len(more)
+            self.data = b"".join(parts)
         return self.data[at - self.base : at - self.base + n]
 
     def let_go(self, at: int) -> None:
         if at - self.base > WINDOW or at - self.base > len(self.data) // 2:
-            self.data, self.base = self.data[at - self.base :], at
+            self.data, self.base = self.data[at - self.base :], min(at, self.base + len(self.data))
 
     def find(self, marks: tuple[bytes, ...], at: int) -> int:
         """The next place of any mark from at on, or the end of the file. What is passed over is forgotten."""
@@ -109,7 +126,38 @@ class Window:
                 return at + min(spots)
             at += max(1, len(part) - longest + 1) if at + len(part) < self.size else len(part)
             self.let_go(at)
-        return self.size
+        return at
+
+
+class Inflated:
+    """The bytes of the gzip member at `at` of a window, as a file that is read once. Damage shows when all bytes in front of it have been read."""
+
+    def __init__(self, window: Window, at: int):
+        self.window, self.at, self.reader, self.damage = window, at, zlib.decompressobj(31), None
+
+    def read(self, n: int) -> bytes:
+        out, size = [], 0
+        while size < n and not self.reader.eof and self.damage is None:
+            try:
+                piece = self.reader.unconsumed_tail
+                if not piece:
+                    piece = self.window.load(self.at, STEP)
+                    self.at += len(piece)
+                    self.window.let_go(self.at)
+                if not piece:
+                    raise ValueError("member cut short")
+                out.append(self.reader.decompress(piece, n - size))
+                size += len(out[-1])
+            except (ValueError, zlib.error) as e:
+                self.damage = e
+        if self.damage is not None and not size:
+            raise self.damage
+        return b"".join(out)
+
+    @property
+    def end(self) -> int:
+        """Where the member ends, once it is read."""
+        return self.at - len(self.reader.unused_data)
 
 
 def parse(source: Window | bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
@@ -140,6 +188,8 @@ def parse(source: Window | bytes, at: int = 0) -> tuple[dict[str, str], bytes, i
         raise ValueError("block too large")
     whole = window.load(begin, size + 4)
     block = whole[:size]
+    if len(block) < size:
+        raise ValueError("block cut short")
     if whole[size:] != END:
         raise ValueError("no end mark after block")
     want = fields.get("warc-block-digest", "")
@@ -148,22 +198,35 @@ def parse(source: Window | bytes, at: int = 0) -> tuple[dict[str, str], bytes, i
     return fields, block, end + 4
 
 
-def _member(offset: int, length: int, data: bytes) -> Iterator[Found]:
-    """Records and gaps of one inflated member; ValueError if there is no record in it."""
+def _more(window: Window, at: int) -> int | None:
+    """The next place that is no white space, None at the end."""
+    while part := window.load(at, 4096):
+        if rest := part.lstrip():
+            return at + len(part) - len(rest)
+        at += len(part)
+        window.let_go(at)
+    return None
+
+
+def _member(offset: int, window: Window) -> Iterator[Found]:
+    """Records and gaps of one inflated member, all without length; ValueError if there is no record in it, and what inflating raises once what comes before the damage is through."""
     pos, why, found = 0, None, 0
-    while pos < len(data) and (found == 0 or data[pos:].strip()):
+    while found == 0 or _more(window, pos) is not None:
         try:
-            fields, block, end = parse(data, pos)
+            pos = pos if found == 0 else _more(window, pos)
+            fields, block, end = parse(window, pos)
         except ValueError as e:
             why = why or str(e)
-            pos = data.find(b"WARC/1.", pos + 1)
-            pos = len(data) if pos < 0 else pos
+            pos = window.find((b"WARC/1.",), pos + 1)
+            if pos >= window.size:
+                break
             continue
         if why:
             yield Found(offset, 0, reason=f"in a member: {why}")
             why = None
-        yield Found(offset, 0 if found else length, fields, block)
+        yield Found(offset, 0, fields, block)
         pos, found = end, found + 1
+        window.let_go(pos)
     if not found:
         raise ValueError(why or "member without record")
     if why:
@@ -171,60 +234,70 @@ def _member(offset: int, length: int, data: bytes) -> Iterator[Found]:
 
 
 def salvage(source: bytes | Window) -> Iterator[Found]:
-    """Records and gaps of one archive, in order; together they cover it without overlap."""
+    """Records and gaps of one archive, in order; together they cover it without overlap.
+
+    A member's records come as they are inflated. If a member turns out damaged, those in front of the damage (STEP bytes or more) stay, the last of them only if its own digest proves it, and the member's bytes
+    up to the next valid member or version line are a gap.
+    """
     window = Window(io.BytesIO(source), len(source)) if isinstance(source, bytes) else source
     at, gap, why = 0, None, ""
     while at < window.size:
+        held, error = [], None
         try:
             if window.load(at, 3) == MAGIC:
-                whole, end = _member_at(window, at)
-                found = list(_member(at, end - at, whole))
+                member = Inflated(window, at)
+                for found in _member(at, Window(member, None)):
+                    if found.fields is not None and any(x.fields is not None for x in held):
+                        if gap is not None:
+                            yield Found(gap, at - gap, reason=why)
+                            gap = None
+                        yield from held
+                        held = []
+                    held.append(found)
+                end = member.end
             else:
                 fields, block, end = parse(window, at)
-                found = [Found(at, end - at, fields, block)]
+                held = [Found(at, 0, fields, block)]
         except (ValueError, zlib.error) as e:
-            if gap is None:
-                gap, why = at, str(e)
-            at = window.find((MAGIC, b"WARC/1."), at + 1)
-            continue
-        if gap is not None:
+            error, held = e, [x for x in held if x.reason or x.proved()] if any(x.proved() for x in held) else []
+        if gap is not None and held:
             yield Found(gap, at - gap, reason=why)
             gap = None
-        yield from found
-        at = end
-        window.let_go(at)
+        for x in held:
+            x.length = end - at if error is None and x.fields is not None else 0
+            yield x
+        if error is None:
+            at = end
+            window.let_go(at)
+        else:
+            if gap is None:
+                gap, why = at, str(error)
+            at = window.find((MAGIC, b"WARC/1."), at + 1)
     if gap is not None:
         yield Found(gap, window.size - gap, reason=why)
 
 
-def _member_at(window: Window, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
-    """Feeds the decompressor piece by piece, so that what follows a member is not copied, and stops at LARGEST."""
-    reader, out, pos, size = zlib.decompressobj(31), [], at, 0
-    while not reader.eof:
-        if pos >= window.size:
-            raise ValueError("member cut short")
-        piece = reader.decompress(window.load(pos, step), LARGEST + 1 - size)
-        out.append(piece)
-        size += len(piece)
-        if size > LARGEST or reader.unconsumed_tail:
-            raise ValueError("member too large")
-        pos += step
-    return b"".join(out), min(pos, window.size) - len(reader.unused_data)
-
-
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write a record per row of pages into gzip archives in folder; the result lists (path, records, bytes).
 
     Of equal payloads of at least least_bytes the row with the largest id is written as response, others as revisit records
     that name it. A null payload is empty, a null id is below all others, and of rows that share the largest id and the payload all are responses. A long payload is
-    one record. Columns other than the three play no part; no rows make no archive. An archive
+    one record, held whole by its task with the archive that it closes. Columns other than the three play no part; no rows make an empty folder. An archive
     gets its name once it is complete; a repeated task writes its own files and only those that it lists are read.
     """
     page = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("html"))
     page = page.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    newest = page.groupBy("sha").agg(F.max(F.struct("id", "url")).alias("newest"))
+    files, base = _hadoop(pages.sparkSession, folder)
+    files.mkdirs(base)
+    # Stored, so that the rows of one payload can be dealt over several tasks of the join.
+    newest = store(page.groupBy("sha").agg(F.max(F.struct("id", "url")).alias("newest")), "warc-newest")
     rows = page.join(newest, "sha").select("id", "url", "html", F.col("newest.id").alias("newest"), F.col("newest.url").alias("newest_url"))
-    return store(rows.mapInArrow(_writer(folder, least_bytes), "path string, records long, bytes long"), "warc-list")
+    return store(rows.mapInArrow(_writer(folder, least_bytes), "path string, records long, bytes long"), "warc-list", newest)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def _writer(folder: str, least_bytes: int):
@@ -267,7 +340,7 @@ def _reader(with_payload: bool):
             for path, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
                 files, name = pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
                 rows, held = [], 0
-                with files.open_input_stream(name, compression=None) as stream:
+                with files.open_input_file(name) as stream:
                     for found in salvage(Window(stream, size)):
                         rows.append((path, found.offset, found.length, found.reason, *_described(found, with_payload)))
                         held += len(found.block) if with_payload else 0
@@ -304,7 +377,7 @@ def read_archives(spark: SparkSession, paths: str | list[str], with_payload: boo
 
     records have the head's fields, the payload's digest and size (of a revisit: as its head states them) and, if asked for, the
     payload. gaps(path, offset, length, reason) are the bytes that belong to no valid record; a gap inside a member has its offset and no length. An empty file
-    has neither. Without payloads the archives are read at once and their records stored. Repeated records all count; a long one is held whole by its task.
+    has neither, nor has an empty folder. Without payloads the archives are read at once and their records stored. Repeated records all count, so there are no ties; a long one is held whole by its task.
     """
     # Only the list of files comes from Spark; each file is one row, and files are dealt over the tasks by their bytes.
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(paths).select("path", "length")

@@ -60,7 +60,43 @@ def test_members_of_several_records_and_small_windows(monkeypatch):
         assert sum(f.length for f in found) == len(data)
     monkeypatch.setattr(warc, "LARGEST", 5000)
     bomb = warc.member(b"\0" * 100_000)
-    assert [(f.reason, f.length) for f in warc.salvage(bomb + warc.member(parts[5]))][0] == ("member too large", len(bomb))
+    assert [(f.reason, f.length) for f in warc.salvage(bomb + warc.member(parts[5]))][0] == ("no version line", len(bomb))
+
+
+def test_an_archive_in_one_member_is_read_in_linear_time_and_bounded_memory(monkeypatch):
+    """16,000 records of 2 kB; the bound on records is no bound on members, and a record beyond it costs itself only."""
+    import time
+
+    parts = [warc.record(i, f"http://{i}", random.Random(i % 7).randbytes(1500)) for i in range(16_000)]
+    whole = warc.member(b"".join(parts))
+    began = time.time()
+    found = list(warc.salvage(whole))
+    assert time.time() - began < 8
+    assert [int(f.fields["warc-page-id"]) for f in found] == list(range(16_000)) and sum(f.length for f in found) == found[-1].length == len(whole)
+    monkeypatch.setattr(warc, "LARGEST", 4000)
+    large = warc.record(99, "http://large", b"y" * 9000)
+    found = list(warc.salvage(warc.member(b"".join(parts[:100]) + large + b"".join(parts[100:200]))))
+    assert [f.fields["warc-page-id"] for f in found if f.fields] == [str(i) for i in range(200)] and [f.reason for f in found if f.reason] == ["in a member: block too large"]
+
+
+def test_records_in_front_of_damage_inside_a_member_stay():
+    rng = random.Random(3)
+    parts = [warc.record(i, f"http://{i}", rng.randbytes(3000)) for i in range(60)]
+    whole, after = warc.member(b"".join(parts)), warc.member(warc.record(77, "http://after", b"z"))
+    hit = bytearray(whole)
+    hit[len(whole) // 2] ^= 0xFF
+    for data in (bytes(hit), whole[: len(whole) // 2], whole[:-6] + b"\0\0\0\0\0\0"):
+        found = list(warc.salvage(data + after))
+        pages = [int(f.fields["warc-page-id"]) for f in found if f.fields]
+        assert pages[-1] == 77 and pages[:-1] == list(range(len(pages) - 1)) and len(pages) > 25
+        assert [(f.offset, f.length) for f in found if f.reason] == [(0, len(data))] and sum(f.length for f in found) == len(data + after)
+
+
+def test_query_on_no_pages(spark, tmp_path):
+    from tessera.llm.queries import op8_warc
+
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    assert op8_warc(spark, f"file://{tmp_path}").collect() == []
 
 
 def test_headers_of_a_revisit():
