@@ -60,20 +60,31 @@ def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(-1, K) for c in ("sig_a", "sig_b"))
         keep = pa.array((left == right).sum(axis=1) >= MATCHES)
-        yield batch.select(["a", "b", "id_a", "id_b"]).filter(keep)
+        yield batch.select(["a", "b"]).filter(keep)
+
+
+def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose text is of the class: two rows may have one id, and the digest tells which is meant."""
+    for batch in pieces(batches):
+        last: tuple = (None, None)
+        keep = []
+        for cls, text in zip(batch.column("cls"), batch.column("text"), strict=True):
+            if last[0] != (text := text.as_py()):
+                shingles = kernels.shingle_set(text)
+                last = (text, kernels.set_digest(shingles) if len(shingles) else None)
+            keep.append(cls.as_py() == last[1])
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def _confirm(least: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None, None)
+        last: tuple = (None, None)
         for batch in batches:
             keep = []
-            for a, b, text_a, text_b in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b")), strict=True):
+            for text_a, text_b in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
                 if last[0] != (text := text_a.as_py()):
-                    last = (text, kernels.exact_shingles(text), kernels.set_digest(kernels.shingle_set(text)))
-                # Two rows may have one id; the digest tells whether this is the text that was meant.
-                ours = a.as_py() == last[2] and b.as_py() == kernels.set_digest(kernels.shingle_set(text_b.as_py()))
-                keep.append(ours and _similar(last[1], kernels.exact_shingles(text_b.as_py()), least))
+                    last = (text, kernels.exact_shingles(text))
+                keep.append(_similar(last[1], kernels.exact_shingles(text_b.as_py()), least))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return confirm
@@ -100,7 +111,7 @@ def _block_pairs(rows: dict[str, list]) -> Iterator[tuple[int, np.ndarray]]:
 
 
 _BLOCK_KEY = ["key", "level", "first", "second"]
-_BLOCK_ROW = [*_BLOCK_KEY, "block", "at", "upper", "cls", "label", "sig", "rep", "alt"]
+_BLOCK_ROW = [*_BLOCK_KEY, "block", "at", "upper", "cls", "label", "sig"]
 
 
 def _open_rows(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch | None:
@@ -119,8 +130,7 @@ def _links_of(least: int):
 
         def of(x: int) -> set:
             if x not in sets:
-                ours = kernels.set_digest(kernels.shingle_set(rows["text"][x])) == rows["cls"][x]
-                sets[x] = kernels.exact_shingles(rows["text"][x]) if ours else set()
+                sets[x] = kernels.exact_shingles(rows["text"][x])
             return sets[x]
 
         def root(x: int) -> int:
@@ -189,19 +199,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # A class is found by its smallest id, or by a hash of its text if no row of it has an id.
     place = lambda name, alt: F.coalesce(F.col(name).cast("string"), F.concat(F.lit("?"), F.col(alt).cast("string")))
-    unnamed = texts.where("id is null").groupBy("alt").agg(F.first("text").alias("text"))
-    texts_of = texts.where("id is not null").select(place("id", "alt").alias("place"), "text").unionByName(unnamed.select(F.concat(F.lit("?"), F.col("alt").cast("string")).alias("place"), "text"))
+    places = texts.select(place("id", "alt").alias("place"), "text")
+
+    def class_texts(wanted: DataFrame) -> DataFrame:
+        """(cls, text): one text of each class, however many rows have it or its id."""
+        found = wanted.distinct().join(classes.select("cls", place("rep", "alt").alias("place")), "cls").join(places, "place")
+        return store(found.select("cls", "text").mapInArrow(_own_texts, "cls binary, text binary").groupBy("cls").agg(F.first("text").alias("text")), "mh-texts")
 
     def candidates(pairs: DataFrame) -> DataFrame:
-        """Pairs of classes with both signatures and both places, those that agree on MATCHES coordinates."""
+        """Pairs of classes that agree on MATCHES coordinates."""
         for side in "ab":
-            pairs = pairs.join(classes.select(F.col("cls").alias(side), place("rep", "alt").alias(f"id_{side}"), F.col("sig").alias(f"sig_{side}")), side)
-        return pairs.select("a", "b", "id_a", "id_b", "sig_a", "sig_b").mapInArrow(_matching, "a binary, b binary, id_a string, id_b string")
+            pairs = pairs.join(classes.select(F.col("cls").alias(side), F.col("sig").alias(f"sig_{side}")), side)
+        return store(pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_matching, "a binary, b binary"), "mh-candidates")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def confirmed(found: DataFrame, *old: DataFrame) -> DataFrame:
+        """Links among found candidates, with those of old; both are stored and not needed after."""
+        whole = class_texts(found.select(F.explode(F.array("a", "b")).alias("cls")))
+        pairs = found
         for side in "ab":
-            pairs = pairs.join(texts_of.select(F.col("place").alias(f"id_{side}"), F.col("text").alias(f"text_{side}")), f"id_{side}")
-        return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(least_percent), "a binary, b binary")
+            pairs = pairs.join(whole.select(F.col("cls").alias(side), F.col("text").alias(f"text_{side}")), side)
+        links = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(least_percent), "a binary, b binary")
+        for x in old:
+            links = links.unionByName(x)
+        return store(links, "mh-links", found, whole, *old)
 
     def open_posts(links: DataFrame, *more) -> DataFrame:
         """Posts of the lists that still hold several components, with the component as label and the list's `more` aggregates."""
@@ -211,10 +231,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return rows.join(lists, "key")
 
     stars = posts.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    links = store(confirmed(candidates(stars)), "mh-links")
+    links = confirmed(candidates(stars))
     hub = F.min(F.struct(F.xxhash64("key", "cls").alias("order"), F.col("cls").alias("a"), F.col("label").alias("of"))).alias("hub")
     stars = open_posts(links, hub).where("label <> hub.of").select("hub.a", F.col("cls").alias("b")).distinct()
-    links = store(links.unionByName(confirmed(candidates(stars))), "mh-links", links)
+    links = confirmed(candidates(stars), links)
 
     # A level spans a little more than the ratio of sizes that similar sets can have, so partners are on one level or the next.
     step = F.lit(1.001).cast("double") * F.log(F.lit(100.0 / least_percent)) if least_percent < 100 else F.lit(1e-9)
@@ -225,12 +245,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.join(groups.select("key", "level", blocks.alias("blocks")), ["key", "level"]).withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
     in_blocks = lambda df: df.repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
-    kinds = f"key long, level long, first int, second int, block int, at int, upper boolean, cls binary, label binary, sig binary, rep {id_type}, alt long"
-    near = in_blocks(rows.select(*_BLOCK_ROW)).mapInArrow(_by_block(_BLOCK_ROW, _open_rows), kinds)
-    # Only rows that are in some pair get their texts; equal ids with other texts are told apart by the digest.
-    whole = near.join(texts_of, place("rep", "alt") == F.col("place")).drop("place")
-    late = in_blocks(whole).mapInArrow(_by_block([*_BLOCK_ROW, "text"], _links_of(least_percent)), "a binary, b binary")
-    links = store(links.unionByName(late), "mh-links", links, posts)
+    kinds = "key long, level long, first int, second int, block int, at int, upper boolean, cls binary, label binary, sig binary"
+    near = store(in_blocks(rows.select(*_BLOCK_ROW)).mapInArrow(_by_block(_BLOCK_ROW, _open_rows), kinds), "mh-open")
+    # Only rows that are in some pair get their texts.
+    whole = class_texts(near.select("cls"))
+    late = in_blocks(near.join(whole, "cls")).mapInArrow(_by_block([*_BLOCK_ROW, "text"], _links_of(least_percent)), "a binary, b binary")
+    links = store(links.unionByName(late), "mh-links", links, posts, near, whole)
     labels = components(links, "a", "b").withColumnRenamed("node", "cls")
     discard(links)
     grouped = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))

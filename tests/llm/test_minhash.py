@@ -117,3 +117,16 @@ def test_null_texts_long_texts_and_clashing_columns(spark):
     rows = [(1, None, "a", 1, b"x"), (2, long, "a", 1, b"x"), (3, long + " end", "a", 1, b"x"), (4, None, "a", 1, b"x"), (5, "", "a", 1, b"x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string, N int, cls binary")
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()} == {(1, 0, 1, True), (2, 29996, 2, True), (3, 29997, 2, False), (4, 0, 4, True), (5, 0, 5, True)}
+
+
+def test_many_repeated_rows_are_compared_once(spark):
+    """A thousand copies of one row and a thousand of a near copy are one pair of texts."""
+    import time
+
+    words = [f"w{i}" for i in range(200)]
+    rows = [(7, " ".join(words))] * 1000 + [(8, " ".join([*words, "more"]))] * 1000 + [(9, "some other text of its own with words")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    began = time.time()
+    found = minhash.near_duplicates(frame).collect()
+    assert time.time() - began < 60
+    assert {(r.doc_id, r.component_id, r.kept) for r in found} == {(7, 7, True), (8, 7, False), (9, 9, True)} and len(found) == 2001
