@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tessera.functions import text as X
+from tessera.functions.stem import stems
 from tessera.functions import vectors as V
 
 CUTS = (5, 10, 20)
@@ -109,6 +110,18 @@ def rouge_l(answer: Column, reference: Column) -> Column:
     return pandas_udf(_longest_f, "double")(X.tokens(answer), X.tokens(reference))
 
 
+def stemmed_words(text: str) -> Column:
+    """Stems of the runs of a-z and 0-9 of a text column."""
+    return stems(f"regexp_extract_all(lower(coalesce(`{text}`, '')), '[a-z0-9]+', 0)")
+
+
+def rouge_stemmed(rows: DataFrame, answer: str, reference: str) -> DataFrame:
+    """rows with rouge1, rouge2 and rouge_l over stemmed words; texts without words, null ones too, score 0."""
+    words = rows.withColumns({"_a": stemmed_words(answer), "_b": stemmed_words(reference)})
+    grams = lambda n: X.overlap_f1(X.n_grams(F.col("_a"), n), X.n_grams(F.col("_b"), n))
+    return words.withColumns({"rouge1": grams(1), "rouge2": grams(2), "rouge_l": pandas_udf(_longest_f, "double")("_a", "_b")}).drop("_a", "_b")
+
+
 def is_correct(similarity: Column, longest: Column, least_similarity: float = 0.65, least_longest: float = 0.40) -> Column:
     return (similarity >= least_similarity) | (longest >= least_longest)
 
@@ -128,6 +141,14 @@ def answer_accuracy(pairs: DataFrame, answer: str = "answer", reference: str = "
     return each.agg(F.count("*").alias("turns"), F.avg(right).alias("accuracy"), *[F.avg(c).alias(f"avg_{c}") for c in ("similarity", "rouge_l", "token_f1", "exact")])
 
 
+def paired(answers: DataFrame, references: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, answer, reference) of answers(keys, answer) and references(keys, reference); fails when it runs if a turn is on one side only or twice on a side."""
+    sides = [df.groupBy(*keys).agg(F.count("*").alias(f"_n{i}"), F.first(c).alias(c)) for i, (df, c) in enumerate(((answers, "answer"), (references, "reference")))]
+    both = sides[0].join(sides[1], keys, "full")
+    odd = F.when((F.coalesce("_n0", F.lit(0)) == 1) & (F.coalesce("_n1", F.lit(0)) == 1), F.lit(True)).otherwise(F.raise_error("answers and references must have the same turns").cast("boolean"))
+    return both.where(odd).drop("_n0", "_n1")
+
+
 def text_recall(turns: DataFrame, retrieved: DataFrame, part: list[str], phrase: str = "phrase") -> DataFrame:
     """(part, found): whether the retrieved texts of a turn, joined in rank order by blanks, contain the phrase in any case."""
     joined = retrieved.groupBy(*part).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), " ").alias("all"))

@@ -143,9 +143,10 @@ def walk(group: pd.DataFrame, settings: Settings) -> list[tuple]:
         low, high = (min(known), max(known)) if known else (0.0, 0.0)
         top = max((rank.get(i, 0.0) for i in every), default=0.0)
         for i in every:
-            scaled = 0.8 if i not in reach else (reach[i] - low) / (high - low) if high > low else 0.0
-            share = rank.get(i, 0.0) / top if top > 0 else 0.0
-            out.append((i, gated, i not in seeds, semantic[i], 0.7 * scaled + 0.3 * (1 - share) if sources else None))
+            # Rounded, so that the order in which ranks are added up does not show.
+            scaled = 0.8 if i not in reach else round((reach[i] - low) / (high - low), 9) if high > low else 0.0
+            share = round(rank.get(i, 0.0) / top, 9) if top > 0 else 0.0
+            out.append((i, gated, i not in seeds, semantic[i], round(0.7 * scaled + 0.3 * (1 - share), 9) if sources else None))
     return out
 
 

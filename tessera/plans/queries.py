@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tessera.common import store, table
 from tessera.config import Settings, modes
+from tessera.functions import stem
 from tessera.functions import text as X
 from tessera.functions import vectors as V
-from tessera.operators import chunking, corpusgraph, evaluate, fusion, graph, lexical, metrics, question, scoring, state, turns, vectors
+from tessera.operators import chunking, corpusgraph, evaluate, fusion, graph, keywords, lexical, metrics, question, scoring, state, turns, vectors
 from tessera.plans import sql as S
 from tessera.streaming import rollups
 
@@ -472,6 +473,33 @@ def corpus_degrees(spark, d):
     return corpusgraph.degrees(corpusgraph.build(docs(spark, d)))
 
 
+# ---- keyphrases
+
+_PLAIN = rf"(length(word) > {keywords.SHORT} AND regexp_matches(word, '{keywords.LETTER}') AND word NOT IN ({S.STOP}))"
+#: levenshtein() counts bytes there; letters outside ASCII stand as capitals, which keywords do not have.
+_BYTES = "translate({}, 'àâäáãåçéèêëíìîïñóòôöõúùûüßœæ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ#+!')"
+KEYPHRASES = {
+    "ks": f"SELECT doc_id, unnest(s) AS s, unnest(range(0, len(s))) AS sno FROM (SELECT doc_id, {S.sents('text')} AS s FROM documents)",
+    "kf": f"SELECT doc_id, sno, unnest(f) AS f, unnest(range(0, len(f))) AS fno FROM (SELECT doc_id, sno, string_split_regex(s, '{keywords.PUNCTUATION}') AS f FROM ks)",
+    "kl": rf"SELECT doc_id, sno, fno, regexp_extract_all(f, '[\p{{L}}\p{{N}}_]+') AS ws FROM kf",
+    "kt": "SELECT doc_id, sno, ws[i] AS raw, lower(ws[i]) AS word, CASE WHEN i > 1 THEN lower(ws[i - 1]) END AS l, lower(ws[i + 1]) AS r, fno = 0 AND i = 1 AS first FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM kl)",
+    "kp": rf"SELECT doc_id, word, {_PLAIN} AS can, count(*) AS tf, count(*) FILTER (WHERE regexp_matches(raw, '{keywords.CAPITALS}')) AS up, count(*) FILTER (WHERE regexp_matches(raw, '{keywords.CAPITAL}') AND NOT first AND NOT regexp_matches(raw, '{keywords.CAPITALS}')) AS title, median(sno) AS mid, count(DISTINCT sno) AS spread, count(DISTINCT l) AS ld, count(l) AS lc, count(DISTINCT r) AS rd, count(r) AS rc FROM kt GROUP BY ALL",
+    "kd": "SELECT doc_id, avg(tf) FILTER (WHERE can) AS mean, stddev_pop(tf) FILTER (WHERE can) AS std, max(tf) AS most, (SELECT max(sno) FROM kt WHERE kt.doc_id = kp.doc_id) + 1 AS ns FROM kp GROUP BY doc_id",
+    "kg": "SELECT doc_id, word, tf, greatest(up, title) / (1 + ln(tf)) AS c, ln(ln(3 + mid)) AS p, tf / (mean + std) AS f, 1 + (CASE WHEN lc > 0 THEN ld / lc ELSE 0 END + CASE WHEN rc > 0 THEN rd / rc ELSE 0 END) * tf / most AS t, spread / ns AS s FROM kp JOIN kd USING (doc_id) WHERE can",
+    "kscore": "SELECT doc_id, word, tf, t * p / (c + f / t + s / t) AS score FROM kg",
+    "kpair": f"SELECT doc_id, word, r, count(*) AS tf FROM kt WHERE r IS NOT NULL AND {_PLAIN} AND {_PLAIN.replace('word', 'r')} GROUP BY ALL",
+    "kall": "SELECT doc_id, word AS k, round(score / (tf * (1 + score)), 8) AS s FROM kscore UNION ALL SELECT p.doc_id, p.word || ' ' || p.r, round(a.score * b.score / (p.tf * (1 + a.score + b.score)), 8) FROM kpair p JOIN kscore a ON a.doc_id = p.doc_id AND a.word = p.word JOIN kscore b ON b.doc_id = p.doc_id AND b.word = p.r",
+    "kbest": f"SELECT doc_id, list_reduce(list(k ORDER BY s, k).list_transform(lambda k: [k]), lambda kept, x: CASE WHEN len(kept) >= 10 OR len(list_filter(kept, lambda o: 1 - levenshtein({_BYTES.format('o')}, {_BYTES.format('x[1]')}) / greatest(length(o), length(x[1])) > 0.7::DOUBLE)) > 0 THEN kept ELSE list_concat(kept, x) END, []::VARCHAR[]) AS ks FROM kall GROUP BY doc_id",
+    "kout": "SELECT doc_id, unnest(ks) AS keyword, unnest(range(1, len(ks) + 1)) AS rank FROM kbest",
+}
+
+
+@query("SELECT doc_id, rank, keyword, round(s, 4) AS score FROM kout JOIN kall USING (doc_id) WHERE k = keyword", KEYPHRASES)
+def keyphrases(spark, d):
+    """The ten best words and word pairs of each document."""
+    return keywords.keywords(docs(spark, d))
+
+
 # ---- graph of similar vectors
 
 
@@ -548,6 +576,20 @@ def ppr(spark, d):
     return graph.pagerank(*graph_tables(spark, d), ["label"], SETTINGS.rank_rounds)
 
 
+CONVERGED = {k: v for k, v in RANKS.items() if not re.fullmatch("p[0-9]+|ppr", k)} | {"w0": "SELECT label, node, base AS ppr FROM base"}
+for _i in range(50):
+    CONVERGED[f"w{_i + 1}"] = RANKS["p1"].replace("FROM p0 p", f"FROM w{_i} p")
+    CONVERGED[f"wd{_i + 1}"] = f"SELECT label, {_i + 1} AS r, sum(abs(coalesce(a.ppr, 0) - coalesce(b.ppr, 0))) AS moved FROM w{_i + 1} a FULL JOIN w{_i} b USING (label, node) GROUP BY label"
+CONVERGED["wstop"] = "SELECT label, least(50, coalesce(min(r) FILTER (WHERE moved < 0.0001::DOUBLE), 50)) AS r FROM (" + " UNION ALL ".join(f"SELECT * FROM wd{i + 1}" for i in range(50)) + ") GROUP BY label"
+CONVERGED["wall"] = " UNION ALL ".join(f"SELECT {i + 1} AS r, label, node, ppr FROM w{i + 1}" for i in range(50))
+
+
+@query("SELECT label, node, r::BIGINT AS rounds, round(ppr, 4) AS ppr FROM wall JOIN wstop USING (label, r)", CONVERGED)
+def ppr_converged(spark, d):
+    """Ranks of each label after as many rounds as it takes until they move by less than 0.0001 in all, 50 at most."""
+    return graph.pagerank_converged(*graph_tables(spark, d), ["label"])
+
+
 @query("SELECT label, node, round(0.7::DOUBLE * coalesce(normalized, 0.8::DOUBLE) + 0.3::DOUBLE * (1 - coalesce(rank, 0.0::DOUBLE)), 4) AS graph_distance FROM dn FULL JOIN (SELECT label, node, ppr / max(ppr) OVER (PARTITION BY label) AS rank FROM ppr) USING (label, node)", {**NORMALIZED, **RANKS})
 def graph_score(spark, d):
     edges, sources = graph_tables(spark, d)
@@ -684,11 +726,31 @@ _rouge(1)
 _rouge(2)
 
 
-@query()
+#: The longest common subsequence row by row: a row is a list of lengths, and a word, as a number, makes the next one.
+LCS = "list_reduce(list_transform({0}, lambda w: [hash(w)::BIGINT]), lambda row, w: list_reduce(list_transform(range(1, len({1}) + 1), lambda j: [j::BIGINT]), lambda cur, j: list_append(cur, CASE WHEN hash({1}[j[1]])::BIGINT = w[1] THEN row[j[1]] + 1 ELSE greatest(row[j[1] + 1], cur[-1]) END), [0::BIGINT]), list_transform(range(0, len({1}) + 1), lambda j: 0::BIGINT))[-1]".replace("hash(w)::BIGINT", "(hash(w) >> 1)::BIGINT").replace("hash({1}[j[1]])::BIGINT", "(hash({1}[j[1]]) >> 1)::BIGINT")
+LONGEST = f"(CASE WHEN len({{0}}) > 0 AND len({{1}}) > 0 THEN 2.0::DOUBLE * {LCS} / (len({{0}}) + len({{1}})) ELSE 0.0::DOUBLE END)"
+
+
+@query(f"SELECT conv_id, turn, round({LONGEST.format('ta', 'tb')}, 4) AS rouge FROM ans")
 def rouge_l(spark, d):
     return answers(spark, d).select("conv_id", "turn", evaluate.rouge_l(F.col("answer"), F.col("reference")).alias("rouge"))
 
 
+def _stemmed(column: str) -> str:
+    chain = f"regexp_extract_all(lower(coalesce({column}, '')), '[a-z0-9]+')"
+    for step in stem.steps("regexp_matches"):
+        chain = f"list_transform({chain}, lambda x: {step})"
+    return chain
+
+
+STEMMED = {"sans": f"SELECT conv_id, turn, {_stemmed('answer')} AS sa, {_stemmed('reference')} AS sb FROM ans", "sgram": f"SELECT *, {S.grams('sa', 2)} AS ga, {S.grams('sb', 2)} AS gb FROM sans"}
+
+
+@query(f"SELECT conv_id, turn, round({S.f1('sa', 'sb')}, 4) AS rouge1, round({S.f1('ga', 'gb')}, 4) AS rouge2, round({LONGEST.format('sa', 'sb')}, 4) AS rouge_l FROM sgram", STEMMED)
+def rouge_stemmed(spark, d):
+    return evaluate.rouge_stemmed(answers(spark, d), "answer", "reference").select("conv_id", "turn", "rouge1", "rouge2", "rouge_l")
+
+
 SIMILAR = {
     "ak": "SELECT conv_id, turn, side, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS b, count(*)::DOUBLE AS c FROM (SELECT conv_id, turn, 'a' AS side, unnest(ta) AS term FROM ans UNION ALL SELECT conv_id, turn, 'b', unnest(tb) FROM ans) GROUP BY ALL",
     "al": "SELECT conv_id, turn, side, sqrt(sum(c * c)) AS n FROM ak GROUP BY ALL",
@@ -701,7 +763,10 @@ def answer_similarity(spark, d):
     return answers(spark, d).select("conv_id", "turn", evaluate.answer_similarity(F.col("answer"), F.col("reference")).alias("similarity"))
 
 
-@query()
+JUDGED = {**SIMILAR, "judged": f"SELECT round(coalesce(s, 0.0::DOUBLE), 6) AS similarity, {LONGEST.format('ta', 'tb')} AS rouge_l, {S.f1('ta', 'tb')} AS token_f1, (len(tb) > 0 AND ta = tb)::INT AS exact FROM ans LEFT JOIN asim USING (conv_id, turn)"}
+
+
+@query("SELECT count(*) AS turns, round(avg((similarity >= 0.65::DOUBLE OR rouge_l >= 0.4::DOUBLE)::INT), 4) AS accuracy, round(avg(similarity), 4) AS avg_similarity, round(avg(rouge_l), 4) AS avg_rouge_l, round(avg(token_f1), 4) AS avg_token_f1, round(avg(exact), 4) AS avg_exact FROM judged", JUDGED)
 def answer_accuracy(spark, d):
     return evaluate.answer_accuracy(answers(spark, d))
 

@@ -65,8 +65,8 @@ def walks(rounds: int, ranks: int) -> dict[str, str]:
         lost = f"SELECT p.item_id, sum(p.ppr) AS lost FROM gp{i} p WHERE NOT EXISTS (SELECT 1 FROM gflow f WHERE f.item_id = p.item_id AND f.a = p.node) GROUP BY p.item_id"
         steps[f"gp{i + 1}"] = f"SELECT item_id, node, sum(x) AS ppr FROM (SELECT p.item_id, f.b AS node, 0.85::DOUBLE * p.ppr * f.p AS x FROM gp{i} p JOIN gflow f ON f.item_id = p.item_id AND f.a = p.node UNION ALL SELECT s.item_id, s.node, s.base * (0.15::DOUBLE + 0.85::DOUBLE * coalesce(l.lost, 0)) FROM gbase s LEFT JOIN ({lost}) l USING (item_id)) GROUP BY ALL"
     steps["gd0"] = f"SELECT i.gate, i.item_id, i.doc_id, i.added, r.distance AS raw, coalesce(p.ppr, 0) AS ppr FROM gids i LEFT JOIN gr{rounds} r ON r.item_id = i.item_id AND r.node = 'd' || i.doc_id LEFT JOIN gp{ranks} p ON p.item_id = i.item_id AND p.node = 'd' || i.doc_id"
-    steps["gd1"] = "SELECT *, CASE WHEN raw IS NULL THEN 0.8::DOUBLE WHEN max(raw) OVER w > min(raw) OVER w THEN (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) ELSE 0.0::DOUBLE END AS scaled, CASE WHEN max(ppr) OVER w > 0 THEN ppr / max(ppr) OVER w ELSE 0.0::DOUBLE END AS share FROM gd0 WINDOW w AS (PARTITION BY gate, item_id)"
-    steps["gd"] = "SELECT gate, item_id, doc_id, added, CASE WHEN item_id IN (SELECT item_id FROM gsrc) THEN 0.7::DOUBLE * scaled + 0.3::DOUBLE * (1 - share) END AS distance FROM gd1"
+    steps["gd1"] = "SELECT *, CASE WHEN raw IS NULL THEN 0.8::DOUBLE WHEN max(raw) OVER w > min(raw) OVER w THEN round((raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w), 9) ELSE 0.0::DOUBLE END AS scaled, CASE WHEN max(ppr) OVER w > 0 THEN round(ppr / max(ppr) OVER w, 9) ELSE 0.0::DOUBLE END AS share FROM gd0 WINDOW w AS (PARTITION BY gate, item_id)"
+    steps["gd"] = "SELECT gate, item_id, doc_id, added, CASE WHEN item_id IN (SELECT item_id FROM gsrc) THEN round(0.7::DOUBLE * scaled + 0.3::DOUBLE * (1 - share), 9) END AS distance FROM gd1"
     steps["gcand"] = "SELECT gd.gate, gd.added, gd.item_id, gd.doc_id, q.text AS query, d.text, gsem.sem AS semantic_score, gd.distance, q.tok AS qtok, d.tok AS dtok FROM gd JOIN gsem USING (item_id, doc_id) JOIN qt q USING (item_id) JOIN dt d USING (doc_id)"
     return steps
 
@@ -81,7 +81,7 @@ def questions() -> dict[str, str]:
         "gsw": f"SELECT gc.item_id, gc.concept, avg(coalesce(x, 0.0::DOUBLE)) AS w FROM gc LEFT JOIN de ON de.doc_id = gc.doc_id AND de.b = {hashed} GROUP BY ALL",
         "gce": "SELECT item_id, 'd' || doc_id AS a, concept AS b, round(CASE WHEN w > 0.3::DOUBLE THEN 0.3::DOUBLE * (1 - 0.5::DOUBLE * w) ELSE 0.3::DOUBLE END, 6) AS weight FROM gc JOIN gsw USING (item_id, concept)",
         "gsh": "SELECT x.item_id, x.doc_id AS a, y.doc_id AS b, round(greatest(0.1::DOUBLE, 1.0::DOUBLE / (1 + count(*))), 6) AS weight FROM gc x JOIN gc y ON x.item_id = y.item_id AND x.concept = y.concept AND x.doc_id < y.doc_id GROUP BY ALL HAVING count(*) >= 2",
-        "gsim": "SELECT x.item_id, x.doc_id AS a, y.doc_id AS b, round(sum(dx.x * dy.x), 6) AS s FROM gm x JOIN gm y ON x.item_id = y.item_id AND x.doc_id < y.doc_id JOIN de dx ON dx.doc_id = x.doc_id JOIN de dy ON dy.doc_id = y.doc_id AND dy.b = dx.b GROUP BY ALL",
+        "gsim": "SELECT x.item_id, x.doc_id AS a, y.doc_id AS b, round(sum(dx.x * dy.x) / (1.00000001::DOUBLE * 1.00000001::DOUBLE), 6) AS s FROM gm x JOIN gm y ON x.item_id = y.item_id AND x.doc_id < y.doc_id JOIN de dx ON dx.doc_id = x.doc_id JOIN de dy ON dy.doc_id = y.doc_id AND dy.b = dx.b GROUP BY ALL",
         "gdd": "SELECT item_id, a, b, min(weight) AS weight FROM (SELECT * FROM gsh UNION ALL SELECT item_id, a, b, round(greatest(0.0::DOUBLE, 1 - s), 6) FROM gsim WHERE s > 0.65::DOUBLE) GROUP BY ALL",
         "gedge": "SELECT * FROM gce UNION ALL SELECT item_id, b, a, weight FROM gce UNION ALL SELECT item_id, 'd' || a, 'd' || b, weight FROM gdd UNION ALL SELECT item_id, 'd' || b, 'd' || a, weight FROM gdd",
         "gcut": "SELECT item_id, round(quantile_cont(weight, 0.55::DOUBLE), 9) AS cut FROM gedge GROUP BY item_id",
@@ -113,7 +113,7 @@ STEPS: dict[str, str] = {
     # hashed embeddings
     "de": "SELECT doc_id, b, c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)) AS x FROM (SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS b, sum(tf) AS c FROM tf GROUP BY ALL)",
     "qe": "SELECT item_id, b, c / sqrt(sum(c * c) OVER (PARTITION BY item_id)) AS x FROM (SELECT item_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS b, count(*)::DOUBLE AS c FROM (SELECT item_id, unnest(tok) AS term FROM qt) GROUP BY ALL)",
-    "vsim": "SELECT item_id, doc_id, round(sum(qe.x * de.x), 6) AS similarity_score FROM qe JOIN de USING (b) GROUP BY ALL",
+    "vsim": "SELECT item_id, doc_id, round(sum(qe.x * de.x) / (1.00000001::DOUBLE * 1.00000001::DOUBLE), 6) AS similarity_score FROM qe JOIN de USING (b) GROUP BY ALL",
     "vt": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity_score DESC, doc_id) AS rank FROM vsim) WHERE rank <= 20",
     # fusion
     "lists": "SELECT item_id, doc_id, 0 AS list, rank, 0.6::DOUBLE / (30 + rank) AS s FROM vt UNION ALL SELECT item_id, doc_id, 1, rank, 0.4::DOUBLE / (30 + rank) FROM bm",
