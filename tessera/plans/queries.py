@@ -13,7 +13,7 @@ from tessera.config import Settings, modes
 from tessera.functions import stem
 from tessera.functions import text as X
 from tessera.functions import vectors as V
-from tessera.operators import chunking, corpusgraph, evaluate, fusion, graph, keywords, lexical, metrics, question, scoring, state, turns, vectors
+from tessera.operators import catalogue, chunking, corpusgraph, evaluate, fusion, graph, keywords, lexical, metrics, question, scoring, state, turns, vectors
 from tessera.plans import sql as S
 from tessera.streaming import rollups
 
@@ -1109,3 +1109,56 @@ def stream_latency(spark, d):
 def stream_sessions(spark, d):
     """All sessions of the table in a batch, where no watermark drops or holds back rows."""
     return rollups.sessions(spark.read.schema(rollups.EVENTS).parquet(f"{d}/events.parquet"))
+
+
+# ---- all figures of a run, and modes against each other
+
+
+def _measured() -> dict[str, str]:
+    """Fields of a turn from an event, as text that both engines read: shares by remainders, amounts by its value."""
+    made = {}
+    for i, f in enumerate(catalogue.NUMBERS):
+        p = 7 + 2 * i
+        made[f] = f"(event_id % {p}) / CAST({p} AS DOUBLE)" if f in catalogue.SHARES or f in ("text_recall", "retrieval_semantic_similarity", "answer_correct") else f"value * {i % 5 + 1} / CAST(3 AS DOUBLE)"
+    return made | {f: f"event_id % {5 + 3 * i}" for i, f in enumerate(catalogue.COUNTS)}
+
+
+MEASURED = _measured()
+RUN, MODE = {"run": "user_id"}, {"mode": "CASE event_id % 4 WHEN 0 THEN 'baseline' WHEN 1 THEN 'hybrid_rag' WHEN 2 THEN 'graph_nofilter' ELSE 'full' END"}
+
+
+def _report_steps(key: str, value: str, failed: str) -> dict[str, str]:
+    n = lambda x, d: x if d is None else f"round({x}, {d})"
+    turn = ", ".join([f"{n(f'coalesce(({MEASURED[f]})::DOUBLE, 0.0::DOUBLE)', d)} AS {f}" for f, d in catalogue.NUMBERS.items()] + [f"coalesce({MEASURED[f]}, 0) AS {f}" for f in catalogue.COUNTS])
+    how = {"avg": "avg(({})::DECIMAL(24,6))", "max": "max({})", "min": "min({})", "sum": "sum(({})::DECIMAL(24,6))", "last": "max_by({}, iteration)"}
+    # Means have ten digits in the other engine before they are cut to fewer.
+    figure = lambda r: n(f"round(coalesce(({how[r.how].format(r.field)} FILTER (WHERE status = 'ok'{f' AND ({catalogue.ONLY[r.only]})' if r.only else ''}))::DOUBLE, 0.0::DOUBLE), 10)", r.digits) + f" AS {r.key}"
+    return {
+        "rt0": f"SELECT ({value})::VARCHAR AS {key}, row_number() OVER (PARTITION BY {value} ORDER BY event_id) AS iteration, CASE WHEN {failed} THEN 'failed' ELSE 'ok' END AS status, event_type AS error, {turn} FROM events",
+        "rt": f"SELECT *, sum((status = 'ok')::INT) OVER (PARTITION BY {key} ORDER BY iteration) AS _place, sum((status = 'ok')::INT) OVER (PARTITION BY {key}) AS _ok FROM rt0",
+        "rs0": f"SELECT {key}, CASE WHEN count(*) FILTER (WHERE status = 'ok') = 0 THEN 'failed' WHEN count(*) FILTER (WHERE status = 'failed') > 0 THEN 'partial_failed' ELSE 'completed' END AS status, count(*) AS attempted_turns, count(*) FILTER (WHERE status = 'ok') AS total_turns, count(*) FILTER (WHERE status = 'failed') AS failed_turns, coalesce(min_by(error, iteration) FILTER (WHERE status = 'failed'), '') AS first_error, {', '.join(figure(r) for r in catalogue.SUMMARY)} FROM rt GROUP BY {key}",
+        "rs": "SELECT *, " + ", ".join(f"round(100 * {k}, 2) AS {k}_pct" for k in catalogue.SUMMARY_SHARES) + ", " + ", ".join(
+            f"{t}::DOUBLE AS {m}_target, {k} AS {m}_achieved, CASE WHEN {k} > 0 THEN round(({f'{k} / {t}::DOUBLE' if more else f'{t}::DOUBLE / {k}'}) * 100, 1) ELSE 0.0::DOUBLE END AS {m}_efficiency" for m, t, k, more in catalogue.TARGETS) + " FROM rs0",
+        "rf": " UNION ALL ".join(f"SELECT {key}, status = 'completed' AND total_turns > 0 AS ready, '{m}' AS metric, {w} AS way, {k}::DOUBLE AS v FROM rs0" for m, k, w in catalogue.COMPARED),
+    }
+
+
+REPORT, COMPARE = _report_steps("run", "user_id", "event_id % 11 = 0"), _report_steps("mode", MODE["mode"], "event_id % 44 = 1")
+
+
+def turns_of(spark, d, parts: dict[str, str], failed: str):
+    raw = events(spark, d).select("event_id", *[F.expr(v).cast("string").alias(k) for k, v in parts.items()], F.expr(f"CASE WHEN {failed} THEN 'failed' ELSE 'ok' END").alias("status"), F.col("event_type").alias("error"), *[F.expr(x).alias(f) for f, x in MEASURED.items()])
+    return catalogue.turn_rows(raw, list(parts), ["event_id"])
+
+
+@query("SELECT * FROM rs", REPORT)
+def run_report(spark, d):
+    """All figures of every run, a user's events being its turns."""
+    return catalogue.summarize(turns_of(spark, d, RUN, "event_id % 11 = 0"), ["run"]).drop("coverage_progression")
+
+
+@query("SELECT a.mode, a.metric, CASE WHEN ok THEN 'completed' ELSE 'incomplete' END AS state, CASE WHEN ok THEN round(b.v, 4) END AS base, CASE WHEN ok THEN round(a.v, 4) END AS other, CASE WHEN ok AND a.way <> 0 THEN round(CASE WHEN b.v = 0 THEN a.v ELSE round(a.v - b.v, 4) END * a.way, 4) END AS delta, CASE WHEN ok AND a.way <> 0 THEN round(CASE WHEN b.v = 0 THEN 0.0::DOUBLE ELSE round((a.v - b.v) * a.way / abs(b.v) * 100, 2) END, 4) END AS improvement_pct FROM (SELECT f.*, ready AND (SELECT count(*) = 2 FROM rs0 WHERE mode IN ('baseline', 'full') AND status = 'completed' AND total_turns > 0) AS ok FROM rf f) a JOIN rf b ON b.mode = 'baseline' AND a.metric = b.metric WHERE a.mode <> 'baseline'", COMPARE)
+def mode_comparison(spark, d):
+    """Every mode against the baseline in 28 figures; the mode in which turns failed is incomplete."""
+    return catalogue.compare_modes(catalogue.summarize(turns_of(spark, d, MODE, "event_id % 44 = 1"), ["mode"]), "baseline", "full")
+
