@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.common import store, table
+from tessera.common import shared_dir, store, table
 from tessera.config import Settings, modes
 from tessera.functions import stem
 from tessera.functions import text as X
 from tessera.functions import vectors as V
-from tessera.operators import catalogue, chunking, corpusgraph, evaluate, fusion, graph, keywords, lexical, metrics, question, scoring, state, turns, vectors
+from tessera.operators import catalogue, chunking, corpusgraph, evaluate, extend, fusion, graph, keywords, lexical, metrics, question, scoring, state, turns, vectors
 from tessera.plans import sql as S
-from tessera.streaming import rollups
+from tessera.streaming import metriclog, rollups
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1111,6 +1112,44 @@ def stream_sessions(spark, d):
     return rollups.sessions(spark.read.schema(rollups.EVENTS).parquet(f"{d}/events.parquet"))
 
 
+@query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(avg(value::DECIMAL(24,6)), 4) AS avg_value, round(max(value), 4) AS max_value FROM events GROUP BY ALL")
+def stream_rollup(spark, d):
+    """The log of all events as a stream in two runs: the second goes on from the checkpoint of the first with what has come meanwhile, half of it older."""
+    home = f"{shared_dir(spark)}/tessera/stream-{uuid.uuid4().hex}"
+    for part in (1, 0):
+        metriclog.append_log(spark.read.schema(rollups.EVENTS).parquet(f"{d}/events.parquet").where(F.col("event_id") % 2 == part), f"{home}/log")
+        metriclog.run_rollup(spark, f"{home}/log", f"{home}/table", f"{home}/checkpoint", late="36500 days")
+    return metriclog.read_rollup(spark, f"{home}/table")
+
+
+# ---- extensions
+
+PIECES = {
+    "xl": "SELECT doc_id, b, count(*)::DOUBLE AS c FROM (SELECT doc_id, ('0x' || substr(md5(substr(w, i, 3)), 1, 8))::BIGINT % 64 AS b FROM (SELECT doc_id, w, unnest(range(1, greatest(length(w) - 2, 1) + 1)) AS i FROM (SELECT doc_id, unnest(tok) AS w FROM dt WHERE len(tok) <= 40))) GROUP BY ALL",
+    "xlv": "SELECT doc_id, b, c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)) AS x FROM xl",
+    "xv": "SELECT doc_id, 'letters' AS by_, b, x FROM xlv UNION ALL SELECT doc_id, 'hashed', b, x FROM de JOIN dt USING (doc_id) WHERE len(tok) > 40",
+}
+
+
+@query("SELECT doc_id, any_value(by_) AS made_by, count(b) AS nonzero, round(max(x), 4) AS largest FROM dt LEFT JOIN xv USING (doc_id) GROUP BY doc_id", PIECES)
+def embedder_chain(spark, d):
+    """Vectors of texts by a chain: an embedder that cannot be loaded, one for texts of up to 40 words, and one for the rest; texts without words get none."""
+
+    def broken():
+        raise RuntimeError("no model here")
+
+    chain = [extend.Extension("broken", broken, "array<double>"), extend.Extension("letters", extend.letters(40), "array<double>"), "hashed"]
+    found = extend.answer(docs(spark, d).select("doc_id", "text"), "embedder", chain, ["text"], "embedding")
+    return found.select("doc_id", F.col("embedding_by").alias("made_by"), F.size(F.filter(F.coalesce("embedding", F.array().cast("array<double>")), lambda x: x != 0)).alias("nonzero"), F.array_max("embedding").alias("largest"))
+
+
+@query(f"SELECT item_id, doc_id, CASE WHEN hit THEN 'contains' ELSE 'token_f1' END AS scored_by, round(CASE WHEN hit THEN 1.0::DOUBLE ELSE {S.f1('qtok', 'dtok')} END, 4) AS score FROM (SELECT bm.item_id, bm.doc_id, q.tok AS qtok, d.tok AS dtok, len(q.tok) > 0 AND contains(' ' || array_to_string(d.tok, ' ') || ' ', ' ' || array_to_string(q.tok, ' ') || ' ') AS hit FROM bm JOIN qt q USING (item_id) JOIN dt d USING (doc_id) WHERE rank <= 5)")
+def scorer_chain(spark, d):
+    """Scores of the five best documents of every question by a chain of two scorers."""
+    pairs = lexical_list(spark, d, 5).select("item_id", "doc_id").join(items(spark, d).withColumnRenamed("text", "query"), "item_id").join(docs(spark, d).select("doc_id", "text"), "doc_id")
+    return extend.answer(pairs, "scorer", ["contains", "token_f1"], ["query", "text"], "score").select("item_id", "doc_id", F.col("score_by").alias("scored_by"), "score")
+
+
 # ---- all figures of a run, and modes against each other
 
 
