@@ -87,13 +87,33 @@ PRESETS = {
 }
 
 
+#: Keys of nested settings files, by section, and the settings that they stand for.
+SECTIONS = {
+    "rag": {"top_k": "n_chunks"}, "chunking": {"max_chunk_size": "max_chunk_words"}, "graph": {"alpha": "alpha", "beta": "beta", "edge_top_p": "edge_top_p"},
+    "reranker": {"cross_encoder_top_n": "rerank_n", "cross_encoder_weight": "rerank_weight"}, "vllm": {"max_model_len": "context_window"},
+    "retrieval": {
+        "initial_top_k_multiplier": "pool_multiplier", "min_similarity_score": "min_similarity", "bm25_weight": "bm25_weight", "rrf_k": "rrf_k", "semantic_anchor_threshold": "anchor_threshold", "min_return_chunks": "min_return",
+        "low_semantic_warning_threshold": "warn_semantic",
+    },
+}
+
+
+def flat(found: dict) -> dict:
+    """Settings by name: those of sections under the names they have here, and what is named so already."""
+    made = {k: v for k, v in found.items() if not isinstance(v, dict)}
+    for section, names in SECTIONS.items():
+        inner = found.get(section)
+        made |= {names[k]: v for k, v in inner.items() if k in names and v is not None} if isinstance(inner, dict) else {}
+    return made
+
+
 def load_settings(path: str | None = None, variable: str = "TESSERA_CONFIG_PATH") -> Settings:
-    """Settings from a JSON object of field names; an unset, missing or malformed file means the defaults, unknown keys are ignored."""
+    """Settings from a JSON object of field names, or of sections; an unset, missing or malformed file means the defaults, unknown keys are ignored."""
     path = path or os.environ.get(variable)
     try:
         with open(path) as f:
-            found = json.load(f)
+            found = flat(json.load(f))
         known = {f.name for f in fields(Settings)}
         return replace(Settings(), **{k: tuple(v) if isinstance(v, list) else v for k, v in found.items() if k in known})
-    except (OSError, TypeError, ValueError):
+    except (AttributeError, OSError, TypeError, ValueError):
         return Settings()

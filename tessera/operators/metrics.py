@@ -76,6 +76,35 @@ def sample_sums(samples: DataFrame) -> DataFrame:
     return samples.groupBy("name").agg(F.sum("value").alias("value"))
 
 
+#: The counters behind each mean time of a snapshot.
+TIMES = {"e2e_latency": "e2e_request_latency", "ttft": "time_to_first_token", "inter_token_latency": "inter_token_latency", "prefill_time": "request_prefill_time", "decode_time": "request_decode_time", "queue_time": "request_queue_time"}
+COUNTERS = {"prefix_cache_queries_total": "prefix_cache_queries", "prefix_cache_hits_total": "prefix_cache_hits", **{n: n for n in ("gpu_cache_usage_perc", "prompt_tokens_total", "generation_tokens_total", "num_requests_running", "num_requests_waiting", "num_requests_swapped", "num_preemptions_total", "request_success_total")}}
+
+
+def snapshot(samples: DataFrame, part: list[str]) -> DataFrame:
+    """One row a part of samples(part, name, labels, value): counters summed over labels, mean times from sums and counts, the hit ratio of the prefix cache, and the labels of the cache's settings.
+
+    What was not sampled is null, a mean over a count of 0 too.
+    """
+    of = lambda name: F.sum(F.when(F.col("name") == name, F.col("value")))
+    over = lambda a, b: F.when(b != 0, a / b)
+    config = F.max_by("labels", F.when(F.col("name") == "cache_config_info", F.col("value")))
+    return samples.groupBy(*part).agg(
+        F.lit(True).alias("available"), F.coalesce(of("kv_cache_usage_perc"), of("gpu_cache_usage_perc")).alias("kv_cache_usage_perc"), *[of(n).alias(c) for c, n in COUNTERS.items()],
+        over(of("prefix_cache_hits"), of("prefix_cache_queries")).alias("prefix_cache_hit_rate"), *[over(of(f"{n}_seconds_sum"), of(f"{n}_seconds_count")).alias(f"{c}_avg_s") for c, n in TIMES.items()], config.alias("cache_config"),
+    )
+
+
+def performance_summary(turns: DataFrame, part: list[str], order: str = "iteration") -> DataFrame:
+    """latency_summary() of latency_ms with mean and peak memory, mean and last hit rate, and swaps in all and a turn."""
+    own = latency_summary(turns, part, "latency_ms", order)
+    more = turns.groupBy(*part).agg(
+        *[x for c in ("vram_allocated_gb", "vram_reserved_gb") for x in (exact_avg(c).alias(f"avg_{c}"), F.max(c).alias(f"peak_{c}"))], exact_avg("cache_hit_rate").alias("avg_hit_rate"), F.max_by("cache_hit_rate", order).alias("final_hit_rate"),
+        F.sum("swap_operations").alias("swaps"), (F.sum("swap_operations") / F.count("*")).alias("swaps_per_turn"),
+    )
+    return _null_safe(own, more, part)
+
+
 def pair_events(events: DataFrame, key: list[str], order: str = "ts") -> DataFrame:
     """Each end event with the first start of its key; an end without start stays as end_no_start."""
     starts = events.where("event = 'start'").groupBy(*key).agg(F.min(F.struct(order, "value")).alias("_start"))

@@ -16,6 +16,7 @@ from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.operators import catalogue, chunking, corpusgraph, evaluate, extend, fusion, graph, keywords, lexical, metrics, question, scoring, state, turns, vectors
 from tessera.plans import sql as S
+from tessera.sources import sinks
 from tessera.streaming import metriclog, rollups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1196,6 +1197,28 @@ def run_report(spark, d):
     return catalogue.summarize(turns_of(spark, d, RUN, "event_id % 11 = 0"), ["run"]).drop("coverage_progression")
 
 
+@query("SELECT run, count(*) AS n, round(avg(latency_ms::DECIMAL(24,6)), 4) AS avg_value, round(max(latency_ms), 4) AS max_value, round(min(latency_ms), 4) AS min_value, round(list_sort(list(latency_ms))[floor(0.95::DOUBLE * count(*))::BIGINT + 1], 4) AS p95_value, round(coalesce(avg(latency_ms::DECIMAL(24,6)) FILTER (WHERE iteration > 1), avg(latency_ms::DECIMAL(24,6))), 4) AS avg_without_first, round(avg(vram_allocated_gb::DECIMAL(24,6)), 4) AS avg_vram_allocated_gb, round(max(vram_allocated_gb), 4) AS peak_vram_allocated_gb, round(avg(vram_reserved_gb::DECIMAL(24,6)), 4) AS avg_vram_reserved_gb, round(max(vram_reserved_gb), 4) AS peak_vram_reserved_gb, round(avg(cache_hit_rate::DECIMAL(24,6)), 4) AS avg_hit_rate, round(max_by(cache_hit_rate, iteration), 4) AS final_hit_rate, sum(swap_operations)::BIGINT AS swaps, round(sum(swap_operations)::DOUBLE / count(*), 4) AS swaps_per_turn FROM rt GROUP BY run", REPORT)
+def performance_report(spark, d):
+    return metrics.performance_summary(turns_of(spark, d, RUN, "event_id % 11 = 0"), ["run"])
+
+
+@query("SELECT mode AS \"Mode\", " + ", ".join(f'round({k}::DOUBLE, 4) AS \"{c}\"' for c, k in sinks.MODE_COLUMNS.items()) + " FROM rs0", COMPARE)
+def mode_table(spark, d):
+    return sinks.mode_table(catalogue.summarize(turns_of(spark, d, MODE, "event_id % 44 = 1"), ["mode"]))
+
+
+@query("SELECT run, series, iteration, round(value, 4) AS value FROM (" + " UNION ALL ".join(f"SELECT run, '{n}' AS series, iteration, {c}::DOUBLE AS value FROM rt" for n, c in (("coverage", "coverage_ratio"), ("vram", "vram_allocated_gb"), ("latency", "latency_ms"), ("active_chunks", "active_chunks"))) + ")", REPORT)
+def run_series(spark, d):
+    return sinks.series(turns_of(spark, d, RUN, "event_id % 11 = 0"), ["run"])
+
+
+@query("SELECT src, dst, round(weight, 4) AS weight FROM ge WHERE src IN (SELECT node FROM gn) AND dst IN (SELECT node FROM gn)")
+def graph_export_edges(spark, d):
+    """The edges of an export, those whose ends are both in it."""
+    nodes, edges = concept_graph(spark, d)
+    return graph.export(nodes.withColumns({"text": F.lit(None).cast("string"), "word": F.col("node")}), edges)[1].select("src", "dst", "weight")
+
+
 @query("SELECT a.mode, a.metric, CASE WHEN ok THEN 'completed' ELSE 'incomplete' END AS state, CASE WHEN ok THEN round(b.v, 4) END AS base, CASE WHEN ok THEN round(a.v, 4) END AS other, CASE WHEN ok AND a.way <> 0 THEN round(CASE WHEN b.v = 0 THEN a.v ELSE round(a.v - b.v, 4) END * a.way, 4) END AS delta, CASE WHEN ok AND a.way <> 0 THEN round(CASE WHEN b.v = 0 THEN 0.0::DOUBLE ELSE round((a.v - b.v) * a.way / abs(b.v) * 100, 2) END, 4) END AS improvement_pct FROM (SELECT f.*, ready AND (SELECT count(*) = 2 FROM rs0 WHERE mode IN ('baseline', 'full') AND status = 'completed' AND total_turns > 0) AS ok FROM rf f) a JOIN rf b ON b.mode = 'baseline' AND a.metric = b.metric WHERE a.mode <> 'baseline'", COMPARE)
 def mode_comparison(spark, d):
     """Every mode against the baseline in 28 figures; the mode in which turns failed is incomplete."""
