@@ -23,9 +23,21 @@ def document_frequencies(docs: DataFrame, text: Column, part: list[str]) -> Data
     return docs.select(*part, F.explode(F.array_distinct(X.tokens(text))).alias("term")).groupBy(*part, "term").agg(F.count("*").cast("double").alias("df"))
 
 
+def corpus_counts(docs: DataFrame, text: Column, part: list[str]) -> DataFrame:
+    """(part, term, df, total) in one pass over the texts: of every term its documents, and under a null term all documents with the tokens of all."""
+    own = F.struct(F.lit(None).cast("string").alias("term"), F.size("_t").alias("n"))
+    each = F.concat(F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"))), F.array(own))
+    rows = docs.select(*part, X.tokens(text).alias("_t")).select(*part, F.explode(each).alias("x"))
+    return rows.groupBy(*part, F.col("x.term").alias("term")).agg(F.count("*").cast("double").alias("df"), F.sum("x.n").cast("double").alias("total"))
+
+
 def inverse_frequencies(df: DataFrame, lengths: DataFrame, part: list[str]) -> DataFrame:
     """(part, term, idf, avgdl): negative values become EPSILON times the mean over all terms of the part."""
-    size = lengths.groupBy(*part).agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    return _inverse(df, lengths.groupBy(*part).agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl")), part)
+
+
+def _inverse(df: DataFrame, size: DataFrame, part: list[str]) -> DataFrame:
+    """size(part, n, avgdl) has a row a part."""
     raw = _with(df, size, part).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*part).agg(F.avg("raw").alias("mean"))
     return _with(raw, mean, part).select(*part, "term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
@@ -40,8 +52,9 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "item_id",
     """(part, query_id, id, bm25_score, rank): the k best documents of each query; repeated query words count again; scores of 0 go after the cut."""
     part = part or []
     base = docs.select(*part, id_col, X.tokens(F.col(text_col)).alias("_t"))
-    counted = store(document_frequencies(docs, F.col(text_col), part), "bm25-df")
-    idf = inverse_frequencies(counted, base.select(*part, F.size("_t").cast("double").alias("dl")), part)
+    counted = store(corpus_counts(docs, F.col(text_col), part), "bm25-df")
+    size = counted.where("term IS NULL").select(*part, F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
+    idf = _inverse(counted.where("term IS NOT NULL").drop("total"), size, part)
     asked = queries.select(*part, query_id, F.explode(X.tokens(F.col(query_text))).alias("term")).groupBy(*part, query_id, "term").agg(F.count("*").alias("times"))
     weighed = store(asked.join(idf, [*part, "term"]), "bm25-query")
     # Words that no query has go before anything is counted or shuffled; Spark broadcasts the query words if they are few.

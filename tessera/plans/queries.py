@@ -66,9 +66,16 @@ def lexical_list(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
     return lexical.bm25(items(spark, d), docs(spark, d), k)
 
 
-def vector_list(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
+def doc_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all documents, stored: queries that ask for them more than once make them once."""
+    return store(vectors.hashed_embedding(docs(spark, d), "doc_id", F.col("text")), "doc-vectors")
+
+
+def vector_list(spark: SparkSession, d: str, k: int = 20, known: DataFrame | None = None) -> DataFrame:
+    """known: doc_vectors() that are there already."""
     q = vectors.hashed_embedding(items(spark, d), "item_id", F.col("text"))
-    return vectors.exact_topk(q, vectors.hashed_embedding(docs(spark, d), "doc_id", F.col("text")), k, "item_id", "embedding", "doc_id", "embedding")
+    known = vectors.hashed_embedding(docs(spark, d), "doc_id", F.col("text")) if known is None else known
+    return vectors.exact_topk(q, known, k, "item_id", "embedding", "doc_id", "embedding")
 
 
 # ---- text and ingest
@@ -236,16 +243,16 @@ def backfill(spark, d):
     return fusion.backfill(found, found.where("doc_id % 3 = 0"), 8, ITEM, "doc_id").select("item_id", "doc_id", "is_used", "rank", "place")
 
 
-def hybrid_rows(spark, d):
+def hybrid_rows(spark, d, known: DataFrame | None = None):
     """Fused candidates with their similarity, null for those that only the lexical list has; each list is made once."""
-    near = store(vector_list(spark, d), "vector-list")
+    near = store(vector_list(spark, d, known=known), "vector-list")
     fused = fusion.hybrid(near, lexical_list(spark, d), SETTINGS.bm25_weight, SETTINGS.rrf_k, ITEM, "doc_id", 20)
     return fused.join(near.select("item_id", "doc_id", "similarity_score"), ["item_id", "doc_id"], "left")
 
 
-def pool_rows(spark, d):
+def pool_rows(spark, d, known: DataFrame | None = None):
     """Fused candidates with texts and similarity."""
-    found = store(hybrid_rows(spark, d).withColumnRenamed("rank", "pool_rank"), "pool")
+    found = store(hybrid_rows(spark, d, known).withColumnRenamed("rank", "pool_rank"), "pool")
     return found.join(items(spark, d).withColumnRenamed("text", "query"), "item_id").join(docs(spark, d).select("doc_id", "text"), "doc_id")
 
 
@@ -254,19 +261,20 @@ def question_words(spark, d):
     return items(spark, d).select("item_id", F.explode(X.tokens(F.col("text"))).alias("word")).where((F.length("word") > 2) & ~F.col("word").isin(*X.STOP_WORDS)).distinct()
 
 
-def candidates(spark, d, pool: DataFrame | None = None):
+def candidates(spark, d, pool: DataFrame | None = None, known: DataFrame | None = None):
     """The pool of each question and the neighbours that its graph adds, with distances from the question's concepts; four items in a row are the turns of a session.
 
     Rows come twice, with and without the gate on neighbours. Only documents of some pool get concepts and vectors.
     """
-    pool = pool_rows(spark, d) if pool is None else pool
+    known = doc_vectors(spark, d) if known is None else known
+    pool = store(hybrid_rows(spark, d, known), "pool") if pool is None else pool
     pool = pool.select("item_id", "doc_id", "similarity_score")
     shown = docs(spark, d).join(pool.select("doc_id").distinct(), "doc_id", "left_semi")
     asked = vectors.hashed_embedding(items(spark, d), "item_id", F.col("text")).withColumnRenamed("embedding", "q")
     words = question_words(spark, d).groupBy("item_id").agg(F.collect_list("word").alias("words"))
     turns = items(spark, d).select("item_id", F.floor(F.col("item_id") / 4).alias("session"), (F.col("item_id") % 4).alias("turn")).join(asked, "item_id").join(words, "item_id", "left")
     turns = turns.withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
-    found = question.question_distances(pool, turns, graph.concepts(shown), vectors.hashed_embedding(shown, "doc_id", F.col("text")), SETTINGS)
+    found = question.question_distances(pool, turns, graph.concepts(shown), known.join(pool.select("doc_id").distinct(), "doc_id", "left_semi"), SETTINGS)
     return store(found.join(items(spark, d).withColumnRenamed("text", "query"), "item_id").join(docs(spark, d).select("doc_id", "text"), "doc_id"), "candidates")
 
 
@@ -877,8 +885,9 @@ ABLATION["alist"] = ABLATION["alist"].format(
 
 @query("SELECT mode, 'recall' AS metric, round(avg(recall), 4) AS value FROM arec GROUP BY mode UNION ALL SELECT mode, 'mrr', round(avg(mrr), 4) FROM arec GROUP BY mode UNION ALL SELECT mode, 'coverage', round(count(DISTINCT doc_id)::DOUBLE / (SELECT count(*) FROM documents), 4) FROM alist WHERE rank <= 5 GROUP BY mode", ABLATION)
 def ablation(spark, d):
-    pool = store(pool_rows(spark, d), "pool-rows")
-    rows = candidates(spark, d, pool)
+    known = doc_vectors(spark, d)
+    pool = store(pool_rows(spark, d, known), "pool-rows")
+    rows = candidates(spark, d, pool, known)
     lists = [retrieve(spark, d, m, pool=pool, rows=rows).select(F.lit(m).alias("mode"), "item_id", "doc_id", "rank") for m in modes(SETTINGS)]
     every = lists[0]
     for x in lists[1:]:
@@ -930,8 +939,8 @@ def turn_rows(spark, d):
 
 def turn_lists(spark, d):
     """Candidates of every question to twice the depth, with all that the rerank chain asks of a pair; texts go no further."""
-    asked, vectors_of = vectors.hashed_embedding(items(spark, d), "item_id", F.col("text")).withColumnRenamed("embedding", "q"), store(vectors.hashed_embedding(docs(spark, d), "doc_id", F.col("text")), "doc-vectors")
-    near = store(vectors.exact_topk(asked, vectors_of, 2 * TURN_TOP, "item_id", "q", "doc_id", "embedding"), "vector-list")
+    asked, vectors_of = vectors.hashed_embedding(items(spark, d), "item_id", F.col("text")).withColumnRenamed("embedding", "q"), doc_vectors(spark, d)
+    near = store(vector_list(spark, d, 2 * TURN_TOP, vectors_of), "vector-list")
     lists = store(turns.ranked_lists(near, lexical_list(spark, d, 2 * TURN_TOP), SETTINGS.bm25_weight, SETTINGS.rrf_k, "item_id", "doc_id", TURN_TOP), "turn-lists")
     pairs = lists.join(asked, "item_id").join(vectors_of, "doc_id").withColumn("semantic_score", F.round(V.cosine(F.col("q"), F.col("embedding")), 6)).drop("q", "embedding")
     pairs = pairs.join(items(spark, d).withColumnRenamed("text", "query"), "item_id").join(docs(spark, d).select("doc_id", "text"), "doc_id")
@@ -965,7 +974,7 @@ def turn_stats(spark, d):
 def graph_choice(spark, d):
     """The rerank chain with the graph of each question, which has the pools of its session so far; neighbours that the graph adds have no place in the lists."""
     pairs = turn_lists(spark, d)
-    vectors_of, found = store(vectors.hashed_embedding(docs(spark, d), "doc_id", F.col("text")), "doc-vectors"), store(graph.concepts(docs(spark, d)), "doc-concepts")
+    vectors_of, found = doc_vectors(spark, d), store(graph.concepts(docs(spark, d)), "doc-concepts")
     asked = vectors.hashed_embedding(items(spark, d), "item_id", F.col("text")).withColumnRenamed("embedding", "q")
     words = question_words(spark, d).groupBy("item_id").agg(F.collect_list("word").alias("words"))
     every = store(turn_rows(spark, d).join(asked, "item_id").join(words, "item_id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>"))), "turn-questions")
