@@ -123,6 +123,18 @@ def rerank(rows: DataFrame, part: list[str], settings: Settings, mode: ModeSpec,
     return pad(chosen, order, part, id_col, settings.min_return)
 
 
+def with_fallbacks(pool: DataFrame, rows: DataFrame, part: list[str], settings: Settings, mode: ModeSpec, top_k: int, rank: str = "rank", id_col: str = "doc_id") -> DataFrame:
+    """(part, id, rank, final_score, path): rerank() of rows, and what is shown of the questions for which that gives nothing.
+
+    path is graph where distances had weight, semantic where they had none, and raw where no row of a question has a semantic score: these keep the first top_k of pool(part, id, rank) without scores.
+    """
+    good = rows.withColumn("_any", F.max("semantic_score").over(_over(part))).where(F.col("_any").isNotNull()).drop("_any").withColumn("semantic_score", F.coalesce("semantic_score", F.lit(0.0)))
+    done = rerank(good, part, settings, mode, top_k, id_col=id_col)
+    done = done.select(*part, id_col, "rank", "final_score", F.when(F.max("beta").over(_over(part)) > 0, "graph").otherwise("semantic").alias("path"))
+    left = pool.where(F.col(rank) <= top_k).join(good.select(*part).distinct(), part, "left_anti")
+    return done.unionByName(left.select(*part, id_col, F.col(rank).alias("rank"), F.lit(None).cast("double").alias("final_score"), F.lit("raw").alias("path")))
+
+
 def score_rows(rows: DataFrame, part: list[str], id_col: str, order: str) -> DataFrame:
     """(part, id, rank from 1, five scores to four digits) in the given order, ties by id; what is missing is 0, a missing cross-encoder score -1, a missing final score the hybrid one."""
     score = lambda c, default: F.coalesce(F.col(c).cast("double"), default) if c in rows.columns else default

@@ -871,6 +871,15 @@ def retrieve_full(spark, d):
     return retrieve(spark, d, "full", TOP_K)
 
 
+@query("SELECT item_id, doc_id, rank, round(final_score, 4) AS final_score, CASE WHEN beta > 0 THEN 'graph' ELSE 'semantic' END AS path FROM ak WHERE item_id % 5 <> 0 UNION ALL SELECT item_id, doc_id, pool_rank, NULL, 'raw' FROM cand WHERE item_id % 5 = 0 AND pool_rank <= 10")
+def retrieve_fallbacks(spark, d):
+    """The contexts of full mode with the way each came; every fifth question has lost its scores and keeps the order of its pool."""
+    known = doc_vectors(spark, d)
+    pool = store(hybrid_rows(spark, d, known), "pool")
+    rows = candidates(spark, d, pool, known).where("gated").withColumn("semantic_score", F.when(F.col("item_id") % 5 != 0, F.col("semantic_score")))
+    return scoring.with_fallbacks(pool, rows, ITEM, SETTINGS, FULL, TOP_K)
+
+
 ABLATION = {
     "alist": "SELECT 'baseline' AS mode, item_id, doc_id, rank FROM ({}) UNION ALL SELECT 'hybrid_rag', item_id, doc_id, rank FROM ({}) UNION ALL SELECT 'graph_nofilter', item_id, doc_id, rank FROM ({}) UNION ALL SELECT 'full', item_id, doc_id, rank FROM ({})",
     "ahit": "SELECT mode, a.item_id, a.doc_id, a.rank FROM alist a JOIN rel USING (item_id, doc_id) WHERE a.rank <= 5",

@@ -81,3 +81,14 @@ not a sample"""
     assert r.cache_config == {"block_size": "16", "dtype": "auto"} and r.available
     p = {x["mode"]: x for x in metrics.performance_summary(turns, ["mode"]).collect()}["full"]
     assert (p.n, p.avg_value, p.max_value, p.p95_value, p.avg_without_first, p.avg_vram_allocated_gb, p.peak_vram_allocated_gb, p.swaps, p.swaps_per_turn) == (3, 20.0, 30.0, 30.0, 25.0, 2.0, 3.0, 9, 3.0)
+
+
+def test_fallbacks_are_told(spark):
+    """Question 1 has distances, 2 has none, 3 has no scores, 4 has no rows."""
+    from tessera.config import modes
+
+    rows = spark.createDataFrame([(1, 1, "a", "x", 0.9, 1.0), (1, 2, "a", "y", 0.5, 2.0), (2, 1, "a", "x", 0.9, None), (2, 2, "a", "y", None, None), (3, 5, "a", "x", None, 1.0)], "q long, doc_id long, query string, text string, semantic_score double, distance double")
+    pool = spark.createDataFrame([(q, d, d) for q in (1, 2, 3, 4) for d in (1, 2, 3)], "q long, doc_id long, rank int")
+    found = scoring.with_fallbacks(pool, rows, ["q"], Settings(), modes()["full"], 2).collect()
+    got = {(r.q, r["rank"], r.doc_id, r.path, r.final_score is None) for r in found}
+    assert got == {(1, 1, 1, "graph", False), (1, 2, 2, "graph", False), (2, 1, 1, "semantic", False), (2, 2, 2, "semantic", False), (3, 1, 1, "raw", True), (3, 2, 2, "raw", True), (4, 1, 1, "raw", True), (4, 2, 2, "raw", True)}
