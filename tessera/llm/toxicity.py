@@ -39,8 +39,6 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: An exclamation mark before a letter stands for i. Four letters or more with the same sign between each two are one word.
 _BANG, _APART = re.compile(r"!(?=[^\W\d_])"), re.compile(r"(?<![^\W\d_])[^\W\d_]([ .\-_*])[^\W\d_](?:\1[^\W\d_]){2,}(?![^\W\d_])")
 _SIGNS = re.compile(r"[ .\-_*]")
-#: Everyday phrases in which a word that may be an insult is none.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "pathetic fallacy", "clown fish", "soap scum", "pond scum", "sucker punch", "killer whale", "dumb bell", "sick leave", "rat race", "guinea pig", "nut cracker", "scum line")
 PREFIXES = range(4, 13)
 #: A longer piece stands for a shorter one if it has this share of its toxic texts.
 STANDS = 0.9
@@ -157,11 +155,11 @@ def _chosen(found: dict[str, tuple[int, float]]) -> dict[str, float]:
     return kept
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, support: float = 0.015, least_odds: float = 3.5, exceptions: tuple[str, ...] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, support: float = 0.015, least_odds: float = 3.5, exceptions: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """The lexicon of docs with labels(id_col, label).
 
     At most sample_rows labelled ids are used, those with the smallest hashes; they alone are joined with the texts, and repeated texts count once. An
-    entry needs a share `support` of the toxic texts (5 at least) and log-odds of least_odds. Rows without label are left out; of contradicting labels
+    entry needs a share `support` of the toxic texts (5 at least) and log-odds of least_odds. Exception phrases are learned, words and pairs of words with an entry that are at home in clean texts; `exceptions` adds known ones. Rows without label are left out; of contradicting labels
     the larger counts. Without toxic rows the lexicon is empty and all scores are the same low value.
     """
     known = labels.where(F.col("label").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col("label").cast("int")).alias("label"))
@@ -173,8 +171,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, support
     if not toxic:
         rows.unpersist()
         return Lexicon(exceptions=[fold(x) for x in exceptions])
-    kind = "piece string, toxic long, clean long"
-    counts = rows.repartition(12).mapInArrow(_counted(_beginnings), kind).groupBy("piece").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    kind, tasks = "piece string, toxic long, clean long", docs.sparkSession.sparkContext.defaultParallelism
+    counts = rows.repartition(tasks).mapInArrow(_counted(_beginnings), kind).groupBy("piece").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     # At most 1 / support pieces of each toxic text can pass, so what comes to the driver is bounded by the sample.
     found = counts.where((F.col("toxic") >= max(5.0, support * toxic)) & (odds >= least_odds)).select("piece", "toxic", odds.alias("odds")).collect()
@@ -186,10 +184,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, support
             begins = begins | F.col("piece").startswith(w.rstrip())
         clean_home = (F.col("clean") >= 2) & (F.col("clean") * toxic > F.col("toxic") * clean)
         at_home = [r.piece.strip() for r in counts.where(begins & F.col("piece").endswith(" ") & clean_home).select("piece").collect()]
-        phrases = rows.repartition(12).mapInArrow(_counted(_neighbours(weights)), kind).groupBy("piece").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        phrases = rows.repartition(tasks).mapInArrow(_counted(_neighbours(weights)), kind).groupBy("piece").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         at_home += [r.piece for r in phrases.where(clean_home).select("piece").collect()]
     lexicon = Lexicon(weights, sorted({fold(x) for x in exceptions} | set(at_home)))
-    seen = rows.repartition(12).mapInArrow(_features(lexicon), "total double, density double, label int").collect()
+    seen = rows.repartition(tasks).mapInArrow(_features(lexicon), "total double, density double, label int").collect()
     rows.unpersist()
     _fit(lexicon, np.array([[1.0, r.total, r.density] for r in seen]), np.array([r.label for r in seen], dtype=float))
     return lexicon
