@@ -16,6 +16,8 @@ from tessera.llm.common import quoted, store, without
 LEVELS = ["mix_domain", "mix_lang", "mix_source"]
 #: Rows of a leaf that share a block of its order: only the block in which the budget ends is sorted.
 ROWS_PER_BLOCK = 2_000
+#: Ranges of what flooring takes from a budget, from 0 to 1 token.
+RANGES = 4096
 
 
 def count_tokens(text: Column) -> Column:
@@ -92,11 +94,15 @@ def mix(
     total = leaves.agg(F.sum("tokens")).first()[0] or 0.0
     leaves = leaf_budgets(leaves, F.lit(total * fraction), max_epochs).withColumn("_mx_floor", F.floor("budget").cast("long"))
     left = leaves.agg((F.floor(F.sum("budget") + 1e-6) - F.sum("_mx_floor")).alias("_mx_left"))
-    lost = Window.orderBy(F.desc(F.col("budget") - F.col("_mx_floor")), *LEVELS)
-    # One row for each leaf, so a window over all of them is small.
-    leaves = leaves.withColumn("_mx_nth", F.row_number().over(lost)).join(F.broadcast(left), F.lit(True))
+    # The place of each leaf among all, by what flooring took: leaves are counted by ranges of it, and put in order within their range.
+    leaves = leaves.withColumn("_mx_lost", F.col("budget") - F.col("_mx_floor")).withColumn("_mx_range", F.floor(F.col("_mx_lost") * RANGES).cast("int"))
+    ranges = leaves.groupBy("_mx_range").agg(F.count("*").alias("_mx_count"))
+    higher = Window.orderBy(F.desc("_mx_range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_mx_range", F.coalesce(F.sum("_mx_count").over(higher), F.lit(0)).alias("_mx_higher"))
+    lost = Window.partitionBy("_mx_range").orderBy(F.desc("_mx_lost"), *LEVELS)
+    leaves = leaves.withColumn("_mx_nth", F.row_number().over(lost)).join(F.broadcast(ranges), "_mx_range").withColumn("_mx_nth", F.col("_mx_nth") + F.col("_mx_higher")).join(F.broadcast(left), F.lit(True))
     more = (F.col("_mx_nth") <= F.col("_mx_left")) & (F.col("_mx_floor") < F.col("budget"))
-    leaves = store(leaves.withColumn("tokens_budget", F.col("_mx_floor") + more.cast("long")).drop("_mx_floor", "_mx_nth", "_mx_left"), "mix-leaves")
+    leaves = store(leaves.withColumn("tokens_budget", F.col("_mx_floor") + more.cast("long")).drop("_mx_floor", "_mx_nth", "_mx_left", "_mx_lost", "_mx_range", "_mx_higher"), "mix-leaves")
 
     # A leaf's order is that of a seeded hash. Blocks of it are summed first; then only blocks are put in order.
     budget = leaves.select(*LEVELS, "tokens", "rows", F.col("tokens_budget").alias("_mx_budget")).withColumns({
