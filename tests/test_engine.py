@@ -269,6 +269,7 @@ FAST = [
     "question_distance", "retrieve_full", "graph_stats", "node_info", "graph_update", "inverted_index", "concept_weights", "bm25_idf",
     "token_counts", "sentences", "chunks", "chunk_stats", "session_docs", "query_class", "evidence_dedup", "doc_versions", "bm25_topk", "vector_topk_filtered", "similar_pairs", "concepts", "concept_edges",
     "edge_cutoff", "degree_topk", "recall_at_k", "token_f1", "rouge2", "counter_delta", "latency_summary", "moving_avg", "kv_pairs", "prom_parse", "coverage_curve", "unused_chunks", "stream_latency", "coverage_history", "answer_similarity", "turn_scores", "stream_sessions",
+    "keyphrases", "rouge_l", "rouge_stemmed", "answer_accuracy", "similar_texts", "corpus_graph", "corpus_update", "run_report", "mode_comparison", "performance_report", "embedder_chain", "scorer_chain", "stream_rollup", "retrieve_fallbacks", "turn_loop",
 ]
 
 
