@@ -10,6 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.numbers import half_away
 from tessera.operators.metrics import exact_avg
 
 #: The names of a turn's fields, by the digits that are kept.
@@ -78,7 +79,7 @@ COMPARED = [
 def digits(x: Column, n: int | None) -> Column:
     """n digits, half away from zero on the binary value."""
     scale = F.lit(float(10 ** (n or 0)))
-    return x if n is None else F.when(x >= 0, F.floor(x * scale + 0.5)).otherwise(F.ceil(x * scale - 0.5)) / scale
+    return x if n is None else half_away(x * scale) / scale
 
 
 def per_cent(x: Column) -> Column:

@@ -85,3 +85,9 @@ def test_failed_turns_and_empty_tables(spark):
     assert (turn.status, turn.error, turn.query, turn.latency_ms, turn.latency_inference_ms, turn.active_chunks) == ("failed", "boom", "why?", 12.5, 12.5, 0)
     none = C.turn_rows(asked.limit(0), ["run"], ["at"])
     assert C.summarize(none, ["run"]).collect() == []
+
+
+def test_the_largest_double_below_a_half_is_rounded_down(spark):
+    rows = spark.createDataFrame([(0.49999999999999994,), (-0.49999999999999994,), (0.5,), (-0.5,), (2.5,), (-2.4,), (None,)], "x double")
+    assert [r[0] for r in rows.select(C.digits(F.col("x"), 0)).collect()] == [0, 0, 1, -1, 3, -2, None]
+    assert spark.createDataFrame([(0.15,)], "x double").select(C.digits(F.col("x") / 3, 1)).first()[0] == 0.0
