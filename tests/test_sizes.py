@@ -1,10 +1,13 @@
 """Results at the edges of rounding, and steps whose memory and rows must not grow with pairs, against plain loops."""
 
+import random
+from collections import Counter
 from hashlib import md5
+from itertools import combinations
 
 import pytest
-from pyspark.sql import functions as F
 
+from tessera.operators import graph
 from tessera.plans import queries as Q
 
 
@@ -18,3 +21,35 @@ def test_concept_weights_have_no_guard(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.concept.split("_")[-1]: r.semantic_weight for r in Q.QUERIES["concept_weights"](spark, f"file://{tmp_path}").collect()}
     assert rows[words[0]] == 0.0313 and rows[words[1]] == 0.9688
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_shared_edges_in_cells_and_fresh_ones(spark, monkeypatch, kind):
+    """Several blocks, old and fresh ones, and one concept that all chunks have: pairs are as in a loop over all."""
+    monkeypatch.setattr(graph, "BLOCK", 12)
+    rng = random.Random(5)
+    name = int if kind == "long" else "n{}".format
+    held = {name(i): {"all"} | {f"w{rng.randrange(9)}" for _ in range(rng.randrange(4))} for i in range(70)}
+    rows = spark.createDataFrame([(i, w, "KEYWORD", 1) for i, ws in held.items() for w in ws], f"doc_id {kind}, word string, type string, score long")
+    want = {(min(a, b), max(a, b)): len(held[a] & held[b]) for a, b in combinations(held, 2) if len(held[a] & held[b]) > 1}
+    found = [((r.a, r.b), r.shared) for r in graph.shared_edges(rows).collect()]
+    assert len(found) == len(want) and dict(found) == want
+    new = {name(i) for i in range(0, 70, 7)}
+    found = [((r.a, r.b), r.shared) for r in graph.shared_edges(rows, fresh=spark.createDataFrame([(i,) for i in new], f"doc_id {kind}")).collect()]
+    want_new = {p: n for p, n in want.items() if new & set(p)}
+    assert len(found) == len(want_new) and dict(found) == want_new
+    size = {i: 1 + n % 3 for n, i in enumerate(held)}
+    apart, most = Counter(), Counter()
+    for (a, b), n in want.items():
+        for x, y in ((a, b), (b, a)):
+            apart[x] += size[y]
+            most[x] = max(most[x], n)
+    found = graph.shared_counts(rows, spark.createDataFrame(list(size.items()), f"node {kind}, size long")).collect()
+    assert {r.node: (r.apart, r.far) for r in found} == {i: (apart[i], max(0.1, 1 / (1 + most[i]))) for i in apart}
+
+
+def test_pairs_of_chunks_are_not_shuffled(spark, capsys):
+    rows = spark.createDataFrame([(i, w, "KEYWORD", 1) for i in range(9) for w in ("a", "b")], "doc_id long, word string, type string, score long")
+    graph.both_ways(graph.shared_edges(rows), graph.SHARED).explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")]
