@@ -1,13 +1,15 @@
 """Results at the edges of rounding, and steps whose memory and rows must not grow with pairs, against plain loops."""
 
+import math
 import random
 from collections import Counter
 from hashlib import md5
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.operators import graph, lexical, vectors
 from tessera.plans import queries as Q
 
 
@@ -53,3 +55,35 @@ def test_pairs_of_chunks_are_not_shuffled(spark, capsys):
     graph.both_ways(graph.shared_edges(rows), graph.SHARED).explain()
     plan = capsys.readouterr().out
     assert "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")]
+
+
+def test_bm25_in_blocks_makes_no_rows_of_queries_and_texts(spark, monkeypatch, capsys):
+    monkeypatch.setattr(lexical, "QUERIES_AT_ONCE", 2)
+    monkeypatch.setattr(lexical, "TEXTS_AT_ONCE", 3)
+    rng = random.Random(3)
+    texts = {i: [f"w{rng.randrange(12)}" for _ in range(rng.randrange(9))] for i in range(60)} | {60: ["rare"], 61: ["rare"]}
+    asked = {q: [f"w{rng.randrange(14)}" for _ in range(4)] for q in range(5)} | {5: ["rare", "rare"], 6: ["nowhere"]}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(5)
+    found = lexical.bm25(spark.createDataFrame([(i, " ".join(t)) for i, t in asked.items()], "item_id long, text string"), docs, 4)
+    df, n, avgdl = Counter(w for t in texts.values() for w in set(t)), len(texts), sum(map(len, texts.values())) / len(texts)
+    raw = {w: math.log(n - x + 0.5) - math.log(x + 0.5) for w, x in df.items()}
+    idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    want = {}
+    for q, words in asked.items():
+        score = {i: round(sum(idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / avgdl)) for w in words if w in t), 4) for i, t in texts.items() if set(words) & set(t)}
+        want |= {(q, r): i for r, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:4], 1) if score[i] > 0}
+    assert {(r.item_id, r.rank): r.doc_id for r in found.collect()} == want
+    found.explain()
+    assert "MapInArrow" in capsys.readouterr().out
+
+
+def test_vector_search_in_small_pieces(spark, monkeypatch):
+    """Each piece has one row; of equal vectors the smaller ids are taken, whichever piece they are in, and a task passes on k rows a query."""
+    monkeypatch.setattr(vectors, "CELLS_AT_ONCE", 1)
+    rng = random.Random(4)
+    of = {i: [float(rng.randrange(3)), float(rng.randrange(3)), 1.0] for i in range(40)}
+    rows = spark.createDataFrame(list(of.items()), "id long, v array<double>").orderBy(F.desc("id")).coalesce(1)
+    found = vectors.exact_topk(rows.where("id % 10 = 0").withColumnsRenamed({"id": "q", "v": "w"}), rows, 3, "q", "w", "id", "v", not_same=True).collect()
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / ((math.hypot(*a) + 1e-8) * (math.hypot(*b) + 1e-8)), 6)
+    want = {(q, r): i for q in range(0, 40, 10) for r, i in enumerate(sorted((i for i in of if i != q), key=lambda i: (-cos(of[q], of[i]), i))[:3], 1)}
+    assert {(r.q, r["rank"]): r.id for r in found} == want
