@@ -62,7 +62,9 @@ def keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     A phrase scores as the product of its words' scores over its count times 1 + their sum. From the best on, a phrase is left out if one already kept is more than most_alike alike;
     equal scores, to 8 digits, go by alphabet. Null and empty texts have none. Rows of one id are one text; null ids are one too.
     """
-    found = words(docs, id_col, text_col)
+    # Texts are dealt by id once; what is counted by id and word then stays where it is.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = words(docs.select(id_col, text_col).repartition(parts, id_col), id_col, text_col)
     scored = word_scores(found, id_col)
     single = scored.select(id_col, F.col("word").alias("keyword"), (F.col("score") / (F.col("tf") * (1 + F.col("score")))).alias("score"))
     pairs = found.where(F.col("right").isNotNull() & plain("word") & plain("right")).groupBy(id_col, "word", "right").agg(F.count("*").alias("_tf"))

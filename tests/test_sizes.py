@@ -9,7 +9,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, lexical, vectors
+from tessera.operators import graph, keywords, lexical, vectors
 from tessera.plans import queries as Q
 
 
@@ -87,3 +87,9 @@ def test_vector_search_in_small_pieces(spark, monkeypatch):
     cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / ((math.hypot(*a) + 1e-8) * (math.hypot(*b) + 1e-8)), 6)
     want = {(q, r): i for q in range(0, 40, 10) for r, i in enumerate(sorted((i for i in of if i != q), key=lambda i: (-cos(of[q], of[i]), i))[:3], 1)}
     assert {(r.q, r["rank"]): r.id for r in found} == want
+
+
+def test_keyphrases_deal_texts_once(spark, capsys):
+    docs = spark.createDataFrame([(1, "Red fox runs."), (1, "Red fox rests."), (2, None)], "doc_id long, text string")
+    keywords.keywords(docs).explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
