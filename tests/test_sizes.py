@@ -93,3 +93,29 @@ def test_keyphrases_deal_texts_once(spark, capsys):
     docs = spark.createDataFrame([(1, "Red fox runs."), (1, "Red fox rests."), (2, None)], "doc_id long, text string")
     keywords.keywords(docs).explain()
     assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+
+
+def test_ranks_and_distances_side_by_side(spark, monkeypatch):
+    """Few parts stand in columns, many in rows; both ways have the same values, with dead ends and parts that end in different rounds."""
+    rng = random.Random(6)
+    edges = spark.createDataFrame([(a, b, rng.random()) for a in range(25) for b in rng.sample(range(30), 4)], "src long, dst long, weight double")
+    sources = spark.createDataFrame([(p, rng.randrange(30)) for p in range(6) for _ in range(p + 1)] + [(0, 99)], "label long, node long")
+
+    def every():
+        made = [graph.distances(edges, sources, ["label"], 1.5), graph.pagerank(edges, sources, ["label"], 5), graph.pagerank_converged(edges, sources, ["label"], 30, 0.01)]
+        assert [m.dtypes[0] for m in made] == [("label", "bigint")] * 3
+        return [{(r[0], r[1]): tuple(r[2:]) for r in m.collect()} for m in made]
+
+    wide = every()
+    monkeypatch.setattr(graph, "WIDE", 0)
+    for side, long in zip(wide, every(), strict=True):
+        assert side.keys() == long.keys() and all(side[k] == pytest.approx(long[k], abs=1e-9) for k in long)
+    assert len({r[1] for r in wide[2].values()}) > 1
+
+
+def test_an_edge_is_taken_once_a_round(spark, capsys):
+    """Ranks meet edges as a row a node, whatever the number of parts, and sums are not shuffled by part."""
+    edges = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.5)], "src long, dst long, weight double")
+    sources = spark.createDataFrame([(p, 1) for p in range(5)], "label long, node long")
+    graph.pagerank(edges, sources, ["label"], 2).explain()
+    assert "Generate explode" in capsys.readouterr().out
