@@ -119,3 +119,49 @@ def test_an_edge_is_taken_once_a_round(spark, capsys):
     sources = spark.createDataFrame([(p, 1) for p in range(5)], "label long, node long")
     graph.pagerank(edges, sources, ["label"], 2).explain()
     assert "Generate explode" in capsys.readouterr().out
+
+
+def _few(spark, folder, n=60):
+    """Tables with n documents of 12 words, of which the first hold the words of the items."""
+    rng = random.Random(8)
+    asked = [(i, " ".join(f"w{i}x{j}" for j in range(5)) + " the end") for i in range(8)]
+    texts = [(i, f"{asked[i % 8][1] if i < 16 else ''} " + " ".join(f"v{rng.randrange(40)}" for _ in range(12))) for i in range(n)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return f"file://{folder}"
+
+
+def _stored(monkeypatch, f):
+    """How often f stored a table of each name, and what it returned."""
+    kept, real = Counter(), Q.store
+
+    def stored(df, name, *done):
+        kept[name] += 1
+        return real(df, name, *done)
+
+    monkeypatch.setattr(Q, "store", stored)
+    found = f()
+    return kept, found
+
+
+def test_hashed_embedding_is_made_without_a_shuffle(spark, capsys):
+    texts = [(1, "One two, two: three"), (2, ""), (3, None), (4, "Ünd ünd und"), (5, "a " * 3000)]
+    df = vectors.hashed_embedding(spark.createDataFrame(texts, "id long, text string"), "id", F.col("text"), 8)
+    df.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    split = {1: "one two two three", 2: "", 3: "", 4: "ünd ünd und", 5: "a " * 3000}
+    found = {r.id: r.embedding for r in df.collect()}
+    for i, words in split.items():
+        counts = Counter(int(md5(w.encode()).hexdigest()[:8], 16) % 8 for w in words.split())
+        norm = math.sqrt(sum(n * n for n in counts.values()))
+        assert found[i] == [counts[b] / norm if norm else 0.0 for b in range(8)]
+
+
+def test_turn_lists_read_only_listed_texts_after_the_search(spark, tmp_path, monkeypatch):
+    """The lexical search runs once for both depths, and what comes after the lists reads the texts that are in some list."""
+    d = _few(spark, tmp_path, 400)
+    monkeypatch.setattr(Q, "TURN_TOP", 3)
+    kept, (pairs, texts) = _stored(monkeypatch, lambda: Q.turn_pairs(spark, d))
+    assert kept["lexical-list"] == kept["turn-texts"] == kept["turn-lists"] == 1
+    listed = {r.doc_id for r in pairs.collect()}
+    assert {r.doc_id for r in texts.collect()} == listed and 0 < len(listed) <= 8 * 12 < 400
