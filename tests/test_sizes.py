@@ -165,3 +165,29 @@ def test_turn_lists_read_only_listed_texts_after_the_search(spark, tmp_path, mon
     assert kept["lexical-list"] == kept["turn-texts"] == kept["turn-lists"] == 1
     listed = {r.doc_id for r in pairs.collect()}
     assert {r.doc_id for r in texts.collect()} == listed and 0 < len(listed) <= 8 * 12 < 400
+
+
+def test_containing_is_the_substring_of_normalized_texts(spark, monkeypatch, capsys):
+    """First and last tokens of a phrase may be parts of words, short phrases have no inner token, an empty one is in every text; blocks of queries and batches of texts do not show."""
+    monkeypatch.setattr(lexical, "QUERIES_AT_ONCE", 3)
+    monkeypatch.setattr(lexical, "TEXTS_AT_ONCE", 7)
+    rng = random.Random(6)
+    words = ["ab", "abc", "b", "ca", "cab", "x_1"]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(9)))) for i in range(90)] + [(90, None), (91, "AB, abc! b")]
+    asked = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([0, 1, 1, 2, 2, 3, 3, 3, 4, 4, 5])] + [(11, "b ca abc"), (12, None), (13, "b nowhere b")]
+    df = lexical.containing(spark.createDataFrame(asked, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string"))
+    plain = lambda t: " ".join((t or "").lower().replace(",", " ").replace("!", " ").split())
+    want = sorted((q, i) for q, a in asked for i, t in texts if plain(a) in plain(t))
+    assert sorted((r.item_id, r.doc_id) for r in df.collect()) == want
+    capsys.readouterr()
+    df.explain()
+    assert "Exchange" not in capsys.readouterr().out
+
+
+def test_modes_are_searched_once(spark, tmp_path, monkeypatch):
+    """Summaries ask for the lists and the judgements several times; both are stored, so that no search or check of texts runs again."""
+    d = _few(spark, tmp_path)
+    kept, found = _stored(monkeypatch, lambda: Q._compared(spark, d))
+    assert kept["mode-lists"] == kept["relevance"] == 1
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.metric: r.base for r in found.collect()}.keys() == {"recall", "mrr", "coverage"}
