@@ -191,3 +191,22 @@ def test_modes_are_searched_once(spark, tmp_path, monkeypatch):
     assert kept["mode-lists"] == kept["relevance"] == 1
     assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r.metric: r.base for r in found.collect()}.keys() == {"recall", "mrr", "coverage"}
+
+
+def test_graph_of_turns_reads_only_listed_texts(spark, tmp_path, monkeypatch):
+    """Concepts and vectors are made of the documents in some list; once the lists are there no round reads the table of documents."""
+    d = _few(spark, tmp_path, 400)
+    monkeypatch.setattr(Q, "TURN_TOP", 3)
+    monkeypatch.setattr(Q, "turn_pairs", lambda *_, made=Q.turn_pairs(spark, d): made)
+    monkeypatch.setattr(Q, "docs", lambda *_: pytest.fail("documents are read after the lists"))
+    listed = {r.doc_id for r in Q.turn_pairs(spark, d)[1].collect()}
+    seen, real = {}, Q.store
+
+    def stored(df, name, *done):
+        seen[name] = real(df, name, *done)
+        return seen[name]
+
+    monkeypatch.setattr(Q, "store", stored)
+    found = Q.turn_loop_graph(spark, d)
+    assert {r.doc_id for r in seen["turn-vectors"].collect()} == listed and {r.doc_id for r in seen["turn-concepts"].collect()} <= listed
+    assert found.count() and {r.doc_id for r in found.collect()} <= listed
