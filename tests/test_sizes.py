@@ -210,3 +210,38 @@ def test_graph_of_turns_reads_only_listed_texts(spark, tmp_path, monkeypatch):
     found = Q.turn_loop_graph(spark, d)
     assert {r.doc_id for r in seen["turn-vectors"].collect()} == listed and {r.doc_id for r in seen["turn-concepts"].collect()} <= listed
     assert found.count() and {r.doc_id for r in found.collect()} <= listed
+
+
+def test_graph_edges_link_different_texts_with_equal_concepts(spark, tmp_path):
+    """Classes are by sets of concepts and not by texts, so an edge between members of one is not one between copies."""
+    rows = [(1, "alpha beta gamma"), (2, "gamma beta alpha alpha"), (3, "alpha beta"), (4, None), (5, "alpha omega")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.src, r.dst): r.weight for r in Q.QUERIES["graph_edges"](spark, f"file://{tmp_path}").collect() if "concept" not in r.src + r.dst}
+    pairs = {("1", "2"): 0.25, ("1", "3"): 0.3333, ("2", "3"): 0.3333}
+    assert found == pairs | {(b, a): w for (a, b), w in pairs.items()}
+
+
+@pytest.mark.parametrize("most", [1, 64])
+def test_shared_ways_and_counts_of_frequent_and_rare_concepts(spark, monkeypatch, most):
+    """More than 255 concepts in a chunk, and concepts that are kept as whole rows beside such that are kept as places."""
+    monkeypatch.setattr(graph, "BLOCK", 100)
+    monkeypatch.setattr(graph, "OFTEN", most)
+    rng = random.Random(8)
+    held = {i: {f"f{rng.randrange(3)}" for _ in range(2)} | {f"r{rng.randrange(60)}" for _ in range(4)} | ({f"x{k}" for k in range(300)} if i % 50 == 0 else set()) for i in range(210)}
+    rows = spark.createDataFrame([(i, w, "KEYWORD", 1) for i, ws in held.items() for w in ws], "doc_id long, word string, type string, score long")
+    want = {(str(a), str(b)): max(0.1, 1 / (1 + len(held[a] & held[b]))) for a in held for b in held if a != b and len(held[a] & held[b]) > 1}
+    found = [((r.src, r.dst), r.weight) for r in graph.shared_ways(rows).collect()]
+    assert len(found) == len(want) and dict(found) == want
+    counted = {r.node: r.apart for r in graph.shared_counts(rows, spark.createDataFrame([(i, 1 + i % 2) for i in held], "node long, size long")).collect()}
+    apart = Counter()
+    for a, b in want:
+        apart[int(a)] += 1 + int(b) % 2
+    assert counted == apart
+
+
+def test_concepts_of_texts_are_those_of_grouped_words(spark):
+    rng = random.Random(3)
+    word = lambda: rng.choice(["of", "the", "river", "Stone", "ÉCLAIR", "zz", "Mill", "paper,", "Lamp.", "größe", "x1"]) + rng.choice(["", "", "s", "9"])
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(80)))) for i in range(60)] + [(60, None), (61, ""), (None, "red, Green green")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, graph.concepts_of_texts(docs).collect())) == sorted(map(str, graph.concepts(docs).collect()))
