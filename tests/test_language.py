@@ -125,3 +125,20 @@ def test_ranks_converge_to_the_dense_solution(spark):
     assert rounds["c"] == 1 and 5 < rounds["a"] < 200
     capped = graph.pagerank_converged(spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame(sources, "q string, node long"), ["q"], tolerance=0.0, most=3).collect()
     assert {r.rounds for r in capped} == {3}
+
+
+def test_edits_are_those_of_the_table():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcé ") for _ in range(rng.randrange(12))) for _ in range(60)]
+    assert all(keywords.edits(a, b) == edits(a, b) for a in words for b in words)
+
+
+def test_keyphrases_read_a_text_once(spark, capsys):
+    """Words, their counts and pairs come from one reading of a text: nothing is joined or grouped after it is dealt, and rows of one id are one text."""
+    docs = spark.createDataFrame([(1, "Red fox runs."), (2, "Lamp"), (1, "Red fox rests."), (None, "Oak"), (None, "Elm")], "doc_id long, text string")
+    found = keywords.keywords(docs)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Aggregate" not in plan
+    rows = [(r.doc_id, r.keyword) for r in found.collect()]
+    assert {(None, "elm"), (None, "oak"), (2, "lamp")} <= set(rows) and rows.count((1, "rests")) == 1 and rows.count((1, "red fox")) <= 1
