@@ -245,3 +245,26 @@ def test_concepts_of_texts_are_those_of_grouped_words(spark):
     rows = [(i, " ".join(word() for _ in range(rng.randrange(80)))) for i in range(60)] + [(60, None), (61, ""), (None, "red, Green green")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(str, graph.concepts_of_texts(docs).collect())) == sorted(map(str, graph.concepts(docs).collect()))
+
+
+@pytest.mark.parametrize("cell", [7, 1000])
+def test_similar_pairs_in_tiles_of_few_blocks(spark, monkeypatch, cell):
+    """Tiles of a block meet each other once, and few vectors are not dealt over more blocks than hold them."""
+    monkeypatch.setattr(vectors, "TILE", 4)
+    rng = random.Random(2)
+    of = {i: [rng.choice([-1.0, 0.5, 2.0]) for _ in range(3)] for i in range(60)}
+    head = {tuple(v): i for i, v in sorted(of.items(), reverse=True)}
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / ((math.hypot(*a) + 1e-8) * (math.hypot(*b) + 1e-8)), 6)
+    want = {(a, b) for a, b in combinations(sorted(head.values()), 2) if cos(of[a], of[b]) > 0.35}
+    found = [(r.a, r.b) for r in vectors.similar_pairs(spark.createDataFrame(list(of.items()), "vec_id long, embedding array<double>"), 0.35, cell=cell).collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
+@pytest.mark.parametrize("weights", [[0.25, 0.123457, 1.0], [1 / 3, 0.5, 1e7 / 3]])
+def test_edges_by_target_are_lists_that_give_the_same_edges(spark, monkeypatch, weights):
+    monkeypatch.setattr(graph, "PACKED", 10)
+    rng = random.Random(4)
+    rows = [(a, b, rng.choice(weights)) for a in range(20) for b in rng.sample(range(25), 5)] + [(1, 2, 0.5), (1, 2, 0.5)]
+    dealt = graph.by_target(spark.createDataFrame(rows, "src long, dst long, weight double"))
+    assert sorted(map(tuple, dealt.collect())) == sorted(rows) and graph.by_target(dealt) is dealt
+    assert dealt.lists.count() < len(rows) and {r.node for r in graph.targets(dealt).collect()} == {b for _, b, _ in rows}
